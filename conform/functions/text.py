@@ -21,7 +21,7 @@ def quoted(col: Column) -> Column:
 
 def split_list(col: Column, separator: str, keep_blank: bool = False) -> Column:
     """Split a cell on a literal separator and trim; an empty cell is an empty list."""
-    parts = F.transform(F.split(col, "\\Q" + separator + "\\E", -1), lambda p: F.trim(p))
+    parts = F.transform(F.split(col, "\\Q" + separator + "\\E", -1), strip)
     if keep_blank:
         return F.when(col == "", F.array().cast("array<string>")).otherwise(parts)
     return F.filter(parts, lambda p: p != "")
@@ -76,3 +76,11 @@ def versioned_ref(col: Column) -> dict[str, Column]:
         "name": F.split_part(col, F.lit("@"), F.lit(1)),
         "version": F.when(version == "", F.lit(1)).otherwise(version.try_cast("int")),
     }
+
+
+# The characters outer trimming removes.
+BLANKS = " \t\n\r\f\x0b"
+
+
+def strip(col: Column) -> Column:
+    return F.btrim(col, F.lit(BLANKS))

@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 AREAS = ("projections", "filters", "joins", "scoring", "aggregates", "layout", "onboarding",
-         "windows", "functions", "checks", "assist", "sinks")
+         "grids", "functions", "checks", "assist", "sinks")
 
 
 def query(name: str, sql: str | None = None):

@@ -1 +1,158 @@
+"""Layout queries: from positioned words to lines, cells, bands, label values and whole records."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from conform.operators import detect, layout
+from conform.operators.onboard import column_signature
+from conform.plans import bindings as b
+from conform.plans.bindings import Tables
+from conform.plans.catalog import query
+
+RECIPE = (b.X_RANGES, b.COLUMN_NAMES, b.ROW_PATTERN, r"(Id|Ref)\s+Severity", ("Inspection report page",))
+ANNOT_COLUMNS = ("Id", "Severity", "User", "Issues", "Comments", "Page")
+
+
+@query("src_words", "SELECT doc_id, page, count(*) AS words, min(x0) AS left_edge, max(x1) AS right_edge FROM v_printed GROUP BY 1, 2")
+def src_words(t: Tables) -> DataFrame:
+    return t.printed().groupBy("doc_id", "page").agg(
+        F.count("*").alias("words"), F.min("x0").alias("left_edge"), F.max("x1").alias("right_edge"))
+
+
+@query("win_lines", """
+SELECT doc_id, page::BIGINT AS page, min(top) AS line_top, string_agg(text, ' ' ORDER BY x0) AS text, count(*) AS n_words FROM v_words GROUP BY doc_id, page, line_no""")
+def win_lines(t: Tables) -> DataFrame:
+    return layout.visual_lines(t.text_words()).select(
+        "doc_id", F.col("page").cast("long").alias("page"), "line_top", "text", F.size("words").cast("long").alias("n_words"))
+
+
+@query("jn_xrange", "SELECT doc_id, page, line_top, " + ", ".join(
+    f"coalesce(string_agg(text, ' ' ORDER BY x0) FILTER (x0 >= {lo} AND x0 < {hi}), '') AS c{i}"
+    for i, (lo, hi) in enumerate(b.X_RANGES)) + " FROM (SELECT *, floor(top / 20.0) * 20.0 AS line_top FROM v_printed) GROUP BY 1, 2, 3")
+def jn_xrange(t: Tables) -> DataFrame:
+    cells = layout.column_cells(F.col("words"), b.X_RANGES)
+    return layout.visual_lines(t.printed()).select("doc_id", "page", "line_top", *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+
+
+@query("win_midedge", """
+WITH h AS (SELECT *, lag(x1) OVER w AS px1, lead(x0) OVER w AS nx0 FROM v_printed
+  WHERE top = 60.0 AND text IN ('Id','Severity','User','Issues','Comments','Page') AND doc_id % 50 <> 7
+  WINDOW w AS (PARTITION BY doc_id, page ORDER BY x0))
+SELECT doc_id, page, text AS name, coalesce((px1 + x0) / 2, 0.0) AS lo, coalesce((x1 + nx0) / 2, 600.0) AS hi FROM h""")
+def win_midedge(t: Tables) -> DataFrame:
+    heads = layout.table_headers(layout.visual_lines(t.printed()), ("Id", "Severity", "Page"))
+    return heads.select("doc_id", "page", F.explode(layout.column_edges(F.col("head"), ANNOT_COLUMNS, 600.0)).alias("r")).select(
+        "doc_id", "page", "r.*")
+
+
+@query("jn_yband", """
+SELECT doc_id, page, floor((top - 90.0) / 20.0)::BIGINT AS band, count(*) AS words, string_agg(text, ' ' ORDER BY x0) AS text
+FROM v_printed WHERE top > 65.0 GROUP BY 1, 2, 3""")
+def jn_yband(t: Tables) -> DataFrame:
+    words = t.printed()
+    ids = words.filter((layout.column_index(F.col("x0"), b.X_RANGES) == 0) & F.col("text").rlike(b.ROW_PATTERN))
+    placed = words.filter(F.col("top") > 65.0).join(layout.row_bands(ids), ["doc_id", "page"]).withColumn(
+        "band", layout.band_index(F.col("top"), F.col("edges")).cast("long"))
+    ordered = F.array_sort(F.collect_list(F.struct("x0", "text")))
+    return placed.groupBy("doc_id", "page", "band").agg(
+        F.count("*").alias("words"), F.array_join(F.transform(ordered, lambda w: w["text"]), " ").alias("text"))
+
+
+@query("jn_below", """
+SELECT l.doc_id, l.text AS label, arg_min(w.text, w.top - l.top + w.x0 / 1000000.0) AS value
+FROM v_cover l JOIN v_cover w ON w.doc_id = l.doc_id WHERE l.text IN ('Annotations', 'Images') AND regexp_full_match(w.text, '[0-9]+')
+ AND w.top - l.top > 2 AND w.top - l.top <= 60 AND least(w.x1, l.x1) - greatest(w.x0, l.x0) > 0 GROUP BY 1, 2""")
+def jn_below(t: Tables) -> DataFrame:
+    return layout.number_below(t.cover_words(), ("Annotations", "Images")).select("doc_id", "label", "value")
+
+
+@query("jn_near", """
+SELECT l.doc_id, l.text AS label, string_agg(w.text, ' ' ORDER BY w.top, w.x0) AS value FROM v_cover l JOIN v_cover w ON w.doc_id = l.doc_id
+WHERE l.text = 'Company:' AND w.top - l.top > 2 AND w.top - l.top <= 25 AND w.x0 BETWEEN l.x0 - 15 AND l.x0 + 140 GROUP BY 1, 2""")
+def jn_near(t: Tables) -> DataFrame:
+    return layout.text_near(t.cover_words(), ("Company:",)).select("doc_id", "label", "value")
+
+
+@query("jn_imgrow", """
+SELECT i.doc_id, i.page, i.img_id, coalesce(arg_min(s.id, (s.top, s.id)), 'orphan') AS row_ref FROM v_images i
+LEFT JOIN v_slots s ON s.doc_id = i.doc_id AND s.pg = i.page AND s.top BETWEEN i.img_top - 14 AND i.img_bottom + 14
+GROUP BY i.doc_id, i.page, i.img_id, i.record_seq""")
+def jn_imgrow(t: Tables) -> DataFrame:
+    rows = t.slots().select("doc_id", F.col("page_no").alias("page"), F.col("top").alias("row_top"), F.col("id").alias("row_ref"))
+    return layout.images_to_rows(t.images(), rows).select(
+        "doc_id", "page", "img_id", F.coalesce("row_ref", F.lit("orphan")).alias("row_ref"))
+
+
+@query("win_belowline", """
+WITH l AS (SELECT doc_id, unnest(string_split(lead_text, chr(10))) AS text, unnest(range(4)) AS p FROM v_headers),
+n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY p) AS nxt FROM l)
+SELECT doc_id, 'right' AS how, trim(substr(text, 9)) AS value FROM n WHERE starts_with(text, 'Company:')
+UNION ALL SELECT doc_id, 'below', trim(nxt) FROM n WHERE text = 'Inspection report'""")
+def win_belowline(t: Tables) -> DataFrame:
+    lines = t.lead_lines()
+    right = layout.header_values(lines, ("Company:",), "label_right").withColumn("how", F.lit("right"))
+    below = layout.header_values(lines, ("Inspection report",), "label_below").withColumn("how", F.lit("below"))
+    return right.unionByName(below)
+
+
+@query("win_segment", """
+WITH g AS (SELECT *, floor(top / 20.0) * 20.0 AS line_top FROM v_printed),
+s AS (SELECT *, CASE WHEN x0 - lag(x1) OVER (PARTITION BY doc_id, page, line_top ORDER BY x0) > 30 THEN 1 ELSE 0 END AS gap FROM g),
+n AS (SELECT *, sum(gap) OVER (PARTITION BY doc_id, page, line_top ORDER BY x0) AS segment FROM s)
+SELECT doc_id, page, line_top, segment::BIGINT AS segment, string_agg(text, ' ' ORDER BY x0) AS text, max(x1) AS x1 FROM n GROUP BY 1, 2, 3, 4""")
+def win_segment(t: Tables) -> DataFrame:
+    return layout.segments(layout.with_line_top(t.printed())).select("doc_id", "page", "line_top", "segment", "text", "x1")
+
+
+@query("win_first", """
+WITH p AS (SELECT doc_id, page, max(CASE WHEN contains(text, ' the ') THEN 1 ELSE 0 END) AS hit,
+  arg_min(text, top) FILTER (trim(text) <> '') AS first_line FROM v_lines GROUP BY 1, 2)
+SELECT doc_id, coalesce(trim(arg_min(first_line, (1 - hit, page))), '') AS title FROM p WHERE first_line IS NOT NULL GROUP BY 1""")
+def win_first(t: Tables) -> DataFrame:
+    """Title: first non-blank line of the first detail page, else of the first page."""
+    filled = F.when(F.trim("text") != "", F.struct("top", "text"))
+    pages = t.text_lines().groupBy("doc_id", "page").agg(
+        F.max(F.contains(F.col("text"), F.lit(" the ")).cast("int")).alias("hit"), F.min(filled)["text"].alias("first_line"))
+    return pages.filter(F.col("first_line").isNotNull()).groupBy("doc_id").agg(
+        F.trim(F.min_by("first_line", F.struct(1 - F.col("hit"), F.col("page")))).alias("title"))
+
+
+@query("lim_pages", """
+SELECT doc_id, count(*) AS lines, sha256(string_agg(text, chr(10) ORDER BY line_no)) AS lead_sha FROM v_lines WHERE page <= 4 GROUP BY 1""")
+def lim_pages(t: Tables) -> DataFrame:
+    lines = t.text_lines()
+    lead = detect.leading_text(lines).select("doc_id", F.sha2("lead_text", 256).alias("lead_sha"),
+                                             F.size(F.split("lead_text", "\n")).cast("long").alias("lines"))
+    return lead.select("doc_id", "lines", "lead_sha")
+
+
+@query("dq_extract", """
+SELECT doc_id, pg AS page, top AS line_top, id, severity, array_to_string(user_tags, ' | ') AS user_tags, array_to_string(issues, ' | ') AS issues,
+ comments, page_text FROM v_slots""")
+def dq_extract(t: Tables) -> DataFrame:
+    rows = layout.extract_records(t.printed(), b.X_RANGES, ("id", "severity", "user_tags", "issues", "comments", "page_text"),
+                                  *RECIPE[2:])
+    return rows.select("doc_id", "page", "line_top", "id", "severity", "user_tags", "issues", "comments", "page_text")
+
+
+@query("dq_annot", """
+SELECT doc_id, pg AS page, id, severity, array_to_string(user_tags, '/') AS user_tags, array_to_string(issues, '/') AS issues, comments,
+ coalesce(page, -1) AS page_no, coalesce(CASE WHEN severity = '9' THEN 'severity ''9'' outside vocabulary'
+ WHEN page IS NULL THEN 'page column unparseable: ''n/a''' END, '') AS parse_error FROM v_slots WHERE doc_id % 50 <> 7""")
+def dq_annot(t: Tables) -> DataFrame:
+    rows = layout.annotation_records(t.printed(), ("Id", "Severity", "Page"), ANNOT_COLUMNS, b.ROW_PATTERN, 600.0, b.SEVERITIES, "|")
+    return rows.select("doc_id", "page", "id", "severity", F.array_join("user_tags", "/").alias("user_tags"),
+                       F.array_join("issues", "/").alias("issues"), "comments", F.coalesce("page_no", F.lit(-1)).alias("page_no"),
+                       F.coalesce("parse_error", F.lit("")).alias("parse_error"))
+
+
+@query("agg_reclike", """
+WITH l AS (SELECT doc_id, page, round_even(top, 0) AS r, count(*) AS n, list_transform(list(x0 ORDER BY x0)[1:6], lambda x: round_even(x / 10, 0)::BIGINT) AS sig
+  FROM v_words WHERE page <= 4 GROUP BY 1, 2, 3),
+s AS (SELECT doc_id, sig, count(*) AS c FROM l WHERE n >= 4 GROUP BY 1, 2)
+SELECT doc_id, max(c) AS lines, max(c) >= 5 AS record_like FROM s GROUP BY 1""")
+def agg_reclike(t: Tables) -> DataFrame:
+    sig = column_signature(t.text_words()).groupBy("doc_id", "sig").agg(F.count("*").alias("c"))
+    return sig.groupBy("doc_id").agg(F.max("c").alias("lines"), (F.max("c") >= 5).alias("record_like"))

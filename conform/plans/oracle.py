@@ -137,7 +137,7 @@ WHERE text <> ''
 """
 # printed reports
 VIEWS["v_slots"] = """
-SELECT *, 100.0::DOUBLE + 20.0 * (row_number() OVER (PARTITION BY doc_id, pg ORDER BY record_seq) - 1) AS top FROM (
+SELECT *, 100.0::DOUBLE + 20.0 * (row_number() OVER (PARTITION BY doc_id, pg ORDER BY record_seq, severity, user_tags, issues) - 1) AS top FROM (
   SELECT *, record_seq // 300000000000000000 * 100000 + (record_seq % 100000000000000000) // 100000000000000 + 2 AS pg FROM v_findings)
 """
 VIEWS["v_printed"] = """
@@ -222,3 +222,19 @@ UNION ALL SELECT e.proposal_id, e.element_id, 2, 'corrected', upper(payload) FRO
 UNION ALL SELECT e.proposal_id, e.element_id, 3, 'removed', NULL FROM v_elements e JOIN labels l ON l.doc_id = e.proposal_id WHERE toxic = 1 AND seq % 2 = 0
 UNION ALL SELECT e.proposal_id, e.element_id, 4, 'proposed', NULL FROM v_elements e JOIN labels l ON l.doc_id = e.proposal_id WHERE seq % 14 = 10
 """
+VIEWS["v_cover"] = """
+SELECT doc_id, 1 AS page, unnest([
+ {'text': 'Annotations', 'x0': 200.0::DOUBLE, 'x1': 260.0::DOUBLE, 'top': 50.0::DOUBLE},
+ {'text': 'Images', 'x0': 300.0::DOUBLE, 'x1': 340.0::DOUBLE, 'top': 50.0::DOUBLE},
+ {'text': declared::VARCHAR, 'x0': 210.0::DOUBLE, 'x1': 225.0::DOUBLE, 'top': 50.0::DOUBLE + doc_id % 80},
+ {'text': (doc_id % 1000)::VARCHAR, 'x0': 255.0::DOUBLE, 'x1': 275.0::DOUBLE, 'top': 55.0::DOUBLE + doc_id % 30},
+ {'text': (doc_id % 77)::VARCHAR, 'x0': 330.0::DOUBLE, 'x1': 350.0::DOUBLE, 'top': 51.0::DOUBLE + doc_id % 9},
+ {'text': 'Company:', 'x0': 30.0::DOUBLE, 'x1': 80.0::DOUBLE, 'top': 150.0::DOUBLE},
+ {'text': company, 'x0': 40.0::DOUBLE, 'x1': 90.0::DOUBLE, 'top': 160.0::DOUBLE},
+ {'text': inspection_name, 'x0': 80.0::DOUBLE, 'x1': 200.0::DOUBLE, 'top': 150.0::DOUBLE + doc_id % 40},
+ {'text': inspection_type, 'x0': 180.0::DOUBLE, 'x1': 260.0::DOUBLE, 'top': 155.0::DOUBLE}], recursive := true) FROM v_headers
+"""
+VIEWS["v_images"] = """
+SELECT doc_id, pg AS page, id AS img_id, record_seq, top - 30.0 + record_seq % 45 AS img_top, top - 18.0 + record_seq % 45 AS img_bottom
+FROM v_slots WHERE len(issues) = 2
+"""
