@@ -26,3 +26,38 @@ def column_signature(words: DataFrame, lead_pages: int = LEAD_PAGES) -> DataFram
     rows = lead.groupBy("doc_id", "page", F.bround("top", 0).alias("row")).agg(starts.alias("xs"), F.count("*").alias("n"))
     return rows.filter(F.col("n") >= 4).select(
         "doc_id", "page", "row", F.array_join(F.transform("xs", lambda x: F.bround(x / 10, 0).cast("long").cast("string")), ",").alias("sig"))
+
+
+# -- what a source offers ---------------------------------------------------------------------------
+
+def long_values(findings: DataFrame, keys: dict[str, bool]) -> DataFrame:
+    """Findings as (doc_id, record_seq, path, values): one row per key, lists kept as lists."""
+    def one(k: str, is_list: bool) -> Column:
+        c = F.col(k).cast("array<string>") if is_list else F.array(F.col(k).cast("string"))
+        return F.struct(F.lit(f"finding.{k}").alias("path"), c.alias("values"))
+
+    return findings.select("doc_id", "record_seq", F.explode(F.array(*[one(k, v) for k, v in keys.items()])).alias("p")).select(
+        "doc_id", "record_seq", "p.*")
+
+
+def inventory(findings: DataFrame, keys: dict[str, bool]) -> DataFrame:
+    """Sample value of every path: that of the first record."""
+    return long_values(findings, keys).groupBy("doc_id", "path").agg(
+        F.min_by(F.array_join("values", tx.LIST_JOINER), F.struct("record_seq", "values")).alias("sample"))
+
+
+def observed(findings: DataFrame, keys: dict[str, bool]) -> DataFrame:
+    """Every value seen per path, once as the joined text a lookup gets and once per list item."""
+    forms = F.concat(
+        F.array(F.struct(F.lit("joined").alias("form"), F.array_join("values", tx.LIST_JOINER).alias("value"))),
+        F.transform("values", lambda v: F.struct(F.lit("single").alias("form"), v.alias("value"))))
+    return long_values(findings, keys).select("doc_id", "record_seq", "path", F.explode(forms).alias("o")).select(
+        "doc_id", "record_seq", "path", "o.form", "o.value")
+
+
+def seed_delta(elements: DataFrame, seed: DataFrame) -> DataFrame:
+    """Mark elements the seeding recipe knows and those that diverge from it."""
+    known = seed.distinct().withColumn("known", F.lit(True))
+    return elements.join(known, ["kind", "payload"], "left").withColumn(
+        "mark", F.when(F.col("kind") == "image_region", "not compared")
+        .when(F.col("known").isNull(), "seed_divergent").otherwise("seed_match"))
