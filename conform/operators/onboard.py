@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from conform.functions import text as tx
-from conform.operators import layout
+from conform.session import stage
 
 # Thresholds of the structural analysis.
 LEAD_PAGES = 4
@@ -61,3 +62,145 @@ def seed_delta(elements: DataFrame, seed: DataFrame) -> DataFrame:
     return elements.join(known, ["kind", "payload"], "left").withColumn(
         "mark", F.when(F.col("kind") == "image_region", "not compared")
         .when(F.col("known").isNull(), "seed_divergent").otherwise("seed_match"))
+
+
+# -- running lines, record tables, label/value lines ---------------------------------------------------
+
+def furniture(lines: DataFrame) -> DataFrame:
+    """Lines that recur on most pages of a document, compared without a trailing page number."""
+    per_page = lines.select("doc_id", "page", tx.drop_page_counter(F.col("text")).alias("prefix")).distinct()
+    pages = lines.select("doc_id", "page").distinct().groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    counts = per_page.filter(F.length("prefix") >= FURNITURE_LENGTH).groupBy("doc_id", "prefix").agg(F.count("*").alias("on_pages"))
+    return counts.join(pages, "doc_id").filter(
+        (F.col("n_pages") > 1) & (F.col("on_pages") / F.col("n_pages") >= FURNITURE_SHARE))
+
+
+def dominant_class(first_cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Structure class owning most first cells of a group, if it owns enough of them."""
+    classes = first_cells.withColumn("class", tx.structure_class(F.col("first_cell"))).groupBy(*keys, "class").agg(F.count("*").alias("n"))
+    return classes.groupBy(*keys).agg(
+        F.max_by("class", F.struct("n", "class")).alias("class"), F.max("n").alias("n"), F.sum("n").alias("rows"),
+    ).filter((F.col("n") >= MIN_ROWS) & (F.col("n") / F.col("rows") >= CLASS_SHARE))
+
+
+def row_pattern(first_cells: DataFrame) -> DataFrame:
+    """Row-identity pattern from the first rows of a document: their common class, else any word."""
+    # a row_number filter of this form is cut to its limit before the shuffle
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "line_top"))
+    head = first_cells.withColumn("rn", rank).filter(F.col("rn") <= PATTERN_ROWS).filter(F.col("first_cell") != "")
+    return head.groupBy("doc_id").agg(F.collect_set(tx.structure_class(F.col("first_cell"))).alias("classes")).select(
+        "doc_id", F.when(F.size("classes") == 1, F.concat(F.lit("^"), F.get("classes", F.lit(0)), F.lit("$")))
+        .otherwise(F.lit(r"^\S+$")).alias("pattern"))
+
+
+def _header_ranges(words: Column) -> Column:
+    """Column ranges a header line implies: midpoints of its word starts, open to the left edge."""
+    mid = lambda i: F.bround((F.get(words, i)["x0"] + F.get(words, i + 1)["x0"]) / 2, 1)
+    last = F.size(words) - 1
+    return F.transform(words, lambda w, i: F.struct(
+        F.when(i == 0, F.lit(0.0)).otherwise(mid(i - 1)).alias("lo"),
+        F.when(i == last, w["x0"] + 60.0).otherwise(mid(i)).alias("hi")))
+
+
+def _cells(words: Column, ranges: Column) -> Column:
+    return F.transform(ranges, lambda r: F.array_join(F.transform(
+        F.filter(words, lambda w: (w["x0"] >= r["lo"]) & (w["x0"] < r["hi"])), lambda w: w["text"]), " "))
+
+
+def _aligned(lines: DataFrame, heads: DataFrame, keys: list[str], below: Column) -> DataFrame:
+    """Lines that fill the columns of a candidate header, with their first cell and its class."""
+    pairs = lines.join(heads, keys).filter(below & (F.col("text") != F.col("h_text")))
+    pairs = pairs.withColumn("cells", _cells(F.col("words"), F.col("ranges")))
+    first = F.get("cells", F.lit(0))
+    filled = F.size(F.filter("cells", lambda c: c != ""))
+    return pairs.filter((first != "") & (filled >= F.greatest(F.lit(3), F.size("ranges") - 2))).select(
+        "doc_id", "h_page", "h_top", "h_text", "page", "line_top", tx.structure_class(first).alias("class"))
+
+
+def record_tables(lines: DataFrame) -> DataFrame:
+    """The record table of every document that has one.
+
+    A header candidate (four or more words) is paired with the lines below it on its own page only,
+    which a sheet bounds. The first page with a qualifying candidate wins; just its candidates are
+    then joined to later pages for continuation rows; most rows, then the upper line, decides.
+    """
+    running = furniture(lines).select("doc_id", "prefix")
+    marked = lines.withColumn("prefix", tx.drop_page_counter(F.col("text")))
+    body = marked.join(running, ["doc_id", "prefix"], "left_anti").drop("prefix")
+    heads = lines.filter(F.size("words") >= 4).select(
+        "doc_id", F.col("page").alias("h_page"), F.col("line_top").alias("h_top"), F.col("text").alias("h_text"),
+        _header_ranges(F.col("words")).alias("ranges"))
+    cand = ["doc_id", "h_page", "h_top", "h_text"]
+    own = _aligned(body.withColumn("h_page", F.col("page")), heads, ["doc_id", "h_page"], F.col("line_top") > F.col("h_top"))
+    per_class = own.groupBy(*cand, "class").agg(F.count("*").alias("n"))
+    good = per_class.groupBy(*cand).agg(F.max_by("class", F.struct("n", "class")).alias("class"), F.max("n").alias("n"),
+                                        F.sum("n").alias("rows")) \
+        .filter((F.col("n") >= MIN_ROWS) & (F.col("n") / F.col("rows") >= CLASS_SHARE))
+    first = good.groupBy("doc_id").agg(F.min("h_page").alias("h_page"))
+    kept = stage(good.join(first, ["doc_id", "h_page"], "left_semi").join(heads, cand), "tables")
+    later = _aligned(body, kept.withColumnRenamed("class", "h_class").drop("n", "rows"), ["doc_id"], F.col("page") > F.col("h_page"))
+    more = later.join(kept.select(*cand, "class"), [*cand, "class"], "left_semi").groupBy(*cand).agg(F.count("*").alias("more"))
+    scored = kept.join(more, cand, "left").withColumn("table_rows", F.col("n") + F.coalesce("more", F.lit(0)))
+    best = F.struct(-F.col("table_rows"), F.col("h_top"))
+    return scored.groupBy("doc_id").agg(*[F.min_by(c, best).alias(c) for c in ("h_page", "h_top", "h_text", "ranges", "class", "table_rows")])
+
+
+def recount(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """Rows of each table counted the way extraction will: first cell against the row pattern."""
+    t = tables.select("doc_id", "ranges", "h_text", F.concat(F.lit("^"), "class", F.lit("$")).alias("pattern"))
+    first = F.get(_cells(F.col("words"), F.slice("ranges", 1, 1)), F.lit(0))
+    hit = lines.join(t, "doc_id").filter(F.col("text") != F.col("h_text")).withColumn("first", first)
+    return hit.filter(F.expr("first <> '' AND first rlike pattern")).groupBy("doc_id").agg(F.count("*").alias("recurrence"))
+
+
+def label_values(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """``Label: value`` lines of the leading pages, above the record table where there is one."""
+    t = tables.select("doc_id", "h_page", "h_top")
+    hit = lines.filter((F.col("page") <= LEAD_PAGES) & F.col("text").rlike(LABEL_PATTERN)).join(t, "doc_id", "left")
+    above = F.col("h_page").isNull() | (F.col("page") != F.col("h_page")) | (F.col("top") < F.col("h_top"))
+    value = F.regexp_extract("text", LABEL_PATTERN, 2)
+    return hit.filter(above & (value != "")).select(
+        "doc_id", "page", F.regexp_extract("text", LABEL_PATTERN, 1).alias("label"), value.alias("value"))
+
+
+# -- agreement between exemplars, confidence -------------------------------------------------------------
+
+def agreement(elements: DataFrame, group: str) -> DataFrame:
+    """For the elements of each group's first exemplar: share of its other exemplars that show them.
+
+    ``elements`` is (group, doc_id, text, ...). Counting is by (group, text) with map-side
+    combining, so a group holding a third of the corpus is never gathered.
+    """
+    sizes = elements.select(group, "doc_id").distinct().groupBy(group).agg(
+        F.min("doc_id").alias("first_doc"), (F.count("*") - 1).alias("extras"))
+    shown = elements.select(group, "doc_id", "text").distinct().groupBy(group, "text").agg(F.count("*").alias("in_docs"))
+    primary = elements.join(sizes, group).filter(F.col("doc_id") == F.col("first_doc"))
+    return primary.join(shown, [group, "text"]).withColumn(
+        "agreement", F.when(F.col("extras") == 0, 1.0).otherwise((F.col("in_docs") - 1) / F.col("extras"))).drop("first_doc", "in_docs")
+
+
+def confidence(kind: Column, n: Column, agree: Column, pages: Column, has_value: Column) -> Column:
+    """Structural confidence of an element; disagreement between exemplars halves it."""
+    factor = F.when(agree == 1.0, 1.0).otherwise(0.5)
+    rows = F.least(F.lit(0.95), n / (n + 2))
+    raw = (F.when(kind == "furniture_line", F.lit(0.5) + F.when(pages > 1, F.lit(0.4) * agree).otherwise(0.0))
+           .when(kind.isin("record_table", "record_column"), rows * factor)
+           .when(kind == "header_field", F.when(has_value, 0.8).otherwise(0.6) * factor)
+           .when(kind == "image_region", F.least(F.lit(0.9), n / (n + 2)))
+           .otherwise(F.lit(0.7) * factor))
+    return F.bround(F.least(raw, F.lit(0.99)), 2)
+
+
+def element_flags(conf: Column, agree: Column) -> Column:
+    return F.array_sort(F.array_compact(F.array(F.when(agree < 1.0, "non_generalising"), F.when(conf < 0.5, "low_confidence"))))
+
+
+# -- review -------------------------------------------------------------------------------------------
+
+def review_state(elements: DataFrame, events: DataFrame) -> DataFrame:
+    """Latest decision per element; the active payload is the correction where there is one."""
+    last = events.groupBy("proposal_id", "element_id").agg(F.max_by(F.struct("state", "corrected"), "step").alias("e"))
+    out = elements.join(last, ["proposal_id", "element_id"], "left")
+    state = F.coalesce("e.state", F.lit("proposed"))
+    return out.withColumn("state", state).withColumn(
+        "active", F.when(state == "corrected", F.coalesce("e.corrected", "payload")).otherwise(F.col("payload"))).drop("e")

@@ -215,7 +215,7 @@ class Tables:
             word(F.lit("tags"), F.lit(180.0)), word(F.lit("Issues"), F.lit(260.0)),
             word(F.lit("Comments"), F.lit(380.0)), word(F.lit("Page"), F.lit(530.0)))
         running = F.array(word(F.lit("Inspection"), F.lit(30.0)), word(F.lit("report"), F.lit(90.0)),
-                          word(F.lit("page"), F.lit(150.0)), word(F.col("page").cast("string"), F.lit(180.0)))
+                          word(F.concat(F.lit("p."), F.col("page").cast("string")), F.lit(150.0)))
         top_words = head.select("doc_id", "page", F.lit(60.0).alias("top"), F.explode(heading).alias("w")).unionByName(
             head.select("doc_id", "page", F.lit(20.0).alias("top"), F.explode(running).alias("w")))
         return body.unionByName(top_words.select("doc_id", "page", "top", "w.text", "w.x0")).withColumn(
@@ -348,8 +348,8 @@ class Tables:
         e = self.elements().join(l, "proposal_id")
         n = F.col("seq")
         acts = F.array_compact(F.array(
-            F.when(F.col("quality") == 1, F.struct(F.lit(1).alias("at"), F.lit("confirmed").alias("state"), F.lit(None).cast("string").alias("corrected"))),
-            F.when(n % 7 == 3, F.struct(F.lit(2).alias("at"), F.lit("corrected").alias("state"), F.upper("payload").alias("corrected"))),
-            F.when((F.col("toxic") == 1) & (n % 2 == 0), F.struct(F.lit(3).alias("at"), F.lit("removed").alias("state"), F.lit(None).cast("string").alias("corrected"))),
-            F.when(n % 14 == 10, F.struct(F.lit(4).alias("at"), F.lit("proposed").alias("state"), F.lit(None).cast("string").alias("corrected")))))
+            F.when(F.col("quality") == 1, F.struct(F.lit(1).alias("step"), F.lit("confirmed").alias("state"), F.lit(None).cast("string").alias("corrected"))),
+            F.when(n % 7 == 3, F.struct(F.lit(2).alias("step"), F.lit("corrected").alias("state"), F.concat(F.lit("[fixed] "), "payload").alias("corrected"))),
+            F.when((F.col("toxic") == 1) & (n % 2 == 0), F.struct(F.lit(3).alias("step"), F.lit("removed").alias("state"), F.lit(None).cast("string").alias("corrected"))),
+            F.when(n % 14 == 10, F.struct(F.lit(4).alias("step"), F.lit("proposed").alias("state"), F.lit(None).cast("string").alias("corrected")))))
         return e.select("proposal_id", "element_id", F.explode(acts).alias("a")).select("proposal_id", "element_id", "a.*")

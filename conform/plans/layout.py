@@ -11,7 +11,7 @@ from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
 
-RECIPE = (b.X_RANGES, b.COLUMN_NAMES, b.ROW_PATTERN, r"(Id|Ref)\s+Severity", ("Inspection report page",))
+RECIPE = (b.X_RANGES, b.COLUMN_NAMES, b.ROW_PATTERN, r"(Id|Ref)\s+Severity", ("Inspection report p.",))
 ANNOT_COLUMNS = ("Id", "Severity", "User", "Issues", "Comments", "Page")
 
 

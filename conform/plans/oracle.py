@@ -154,8 +154,8 @@ SELECT doc_id, page, top, text, x0, x0 + 5.0 * length(text) AS x1 FROM (
   UNION ALL SELECT doc_id, pg, 60.0, CASE WHEN k = 0 AND doc_id % 50 = 7 THEN 'Ref' ELSE w END, x FROM (
      SELECT DISTINCT doc_id, pg FROM v_slots) CROSS JOIN (VALUES (0,'Id',30.0),(1,'Severity',90.0),(2,'User',150.0),(3,'tags',180.0),
        (4,'Issues',260.0),(5,'Comments',380.0),(6,'Page',530.0)) h(k, w, x)
-  UNION ALL SELECT doc_id, pg, 20.0, CASE WHEN k = 3 THEN pg::VARCHAR ELSE w END, x FROM (
-     SELECT DISTINCT doc_id, pg FROM v_slots) CROSS JOIN (VALUES (0,'Inspection',30.0),(1,'report',90.0),(2,'page',150.0),(3,'',180.0)) h(k, w, x))
+  UNION ALL SELECT doc_id, pg, 20.0, CASE WHEN k = 2 THEN 'p.' || pg ELSE w END, x FROM (
+     SELECT DISTINCT doc_id, pg FROM v_slots) CROSS JOIN (VALUES (0,'Inspection',30.0),(1,'report',90.0),(2,'',150.0)) h(k, w, x))
 """
 # visual lines of the printed reports: tops of one line lie within 2 points, lines lie further apart
 VIEWS["v_plines"] = """
@@ -217,8 +217,8 @@ SELECT doc_id AS proposal_id, 'e' || line_no AS element_id, line_no AS seq,
  ['header_field','record_column','furniture_line','fingerprint_anchor','record_table','image_region'][line_no % 6 + 1] AS kind, page, text AS payload FROM v_lines
 """
 VIEWS["v_review"] = """
-SELECT e.proposal_id, e.element_id, 1 AS at, 'confirmed' AS state, NULL::VARCHAR AS corrected FROM v_elements e JOIN labels l ON l.doc_id = e.proposal_id WHERE quality = 1
-UNION ALL SELECT e.proposal_id, e.element_id, 2, 'corrected', upper(payload) FROM v_elements e JOIN labels l ON l.doc_id = e.proposal_id WHERE seq % 7 = 3
+SELECT e.proposal_id, e.element_id, 1 AS step, 'confirmed' AS state, NULL::VARCHAR AS corrected FROM v_elements e JOIN labels l ON l.doc_id = e.proposal_id WHERE quality = 1
+UNION ALL SELECT e.proposal_id, e.element_id, 2, 'corrected', '[fixed] ' || payload FROM v_elements e JOIN labels l ON l.doc_id = e.proposal_id WHERE seq % 7 = 3
 UNION ALL SELECT e.proposal_id, e.element_id, 3, 'removed', NULL FROM v_elements e JOIN labels l ON l.doc_id = e.proposal_id WHERE toxic = 1 AND seq % 2 = 0
 UNION ALL SELECT e.proposal_id, e.element_id, 4, 'proposed', NULL FROM v_elements e JOIN labels l ON l.doc_id = e.proposal_id WHERE seq % 14 = 10
 """

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Largest driver-built (configuration) frame that may be broadcast.
 MAX_CONFIG_ROWS = 50_000
@@ -49,6 +50,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    For results that several later branches read: it cuts the lineage, gives the optimizer real
+    sizes, and survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ensure_checkpoint(spark: SparkSession) -> None:
     """Point reliable checkpoints at the shared folder (never a local checkpoint)."""
     if spark.sparkContext.getCheckpointDir() is None:
