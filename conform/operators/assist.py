@@ -96,7 +96,7 @@ def rank_similar(sources: DataFrame, targets: DataFrame, k: int | None, block: i
     ranked = hits.withColumn("rank", rank)
     if k:
         ranked = ranked.filter(F.col("rank") <= k)
-    return ranked.select("source", F.col("rank").cast("long").alias("rank"), "target", F.bround(-F.col("neg"), 4).alias("score"))
+    return ranked.select("source", F.col("rank").cast("long").alias("rank"), "target", (F.bround(-F.col("neg"), 4) + 0.0).alias("score"))
 
 
 # -- rule edits -------------------------------------------------------------------------------------------

@@ -292,10 +292,10 @@ class Tables:
         path = F.when(i % 21 == 8, "finding.colour").otherwise(path)
         value = F.regexp_extract("props", r"(\d+)", 1)
         entries = F.when(i % 7 == 5, F.concat(F.lit('[{"source_value":"'), value, F.lit('","target_value":"P1"},{"source_value":"3","target_value":"P3"}]'))).otherwise(F.lit("[]"))
-        item = F.concat(F.lit('{"target_field":"'), target, F.lit('","from_path":"'), path,
-                        F.lit('","rationale":"seen with '), value, F.lit('","value_map_name":"map_'), (i % 4).cast("string"),
-                        F.lit('","suggested_entries":'), entries, F.lit("}"))
-        raw = (F.when(i % 7 == 1, F.concat(F.lit('{"proposals":['), item, F.lit("]}"))).when(i % 7 == 2, item)
+        head = F.concat(F.lit('{"target_field":"'), target, F.lit('","from_path":"'), path,
+                        F.lit('","rationale":"seen with '), value, F.lit('","value_map_name":"map_'), (i % 4).cast("string"), F.lit('"'))
+        item, lone = F.concat(head, F.lit(',"suggested_entries":'), entries, F.lit("}")), F.concat(head, F.lit("}"))
+        raw = (F.when(i % 7 == 1, F.concat(F.lit('{"proposals":['), item, F.lit("]}"))).when(i % 7 == 2, lone)
                .when(i % 7 == 3, F.lit("no answer {")).when(i % 7 == 6, F.lit('{"answer": 42}'))
                .when(i % 14 == 7, F.concat(F.lit('{"note":"x","list":['), item, F.lit(',{"target_field":"priority"}]}')))
                .otherwise(F.concat(F.lit("["), item, F.lit("]"))))

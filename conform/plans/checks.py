@@ -1 +1,272 @@
+"""Output checks and registry lifecycle queries."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from conform.functions.width import OTHER, WIDTHS
+from conform.operators import checks, detect, layout, onboard, registry
+from conform.plans import bindings as b
+from conform.plans.bindings import Tables
+from conform.plans.catalog import query
+from conform.plans.oracle import VIEWS
+from conform.plans.scoring import defect_bundle, make_run
+from conform.plans.sinks import manifest_of
+from conform.session import shared_dir
+from conform.sinks import read_rows, write_rows
+
+FORM = (
+    {"target_field": "finding_id", "kind": "text", "max_len": 40},
+    {"target_field": "comments", "kind": "text", "max_len": 10},
+    {"target_field": "priority", "kind": "choice", "options": ("P1", "P2", "P3", "P4")},
+    {"target_field": "source_page", "kind": "text"},
+)
+
+
+def legal_rows(t: Tables) -> DataFrame:
+    bundle = defect_bundle()
+    run = make_run(t)
+    return run.rows(run.outcome(bundle), bundle)
+
+
+FORM_SQL = """
+SELECT document, finding_id, record_seq, 'comments' AS field, 'oversize_value' AS kind, comments AS value,
+  'value ''' || comments || ''' exceeds field max length 10' AS reason FROM v_legal WHERE length(comments) > 10
+UNION ALL SELECT document, finding_id, record_seq, 'comments', 'missing_required', '', 'no value for required form field ''comments''' FROM v_legal WHERE comments = ''
+UNION ALL SELECT document, finding_id, record_seq, 'priority', 'oversize_value', priority, 'value ''' || priority || ''' not among the form''s fixed options' FROM v_legal WHERE priority = 'POI'
+"""
+VIEWS["v_form"] = FORM_SQL
+
+
+@query("dq_form", """
+SELECT document, finding_id, field, kind, value, reason FROM v_form
+UNION ALL SELECT document, finding_id, '', 'rendered', '', '' FROM v_legal l WHERE NOT EXISTS (SELECT 1 FROM v_form p WHERE p.document = l.document AND p.record_seq = l.record_seq)""")
+def dq_form(t: Tables) -> DataFrame:
+    """Rows a form takes, and every problem of those it does not."""
+    rows = legal_rows(t)
+    bad = checks.form_problems(rows, FORM, ("document", "record_seq", "finding_id"))
+    good = checks.withhold(rows, bad, ("document", "record_seq")).select(
+        "document", "finding_id", F.lit("").alias("field"), F.lit("rendered").alias("kind"), F.lit("").alias("value"), F.lit("").alias("reason"))
+    return bad.drop("record_seq").unionByName(good)
+
+
+REGIONS = (
+    {"target_field": "comments", "kind": "text", "bbox": (0.0, 0.0, 44.0, 20.0), "font_size": 9},
+    {"target_field": "asset_name", "kind": "text", "bbox": (0.0, 0.0, 120.0, 20.0)},
+    {"target_field": "photo", "kind": "image", "bbox": (0.0, 0.0, 80.0, 80.0)},
+)
+
+
+WIDE = "556 * length(comments)" + "".join(
+    f" + ({w - OTHER}) * (length(comments) - length(translate(comments, '{c.replace(chr(39), chr(39) * 2)}', '')))"
+    for w, c in WIDTHS.items() if w != OTHER)
+
+
+@query("dq_overlay", f"""
+WITH w AS (SELECT document, finding_id, comments, sha, ({WIDE}) * 9 / 1000.0::DOUBLE AS width FROM v_legal JOIN (SELECT doc_id, sha FROM v_headers) USING (doc_id))
+SELECT document, finding_id, 'comments' AS field, 'oversize_value' AS kind, comments AS value FROM w WHERE width > 44
+UNION ALL SELECT document, finding_id, 'photo', 'bad_image', sha FROM w WHERE NOT EXISTS (SELECT 1 FROM v_first f WHERE f.sha = w.sha AND NOT f.is_first)""")
+def dq_overlay(t: Tables) -> DataFrame:
+    """Overlay regions: text that is too wide, pictures that are not registered."""
+    docs = t.headers().select("doc_id", F.col("sha").alias("photo"))
+    rows = legal_rows(t).join(docs, "doc_id")
+    stored = detect.mark_copies(t.batch()).filter(~F.col("is_first")).select("sha").distinct()
+    return checks.overlay_problems(rows, REGIONS, stored, ("document", "finding_id")).select("document", "finding_id", "field", "kind", "value")
+
+
+@query("dq_roundtrip", """
+SELECT f AS field, count(*) AS compared, 0::BIGINT AS mismatched FROM v_legal CROSS JOIN (SELECT unnest([""" + ", ".join(f"'{c}'" for c in b.COLUMNS) + """]) AS f) GROUP BY 1""")
+def dq_roundtrip(t: Tables) -> DataFrame:
+    """Write the rows, read them back, compare every value."""
+    rows = legal_rows(t).select("document", "record_seq", *b.COLUMNS)
+    path = f"{shared_dir(t.spark)}/roundtrip/{uuid.uuid4().hex}"
+    write_rows(rows, path, ("document", "record_seq", *b.COLUMNS))
+    back = read_rows(t.spark, path, ("document", "record_seq", *b.COLUMNS))
+    pairs = checks.round_trip(rows.withColumn("record_seq", F.col("record_seq").cast("string")), back, ("document", "record_seq"), b.COLUMNS)
+    return pairs.groupBy("field").agg(F.count("*").alias("compared"), F.count_if(~F.col("same")).alias("mismatched"))
+
+
+def document_meta(t: Tables) -> DataFrame:
+    """Document properties as a decoder would report them."""
+    h, k = F.col("html"), F.col("page_id")
+    times = lambda s: F.floor((F.length(h) - F.length(F.replace(h, F.lit(s), F.lit("")))) / len(s))
+    return t.t("pages").select(
+        k.alias("doc_id"), F.contains(h, F.lit("</html>")).alias("parseable"), (k % 17 == 3).alias("encrypted"),
+        (F.contains(h, F.lit("track(")) & (k % 5 == 1)).alias("xfa"), F.when(k % 3 == 0, times("<li>")).otherwise(0).alias("n_fields"),
+        F.when(k % 7 == 2, 0).otherwise(F.length(F.regexp_replace(h, "<[^>]*>", ""))).alias("text_chars"), (times("<p>") - 3).alias("n_images"))
+
+
+@query("dq_triage", """
+SELECT doc_id, condition, CASE WHEN condition IN ('form', 'fixed_layout') THEN condition ELSE '' END AS kind,
+ CASE condition WHEN 'unparseable' THEN 'not a parseable document' WHEN 'encrypted' THEN 'encrypted or password-protected document'
+  WHEN 'xfa' THEN 'dynamic form without a standard field table' WHEN 'scanned' THEN 'image-only document without a text layer' WHEN 'empty' THEN 'no text and no images' ELSE '' END AS rejection
+FROM v_triage""")
+def dq_triage(t: Tables) -> DataFrame:
+    return checks.triage(document_meta(t)).select("doc_id", "condition", "kind", "rejection")
+
+
+@query("dq_misuse", """
+WITH r AS (SELECT doc_id, max(c) >= 5 AS record_like FROM (SELECT doc_id, sig, count(*) AS c FROM (
+  SELECT doc_id, page, round_even(top, 0) AS r, count(*) AS n, list_transform(list(x0 ORDER BY x0)[1:6], lambda x: round_even(x / 10, 0)::BIGINT) AS sig
+  FROM v_words WHERE page <= 4 GROUP BY 1, 2, 3) WHERE n >= 4 GROUP BY 1, 2) GROUP BY 1)
+SELECT t.doc_id, CASE WHEN t.doc_id % 2 = 0 THEN 'source' ELSE 'target' END AS offered_as,
+ CASE WHEN t.doc_id % 2 = 0 AND condition = 'form' THEN 'looks like a target format'
+  WHEN t.doc_id % 2 = 1 AND condition = 'fixed_layout' AND coalesce(record_like, false) THEN 'looks like a source report' ELSE '' END AS warning
+FROM v_triage t LEFT JOIN r USING (doc_id)""")
+def dq_misuse(t: Tables) -> DataFrame:
+    sig = onboard.column_signature(t.text_words()).groupBy("doc_id", "sig").agg(F.count("*").alias("c"))
+    like = sig.groupBy("doc_id").agg((F.max("c") >= onboard.RECORD_LIKE_LINES).alias("record_like"))
+    meta = checks.triage(document_meta(t)).withColumn("offered_as", F.when(F.col("doc_id") % 2 == 0, "source").otherwise("target"))
+    return checks.misuse(meta, like, F.col("offered_as")).select("doc_id", "offered_as", "warning")
+
+
+VIEWS["v_fields"] = r"""
+SELECT p_partkey AS field_no, p_name || ' ' || p_partkey AS name, trim(regexp_replace(lower(p_name || ' ' || p_partkey), '[^a-z0-9]+', '_', 'g'), '_') AS target_field,
+ CASE WHEN p_size % 6 = 0 THEN 'choice' ELSE CASE p_partkey % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'choice' WHEN 2 THEN 'checkbox' ELSE 'text' END END AS kind,
+ (p_size & 2) <> 0 AS required, CASE WHEN p_size % 6 = 0 THEN p_type || ',' || p_brand ELSE '' END AS options, p_size % 4 AS max_len FROM part
+"""
+
+
+def form_fields(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    return t.t("part").select(
+        k.alias("field_no"), F.concat("p_name", F.lit(" "), k.cast("string")).alias("name"),
+        F.element_at(F.array(*map(F.lit, ("/Tx", "/Ch", "/Btn", "/Sig"))), (k % 4 + 1).cast("int")).alias("ft"), F.col("p_size").alias("flags"),
+        F.when(F.col("p_size") % 6 == 0, F.concat_ws(",", "p_type", "p_brand")).otherwise("").alias("options"), (F.col("p_size") % 4).alias("max_len"))
+
+
+@query("dq_fields", "SELECT field_no, target_field, kind, required, options, max_len FROM v_fields")
+def dq_fields(t: Tables) -> DataFrame:
+    return checks.form_schema(form_fields(t)).select("field_no", "target_field", "kind", "required", "options", "max_len")
+
+
+@query("dq_sample", """
+WITH s AS (SELECT *, CASE WHEN options <> '' THEN split_part(options, ',', 1) WHEN kind = 'checkbox' THEN 'yes' ELSE substr('S1', 1, CASE WHEN max_len > 0 THEN least(max_len, 2) ELSE 2 END) END AS sample FROM v_fields)
+SELECT field_no, sample, sample <> '' AND NOT (max_len > 0 AND kind = 'text' AND length(sample) > max_len) AND (options = '' OR list_contains(string_split(options, ','), sample)) AS accepted FROM s""")
+def dq_sample(t: Tables) -> DataFrame:
+    """A sample value per template field, checked with the rules a real value has to pass."""
+    f = checks.form_schema(form_fields(t))
+    first = F.split_part("options", F.lit(","), F.lit(1))
+    f = f.withColumn("sample", checks.sample_value(F.col("kind"), first, F.col("max_len")))
+    too_long = (F.col("max_len") > 0) & (F.col("kind") == "text") & (F.length("sample") > F.col("max_len"))
+    listed = (F.col("options") == "") | F.array_contains(F.split("options", ","), F.col("sample"))
+    return f.select("field_no", "sample", ((F.col("sample") != "") & ~too_long & listed).alias("accepted"))
+
+
+# labels stand left of boxes; one box per page is missing, so later labels move on to the next box
+VIEWS["v_boxes"] = """
+SELECT c_custkey AS doc_id, k AS box_no, 200.0::DOUBLE AS x0, 98.0::DOUBLE + 60 * k + (c_custkey * k) % 13 AS top,
+ 200.0::DOUBLE + CASE WHEN c_custkey % 4 = 1 THEN 30 ELSE 100 END AS x1, 98.0::DOUBLE + 60 * k + (c_custkey * k) % 13 + CASE WHEN c_custkey % 3 = 0 THEN 45 ELSE 20 END AS bottom
+FROM customer, range(5) r(k) WHERE k <> c_custkey % 7
+"""
+VIEWS["v_assigned"] = """
+SELECT l.doc_id, ['Asset id:','Defect code:','Priority:','Notes:','Photo:'][l.k + 1] AS label, b.* EXCLUDE (doc_id) FROM (
+ SELECT c_custkey AS doc_id, k FROM customer, range(5) r(k)) l JOIN v_boxes b ON b.doc_id = l.doc_id
+ AND b.box_no = CASE WHEN l.doc_id % 7 < 5 AND l.k >= l.doc_id % 7 THEN l.k + 1 ELSE l.k END
+"""
+LABELS = ("Asset id:", "Defect code:", "Priority:", "Notes:", "Photo:")
+
+
+def layout_items(t: Tables) -> DataFrame:
+    """Labels and boxes of one printed target per customer."""
+    d = F.col("c_custkey")
+    k = F.col("k")
+    base = t.t("customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    label = base.select(d.alias("doc_id"), F.lit(1).alias("page"), F.lit(True).alias("is_label"), F.element_at(F.array(*map(F.lit, LABELS)), k + 1).alias("text"),
+                        F.lit(-1).cast("long").alias("box_no"), F.lit(40.0).alias("x0"), (100.0 + 60.0 * k).alias("top"), F.lit(110.0).alias("x1"), (110.0 + 60.0 * k).alias("bottom"))
+    top = F.lit(98.0) + 60 * k + (d * k) % 13
+    box = base.filter(k != d % 7).select(
+        d.alias("doc_id"), F.lit(1).alias("page"), F.lit(False).alias("is_label"), F.lit("").alias("text"), k.cast("long").alias("box_no"), F.lit(200.0).alias("x0"),
+        top.alias("top"), (F.lit(200.0) + F.when(d % 4 == 1, 30).otherwise(100)).alias("x1"), (top + F.when(d % 3 == 0, 45).otherwise(20)).alias("bottom"))
+    return label.unionByName(box)
+
+
+@query("jn_box", "SELECT doc_id, label, box_no FROM v_assigned")
+def jn_box(t: Tables) -> DataFrame:
+    return checks.labels_to_boxes(layout_items(t)).select("doc_id", "label", "box_no")
+
+
+@query("dq_layout", r"""
+SELECT doc_id, label, trim(regexp_replace(lower(label), '[^a-z0-9]+', '_', 'g'), '_') AS target_field, CASE WHEN bottom - top >= 40 THEN 'image' ELSE 'text' END AS kind,
+ x0 AS bx0, 500.0 - bottom AS by0, x1 AS bx1, 500.0 - top AS by1, CASE WHEN bottom - top >= 40 AND x1 - x0 < 40 THEN 'region_too_small' ELSE '' END AS flag FROM v_assigned""")
+def dq_layout(t: Tables) -> DataFrame:
+    return checks.regions(checks.labels_to_boxes(layout_items(t)), 500.0).drop("page")
+
+
+@query("dq_append", """
+WITH b AS (SELECT name, version, source_value, arg_min(target_value, pos) AS was FROM v_map_entries GROUP BY 1, 2, 3),
+a AS (SELECT CASE WHEN source_value = 'Brand#9' THEN name || '_x' ELSE name END AS name, version, source_value, CASE WHEN source_value = 'Brand#7' THEN was || '!' ELSE was END AS now FROM b)
+SELECT b.name, b.version, b.source_value, CASE WHEN a.now IS NULL THEN 'deleted' ELSE 'changed' END AS violation FROM b LEFT JOIN a USING (name, version, source_value)
+WHERE a.now IS NULL OR a.now <> b.was""")
+def dq_append(t: Tables) -> DataFrame:
+    """Two snapshots of an append-only registry: what the later one changed or lost."""
+    from conform.operators.mapping import first_entries_frame
+
+    before = first_entries_frame(t.map_entries())
+    after = before.withColumn("name", F.when(F.col("source_value") == "Brand#9", F.concat("name", F.lit("_x"))).otherwise(F.col("name"))) \
+        .withColumn("target_value", F.when(F.col("source_value") == "Brand#7", F.concat("target_value", F.lit("!"))).otherwise(F.col("target_value")))
+    return registry.append_violations(before, after, ["name", "version", "source_value"], "target_value")
+
+
+@query("dq_idemp", """
+WITH reg AS (SELECT DISTINCT name, version FROM v_map_entries WHERE provenance = 'imported'),
+new AS (SELECT DISTINCT name, version FROM v_map_entries EXCEPT SELECT name, version FROM reg)
+SELECT name, version, 'first load' AS load FROM new""")
+def dq_idemp(t: Tables) -> DataFrame:
+    """Loading the same artifacts twice: the second load adds nothing."""
+    key = ["name", "version"]
+    incoming = t.map_entries().select(*key)
+    reg = t.map_entries().filter(F.col("provenance") == "imported").select(*key).distinct()
+    first = registry.append_new(incoming, reg, key)
+    second = registry.append_new(incoming, reg.unionByName(first), key)
+    return first.withColumn("load", F.lit("first load")).unionByName(second.withColumn("load", F.lit("second load")))
+
+
+@query("dq_vmprov", "SELECT name, version, pos, source_value, provenance FROM v_map_entries WHERE provenance NOT IN ('human', 'ai-accepted')")
+def dq_vmprov(t: Tables) -> DataFrame:
+    return t.map_entries().filter(~F.col("provenance").isin(*registry.PROVENANCE)).select("name", "version", "pos", "source_value", "provenance")
+
+
+@query("dq_verify", """
+WITH x AS (SELECT h.*, coalesce(c.extracted, 0) AS extracted FROM v_headers h LEFT JOIN v_counts c USING (doc_id)),
+k AS (SELECT document, doc_id % 50 NOT IN (7, 11) AS self_match, doc_id % 50 NOT IN (11, 12) AS anchors, extracted > 0 AS records_extracted, extracted = declared AS row_count_exact,
+  true AS header_company_exact, doc_id % 50 <> 11 AS no_collision FROM x)
+SELECT document, check_name, ok, bool_and(ok) OVER (PARTITION BY document) AS all_ok FROM (UNPIVOT k ON self_match, anchors, records_extracted, row_count_exact,
+ header_company_exact, no_collision INTO NAME check_name VALUE ok)""")
+def dq_verify(t: Tables) -> DataFrame:
+    """Every check of a profile against every exemplar, by extracting it again."""
+    own = next(p for p in b.PROFILES if p.ref == "line.report@v2020")
+    rows = layout.extract_records(t.printed(), b.X_RANGES, b.COLUMN_NAMES, b.ROW_PATTERN, r"(Id|Ref)\s+Severity", ("Inspection report p.",))
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("got"))
+    company = layout.header_values(t.lead_lines(), ("Company:",), "label_right")
+    df = t.headers().join(counts, "doc_id", "left").join(company, "doc_id", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    lead = F.col("lead_text")
+    others = F.filter(detect.all_matches(b.PROFILES, lead), lambda p: p != own.ref)
+    tests = {
+        "self_match": detect.matches(own, lead), "anchors": F.size(detect.anchors_missing(lead, b.ANCHORS)) == 0,
+        "records_extracted": F.col("got") > 0, "row_count_exact": F.col("got") == F.col("declared"),
+        "header_company_exact": F.coalesce(F.col("value") == F.col("company"), F.lit(False)), "no_collision": F.size(others) == 0,
+    }
+    all_ok = None
+    for c in tests.values():
+        all_ok = c if all_ok is None else all_ok & c
+    each = F.array(*[F.struct(F.lit(k).alias("check_name"), v.alias("ok")) for k, v in tests.items()])
+    return df.select("document", F.explode(each).alias("c"), all_ok.alias("all_ok")).select("document", "c.*", "all_ok")
+
+
+@query("dq_replay", """
+SELECT document, count(*) AS n_rows, true AS verified FROM v_legal GROUP BY document""")
+def dq_replay(t: Tables) -> DataFrame:
+    """Run again from the audit record with its pinned maps (newer versions exist and are ignored)."""
+    bundle = defect_bundle()
+    recorded = manifest_of(legal_rows(t), bundle.template)
+    run = make_run(t)
+    newer = dict(run.value_maps)
+    newer[("severity_to_priority", 2)] = [(s, "P4") for s, _ in b.SEVERITY_MAP]
+    run.value_maps = newer
+    again = manifest_of(run.rows(run.outcome(bundle), bundle), bundle.template)
+    both = recorded.join(again.select("document", F.col("content_hash").alias("again")), "document", "full")
+    return both.select("document", "n_rows", F.col("content_hash").eqNullSafe(F.col("again")).alias("verified"))

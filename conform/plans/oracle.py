@@ -238,3 +238,14 @@ VIEWS["v_images"] = """
 SELECT doc_id, pg AS page, id AS img_id, record_seq, top - 30.0 + record_seq % 45 AS img_top, top - 18.0 + record_seq % 45 AS img_bottom
 FROM v_slots WHERE len(issues) = 2
 """
+# document properties and triage
+VIEWS["v_meta"] = r"""
+SELECT page_id AS doc_id, contains(html, '</html>') AS parseable, page_id % 17 = 3 AS encrypted, contains(html, 'track(') AND page_id % 5 = 1 AS xfa,
+ (length(html) - length(replace(html, '<li>', ''))) // 4 * CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS n_fields,
+ CASE WHEN page_id % 7 = 2 THEN 0 ELSE length(regexp_replace(html, '<[^>]*>', '', 'g')) END AS text_chars,
+ (length(html) - length(replace(html, '<p>', ''))) // 3 - 3 AS n_images FROM pages
+"""
+VIEWS["v_triage"] = """
+SELECT *, CASE WHEN NOT parseable THEN 'unparseable' WHEN encrypted THEN 'encrypted' WHEN xfa THEN 'xfa' WHEN n_fields > 0 THEN 'form'
+ WHEN text_chars > 0 THEN 'fixed_layout' WHEN n_images > 0 THEN 'scanned' ELSE 'empty' END AS condition FROM v_meta
+"""
