@@ -50,16 +50,19 @@ def gate(items: DataFrame, targets: DataFrame, paths: DataFrame, observed: DataF
     is dropped from its proposal.
     """
     key = ["session_id", "answer_id", "pos"]
-    sound = items.filter(F.col("drop").isNull()).select(*key, "item.*")
-    known = sound.join(targets, "target_field", "left_semi").join(paths, "from_path", "left_semi")
-    lost = items.filter(F.col("drop").isNotNull()).select(*key, "drop").unionByName(
-        sound.join(known.select(*key), key, "left_anti").select(*key, F.lit("unknown_field").alias("drop")))
+    flagged = items.select(*key, "drop", "item.*").join(
+        targets.withColumn("is_target", F.lit(True)), "target_field", "left").join(
+        paths.withColumn("is_path", F.lit(True)), "from_path", "left")
+    unknown = F.col("is_target").isNull() | F.col("is_path").isNull()
+    judged = flagged.withColumn("drop", F.when(F.col("drop").isNotNull(), F.col("drop")).when(unknown, "unknown_field"))
+    known = judged.filter(F.col("drop").isNull())
+    seen = observed.select("from_path", "source_value").distinct().withColumn("seen", F.lit(True))
     entries = known.select(*key, "target_field", "from_path", "value_map_name", F.posexplode("suggested_entries").alias("n", "e")).select(
-        *key, "target_field", "from_path", "value_map_name", "n", "e.source_value", "e.target_value")
-    seen = observed.select("from_path", "source_value").distinct()
-    kept = entries.join(seen, ["from_path", "source_value"], "left_semi")
-    unseen = entries.join(seen, ["from_path", "source_value"], "left_anti").select(*key, F.lit("unknown_value").alias("drop"))
-    return known.drop("suggested_entries"), kept, lost.unionByName(unseen)
+        *key, "target_field", "from_path", "value_map_name", "n", "e.source_value", "e.target_value").join(
+        seen, ["from_path", "source_value"], "left")
+    lost = judged.filter(F.col("drop").isNotNull()).select(*key, "drop").unionByName(
+        entries.filter(F.col("seen").isNull()).select(*key, F.lit("unknown_value").alias("drop")))
+    return known.drop("suggested_entries", "drop", "is_target", "is_path"), entries.filter("seen").drop("seen"), lost
 
 
 def starter_maps(entries: DataFrame) -> DataFrame:

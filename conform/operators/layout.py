@@ -38,18 +38,31 @@ def anchors(tops: Column) -> Column:
     )
 
 
-def with_line_top(words: DataFrame) -> DataFrame:
-    """Add ``line_top``, the anchor of the visual line each word belongs to."""
-    tops = words.groupBy(*PAGE).agg(anchors(F.array_sort(F.collect_set("top"))).alias("anchors"))
-    return words.join(tops, list(PAGE)).withColumn(
-        "line_top", F.array_max(F.filter("anchors", lambda a: a <= F.col("top")))).drop("anchors")
+def visual_lines(words: DataFrame) -> DataFrame:
+    """One row per visual line: its anchor, its words from left to right, and its text.
 
+    Words are shuffled once, by page. A vertical gap wider than the tolerance always starts a
+    line, so pages fall apart into clusters; a cluster no taller than the tolerance is one line,
+    and only a taller one (a chain of small steps) is split at its anchors.
+    """
+    page = W.partitionBy(*PAGE).orderBy("top")
+    starts = F.coalesce(F.col("top") - F.lag("top").over(page) > LINE_TOLERANCE, F.lit(True)).cast("int")
+    clustered = words.select(*PAGE, "top", "x0", "x1", "text", starts.alias("_start")).withColumn(
+        "_cluster", F.sum("_start").over(page.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    groups = clustered.groupBy(*PAGE, "_cluster").agg(
+        F.min("top").alias("_lo"), F.max("top").alias("_hi"), F.collect_list(F.struct("x0", "top", "x1", "text")).alias("_ws"))
+    cuts = anchors(F.array_sort(F.array_distinct(F.transform("_ws", lambda w: w["top"]))))
+    split = F.transform(cuts, lambda a, i: F.struct(a.alias("line_top"), F.filter(
+        "_ws", lambda w: (w["top"] >= a) & (w["top"] < F.coalesce(F.get(cuts, i + 1), F.lit(float("inf"))))).alias("words")))
+    whole = F.array(F.struct(F.col("_lo").alias("line_top"), F.col("_ws").alias("words")))
+    lines = groups.select(*PAGE, F.explode(F.when(F.col("_hi") - F.col("_lo") <= LINE_TOLERANCE, whole).otherwise(split)).alias("l"))
+    return lines.select(*PAGE, "l.line_top", F.array_sort("l.words").alias("words")).withColumn(
+        "text", F.array_join("words.text", " "))
 
-def visual_lines(words: DataFrame) -> DataFrame:
-    """One row per line: its text and its words from left to right."""
-    ordered = F.array_sort(F.collect_list(F.struct("x0", "top", "x1", "text")))
-    return with_line_top(words).groupBy(*PAGE, "line_top").agg(ordered.alias("words")).withColumn(
-        "text", F.array_join(F.transform("words", lambda w: w["text"]), " "))
+
+def with_line_top(words: DataFrame) -> DataFrame:
+    """Words with ``line_top``, the anchor of the visual line each belongs to."""
+    return visual_lines(words).select(*PAGE, "line_top", F.inline("words"))
 
 
 def column_cells(words: Column, ranges: Sequence[tuple[float, float]]) -> list[Column]:
@@ -110,12 +123,14 @@ def text_near(words: DataFrame, labels: Sequence[str]) -> DataFrame:
         F.array_join(F.transform(picked, lambda w: w["text"]), " ").alias("value"))
 
 
+def midpoints(tops: Column) -> Column:
+    return F.transform(F.slice(tops, 2, F.greatest(F.size(tops) - 1, F.lit(0))), lambda x, i: (x + F.get(tops, i)) / 2)
+
+
 def row_bands(ids: DataFrame) -> DataFrame:
     """Per page the sorted tops of the id words and the edges halfway between them."""
     tops = ids.groupBy(*PAGE).agg(F.array_sort(F.collect_set("top")).alias("id_tops"))
-    mids = F.transform(F.slice("id_tops", 2, F.greatest(F.size("id_tops") - 1, F.lit(0))),
-                       lambda x, i: (x + F.element_at("id_tops", i + 1)) / 2)
-    return tops.select(*PAGE, "id_tops", mids.alias("edges"))
+    return tops.select(*PAGE, "id_tops", midpoints(F.col("id_tops")).alias("edges"))
 
 
 def band_index(top: Column, edges: Column) -> Column:
@@ -180,24 +195,31 @@ def annotation_records(words: DataFrame, must_have: Sequence[str], columns: Sequ
                        page_width: float, severities: Sequence[str], separator: str) -> DataFrame:
     """Records of an annotation table whose cells may wrap around the row of their id.
 
-    Column edges come from the header words, row bands from the midpoints between id words. The
-    id words and edges of a page (bounded by the height of a sheet) are joined to its words; each
-    word then finds its own band and column, and cells are gathered per band.
+    Column edges come from the header words, row bands from the midpoints between id words. Both
+    are spread over the lines of a page by window, on the partitioning the lines already have, so
+    the words are shuffled once; each word then finds its band and column.
     """
-    lined = with_line_top(words)
-    ordered = F.array_sort(F.collect_list(F.struct("x0", "top", "x1", "text")))
-    lines = lined.groupBy(*PAGE, "line_top").agg(ordered.alias("words"))
-    heads = table_headers(lines, must_have).withColumn("ranges", column_edges(F.col("head"), columns, page_width))
-    text = F.array_join(F.transform("words", lambda w: w["text"]), " ")
-    footer = lines.filter(text.rlike(r"^\d+ / \d+$")).select(*PAGE, "line_top", F.lit(True).alias("is_footer"))
-    body = lined.join(footer, [*PAGE, "line_top"], "left").filter(F.col("is_footer").isNull()).join(
-        heads.select(*PAGE, "head_top", "ranges"), list(PAGE)).filter(F.col("top") > F.col("head_top") + 5)
+    lines = visual_lines(words).filter(~F.col("text").rlike(r"^\d+ / \d+$"))
+    whole_page = W.partitionBy(*PAGE)
+    is_head = F.lit(True)
+    for m in must_have:
+        is_head = is_head & F.array_contains("words.text", m)
+    head = F.min(F.when(is_head, F.struct("line_top", "words"))).over(whole_page)
+    lines = lines.withColumn("head", head).filter(F.col("line_top") > F.col("head.line_top") + 5).withColumn(
+        "ranges", column_edges(F.col("head.words"), columns, page_width)).drop("head")
+
+    def in_id_column(w: Column) -> Column:
+        first = F.get("ranges", F.lit(0))
+        return (w["x0"] >= first["lo"]) & (w["x0"] < first["hi"]) & w["text"].rlike(id_pattern)
+
+    ids = F.transform(F.filter("words", in_id_column), lambda w: w["top"])
+    id_tops = F.array_sort(F.array_distinct(F.flatten(F.collect_list(ids).over(whole_page))))
+    lines = lines.withColumn("id_tops", id_tops).filter(F.size("id_tops") > 0).withColumn("edges", midpoints(F.col("id_tops")))
     inside = F.filter("ranges", lambda r: (r["lo"] <= F.col("x0")) & (F.col("x0") < r["hi"]))
-    body = body.withColumn("col", F.get(inside, F.lit(0))["name"]).drop("ranges")
-    is_id = (F.col("col") == columns[0]) & F.col("text").rlike(id_pattern)
-    bands = row_bands(body.filter(is_id))
-    placed = body.join(bands, list(PAGE)).withColumn("band", band_index(F.col("top"), F.col("edges"))).withColumn(
-        "is_id", is_id & F.coalesce(F.col("top") == F.get("id_tops", F.col("band")), F.lit(False)))
+    placed = lines.select(*PAGE, "ranges", "id_tops", "edges", F.inline("words")).select(
+        *PAGE, "top", "x0", "text", F.get(inside, F.lit(0))["name"].alias("col"), band_index(F.col("top"), F.col("edges")).alias("band"), "id_tops")
+    is_id = (F.col("col") == columns[0]) & F.col("text").rlike(id_pattern) & (F.col("top") == F.get("id_tops", F.col("band")))
+    placed = placed.withColumn("is_id", F.coalesce(is_id, F.lit(False))).drop("id_tops")
 
     def cell(name: str) -> Column:
         got = F.array_sort(F.collect_list(F.when((F.col("col") == name) & ~F.col("is_id"),

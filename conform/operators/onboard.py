@@ -127,7 +127,8 @@ def record_tables(lines: DataFrame) -> DataFrame:
     running = furniture(lines).select("doc_id", "prefix")
     marked = lines.withColumn("prefix", tx.drop_page_counter(F.col("text")))
     body = marked.join(running, ["doc_id", "prefix"], "left_anti").drop("prefix")
-    heads = lines.filter(F.size("words") >= 4).select(
+    below = F.count("*").over(W.partitionBy("doc_id", "page").orderBy(F.desc("line_top"))) - 1
+    heads = lines.withColumn("below", below).filter((F.size("words") >= 4) & (F.col("below") >= MIN_ROWS)).select(
         "doc_id", F.col("page").alias("h_page"), F.col("line_top").alias("h_top"), F.col("text").alias("h_text"),
         _header_ranges(F.col("words")).alias("ranges"))
     cand = ["doc_id", "h_page", "h_top", "h_text"]
