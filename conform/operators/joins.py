@@ -20,7 +20,7 @@ def config_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
     return F.broadcast(spark.createDataFrame(list(rows), schema))
 
 
-def hot_keys(sizes: DataFrame, keys: Sequence[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(sizes: DataFrame, keys: Sequence[str], count: str, hot_rows: int) -> DataFrame:
     """Keys above ``hot_rows`` with the number of slices each needs.
 
     At most total_rows / hot_rows keys qualify, so the result is small by construction.
@@ -36,7 +36,7 @@ def attach_group(
     keys: Sequence[str],
     count: str,
     spread: Column,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     how: str = "left",
 ) -> DataFrame:
     """Join per-group values (one row per key, with its row count) back onto the rows.
@@ -46,6 +46,7 @@ def attach_group(
     their rows get a slice number from ``spread``, their group row is repeated once per slice.
     Keys that are not hot keep one slice, so nothing is replicated for them.
     """
+    hot_rows = hot_rows or HOT_ROWS
     hot = F.broadcast(hot_keys(groups, keys, count, hot_rows))
     sliced = (
         rows.join(hot, list(keys), "left")
