@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from conform.operators.joins import attach_group
+
 # Keys under which a model may wrap its list, tried in this order.
 WRAPPERS = ("proposals", "mappings", "routes", "items", "results")
 # Reasons a proposal or a suggested entry is dropped.
 DROPS = ("schema", "unknown_field", "unknown_value")
 TOP_K = 5
+#: Up to this many blocks of target vectors are broadcast; more are joined with salts.
+BROADCAST_BLOCKS, SPREAD = 16, 64
 
 ITEM = ("struct<target_field:string,from_path:string,rationale:string,value_map_name:string,"
         "suggested_entries:array<struct<source_value:string,target_value:string,note:string>>>")
@@ -82,19 +86,25 @@ def rank_similar(sources: DataFrame, targets: DataFrame, k: int | None, block: i
     ``sources(source, v)``, ``targets(target, v)``. Targets are packed into blocks of bounded size;
     sources meet the blocks by an equi join on the block number, score a block in one expression
     and keep its k best, so neither all targets nor all pairs sit in one place. Ties go to the
-    smaller name.
+    smaller name. Few blocks are broadcast (their number and size are checked here); many are
+    repeated over ``SPREAD`` salts, so no block gathers all sources in one task.
     """
     n_blocks = max(1, -(-targets.count() // block))
     packed = targets.withColumn("block", F.pmod(F.xxhash64("target"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(
         F.collect_list(F.struct("target", unit(F.col("v").cast("array<double>")).alias("u"))).alias("targets"))
     s = sources.select("source", unit(F.col("v").cast("array<double>")).alias("u")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    if n_blocks <= BROADCAST_BLOCKS:
+        paired = s.join(F.broadcast(packed), "block")
+    else:
+        salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+        paired = s.withColumn("salt", F.pmod(F.xxhash64("source"), F.lit(SPREAD)).cast("int")).join(salted, ["block", "salt"])
     scored = F.transform("targets", lambda t: F.struct(
         (-F.aggregate(F.zip_with(t["u"], F.col("u"), lambda a, c: a * c), F.lit(0.0), lambda a, x: a + x)).alias("neg"),
         t["target"].alias("target")))
     best = F.array_sort(scored)
     best = F.slice(best, 1, k) if k else best
-    hits = s.join(packed, "block").select("source", F.explode(best).alias("h")).select("source", "h.target", "h.neg")
+    hits = paired.select("source", F.explode(best).alias("h")).select("source", "h.target", "h.neg")
     rank = F.row_number().over(W.partitionBy("source").orderBy("neg", "target"))
     ranked = hits.withColumn("rank", rank)
     if k:
@@ -104,49 +114,72 @@ def rank_similar(sources: DataFrame, targets: DataFrame, k: int | None, block: i
 
 # -- rule edits -------------------------------------------------------------------------------------------
 
-STATE = "struct<mechanism:string,from_path:string,tier:string,vm:string,refused:array<struct<step:bigint,why:string>>>"
+FIXED = ("constant", "formula", "prompt")
+ON_ROUTE = ("accept", "reject", "reroute", "pin")
 
 
-def apply_edits(stubs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Current rule of every field after its edits, in order; edits that cannot apply are listed.
+def apply_edits(drafts: DataFrame, edits: DataFrame, bucket: Column) -> tuple[DataFrame, DataFrame]:
+    """Current rule of every field after its edits, and the edits that could not apply.
 
-    ``stubs(session_id, target_field, from_path, tier)`` is the draft, ``edits(session_id,
-    target_field, step, action, arg)`` the events of a reviewer on one field: a short list, folded
-    in step order.
+    ``drafts(session_id, target_field, from_path, tier)``, ``edits(session_id, target_field, step,
+    action, arg)``. No list of edits is gathered: an edit depends on the past only through a few
+    facts per field, all of them partial aggregates. A field is routed after a create, unrouted after
+    a reject or a fixed value; a stub (T3) or a proposal (T2) stays one until the first edit that
+    can change it. ``bucket`` grows with ``step`` and splits the edits of a busy field.
     """
     key = ["session_id", "target_field"]
-    events = edits.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("step", "action", "arg"))).alias("events"))
-    start = stubs.select(*key, F.struct(
-        F.lit("route").alias("mechanism"), F.col("from_path").alias("from_path"), F.col("tier").alias("tier"),
-        F.lit(None).cast("string").alias("vm"), F.array().cast("array<struct<step:bigint,why:string>>").alias("refused")).alias("start"))
-    none = F.lit(None).cast("string")
-    blank = F.struct(none.alias("mechanism"), none.alias("from_path"), none.alias("tier"), none.alias("vm"),
-                     F.array().cast("array<struct<step:bigint,why:string>>").alias("refused"))
-
-    def made(s, mechanism, path, tier, vm):
-        return F.struct(mechanism.alias("mechanism"), path.alias("from_path"), tier.alias("tier"), vm.alias("vm"), s["refused"].alias("refused")).cast(STATE)
-
-    def step(s: Column, e: Column) -> Column:
-        act, arg = e["action"], e["arg"]
-        routed = F.coalesce(s["mechanism"] == "route", F.lit(False))
-        auto = F.when(s["vm"].isNotNull(), "T1").otherwise("T0")
-        stub = F.coalesce(s["tier"] == "T3", F.lit(False))
-        why = (F.when((act == "create") & routed & ~stub, "already has a route")
-               .when(act.isin("accept", "reject", "reroute", "pin") & ~routed, "no route")
-               .when((act == "accept") & (s["tier"] != "T2"), "not a pending proposal")
-               .when(~act.isin("create", "accept", "reject", "reroute", "pin", "constant", "formula", "prompt"), "unknown edit"))
-        refused = F.struct(s["mechanism"].alias("mechanism"), s["from_path"].alias("from_path"), s["tier"].alias("tier"), s["vm"].alias("vm"),
-                           F.concat(s["refused"], F.array(F.struct(e["step"].alias("step"), why.alias("why")))).alias("refused")).cast(STATE)
-        route = F.lit("route")
-        return (F.when(why.isNotNull(), refused)
-                .when(act == "create", made(s, route, arg, F.lit("T0"), none))
-                .when(act == "accept", made(s, route, s["from_path"], auto, s["vm"]))
-                .when(act == "reject", made(s, none, none, none, none))
-                .when(act == "reroute", made(s, route, arg, auto, s["vm"]))
-                .when(act == "pin", made(s, route, s["from_path"], F.when(s["tier"].isin("T0", "T1"), "T1").otherwise(s["tier"]), arg))
-                .otherwise(made(s, act, arg, F.lit("T0"), none)))
-
-    both = start.join(events, key, "full")
-    return both.select(*key, F.aggregate(
-        F.coalesce("events", F.array().cast("array<struct<step:bigint,action:string,arg:string>>")),
-        F.coalesce("start", blank).cast(STATE), step).alias("s")).select(*key, "s.*")
+    act = F.col("action")
+    first = lambda *a: F.min(F.when(act.isin(*a), F.col("step")))
+    facts = edits.groupBy(*key).agg(
+        first("create", "reroute", "reject", *FIXED).alias("stub_until"), first("accept", "reroute", "reject", *FIXED).alias("proposal_until"),
+        F.count("*").alias("n"))
+    start = drafts.select(*key, F.col("from_path").alias("d_path"), F.col("tier").alias("d_tier"))
+    fields = start.join(facts, key, "full")
+
+    # which of create / reject / fixed value came last before each edit
+    b = edits.withColumn("_b", bucket)
+    turn = F.when(act.isin("create", "reject", *FIXED), act)
+    ends = b.groupBy(*key, "_b").agg(F.max_by(turn, F.when(turn.isNotNull(), F.col("step"))).alias("end"))
+    carried = F.last("end", True).over(W.partitionBy(*key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select(*key, "_b", carried.alias("carried"))
+    inside = F.last(turn, True).over(W.partitionBy(*key, "_b").orderBy("step").rowsBetween(W.unboundedPreceding, -1))
+    placed = b.join(ends, [*key, "_b"]).withColumn("before", F.coalesce(inside, "carried")).drop("carried", "_b")
+    known = attach_group(placed, fields.filter("n is not null"), key, "n", F.col("step"), how="inner")
+    routed = F.coalesce(F.col("before") == "create", F.col("d_tier").isNotNull())
+    stub = F.coalesce((F.col("d_tier") == "T3") & (F.col("step") <= F.coalesce("stub_until", "step")), F.lit(False))
+    proposal = F.coalesce((F.col("d_tier") == "T2") & (F.col("step") <= F.coalesce("proposal_until", "step")), F.lit(False))
+    why = (F.when((act == "create") & routed & ~stub, "already has a route")
+           .when(act.isin(*ON_ROUTE) & ~routed, "no route").when((act == "accept") & ~proposal, "not a pending proposal")
+           .when(~act.isin("create", *ON_ROUTE, *FIXED), "unknown edit"))
+    judged = known.withColumn("why", why)
+
+    # the rule in force: what opened the current route, then the last reroute and the last pin since
+    final = fields.join(edits_since(judged, key), key, "left")
+    reset, opened_at = F.col("reset.step"), F.col("opened")
+    by_create = opened_at.isNotNull() & (reset.isNull() | (opened_at > reset))
+    by_draft = F.col("d_tier").isNotNull() & reset.isNull() & opened_at.isNull()
+    on_route = by_create | by_draft
+    fixed = ~on_route & F.coalesce(F.col("reset.action").isin(*FIXED), F.lit(False))
+    auto = F.when(F.col("vm").isNotNull(), "T1").otherwise("T0")
+    tier = F.when(by_create | F.coalesce("settled", F.lit(False)), auto).otherwise(F.col("d_tier"))
+    state = final.select(
+        *key, F.when(on_route, "route").when(fixed, F.col("reset.action")).alias("mechanism"),
+        F.when(on_route, F.coalesce("path", "d_path")).when(fixed, F.col("reset.arg")).alias("from_path"),
+        F.when(on_route, tier).when(fixed, "T0").alias("tier"), F.when(on_route, F.col("vm")).alias("vm"))
+    return state, judged.filter(F.col("why").isNotNull()).select(*key, "step", "why")
+
+
+def edits_since(judged: DataFrame, key: list[str]) -> DataFrame:
+    """Per field, over its applied edits: when its route was last opened, its path, its pinned map.
+
+    Maxima of (step, value) are kept per kind of edit; what lies before the opening is recognised
+    by comparing steps, so one aggregate over all edits is enough.
+    """
+    ok = F.col("why").isNull()
+    latest = lambda *a: F.max(F.when(ok & F.col("action").isin(*a), F.struct("step", "arg")))
+    g = judged.groupBy(*key).agg(latest("create").alias("o"), latest("create", "reroute").alias("p"), latest("pin").alias("v"),
+                                 latest("accept", "reroute").alias("s"),
+                                 F.max(F.when(ok & F.col("action").isin("reject", *FIXED), F.struct("step", "action", "arg"))).alias("reset"))
+    since = lambda c: F.col("o").isNull() | (F.col(f"{c}.step") > F.col("o.step"))
+    return g.select(*key, "reset", F.col("o.step").alias("opened"), F.col("p.arg").alias("path"), F.when(since("v"), F.col("v.arg")).alias("vm"),
+                    F.when(since("s"), F.col("s.step").isNotNull()).alias("settled"))

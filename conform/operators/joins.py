@@ -38,16 +38,18 @@ def attach_group(
     spread: Column,
     hot_rows: int | None = None,
     how: str = "left",
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join per-group values (one row per key, with its row count) back onto the rows.
 
     A plain equi join would send every row of a hot key to one task, and adaptive skew handling
     cannot split a side that comes straight out of an aggregation. Hot keys are therefore sliced:
     their rows get a slice number from ``spread``, their group row is repeated once per slice.
-    Keys that are not hot keep one slice, so nothing is replicated for them.
+    Keys that are not hot keep one slice, so nothing is replicated for them. ``sizes`` (keys and
+    count) may be given where the row counts are cheaper to get than the group values.
     """
     hot_rows = hot_rows or HOT_ROWS
-    hot = F.broadcast(hot_keys(groups, keys, count, hot_rows))
+    hot = F.broadcast(hot_keys(groups if sizes is None else sizes, keys, count, hot_rows))
     sliced = (
         rows.join(hot, list(keys), "left")
         .withColumn("_slice", F.when(F.col("slices").isNotNull(),

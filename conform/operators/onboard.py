@@ -109,7 +109,9 @@ def _cells(words: Column, ranges: Column) -> Column:
 
 def _aligned(lines: DataFrame, heads: DataFrame, keys: list[str], below: Column) -> DataFrame:
     """Lines that fill the columns of a candidate header, with their first cell and its class."""
-    pairs = lines.join(heads, keys).filter(below & (F.col("text") != F.col("h_text")))
+    # a line with fewer words than cells to fill cannot qualify: dropped before cells are cut
+    enough = F.size("words") >= F.greatest(F.lit(3), F.size("ranges") - 2)
+    pairs = lines.join(heads, keys).filter(below & enough & (F.col("text") != F.col("h_text")))
     pairs = pairs.withColumn("cells", _cells(F.col("words"), F.col("ranges")))
     first = F.get("cells", F.lit(0))
     filled = F.size(F.filter("cells", lambda c: c != ""))
@@ -148,10 +150,11 @@ def record_tables(lines: DataFrame) -> DataFrame:
 
 def recount(lines: DataFrame, tables: DataFrame) -> DataFrame:
     """Rows of each table counted the way extraction will: first cell against the row pattern."""
-    t = tables.select("doc_id", "ranges", "h_text", F.concat(F.lit("^"), "class", F.lit("$")).alias("pattern"))
+    t = tables.select("doc_id", "ranges", "h_text", "class")
     first = F.get(_cells(F.col("words"), F.slice("ranges", 1, 1)), F.lit(0))
     hit = lines.join(t, "doc_id").filter(F.col("text") != F.col("h_text")).withColumn("first", first)
-    return hit.filter(F.expr("first <> '' AND first rlike pattern")).groupBy("doc_id").agg(F.count("*").alias("recurrence"))
+    # the row pattern is "^class$", so matching it means having that structure class
+    return hit.filter((F.col("first") != "") & (tx.structure_class(F.col("first")) == F.col("class"))).groupBy("doc_id").agg(F.count("*").alias("recurrence"))
 
 
 def label_values(lines: DataFrame, tables: DataFrame) -> DataFrame:
@@ -175,9 +178,9 @@ def agreement(elements: DataFrame, group: str) -> DataFrame:
     sizes = elements.select(group, "doc_id").distinct().groupBy(group).agg(
         F.min("doc_id").alias("first_doc"), (F.count("*") - 1).alias("extras"))
     shown = elements.select(group, "doc_id", "text").distinct().groupBy(group, "text").agg(F.count("*").alias("in_docs"))
-    primary = elements.join(sizes, group).filter(F.col("doc_id") == F.col("first_doc"))
+    primary = elements.join(sizes.withColumnRenamed("first_doc", "doc_id"), [group, "doc_id"])
     return primary.join(shown, [group, "text"]).withColumn(
-        "agreement", F.when(F.col("extras") == 0, 1.0).otherwise((F.col("in_docs") - 1) / F.col("extras"))).drop("first_doc", "in_docs")
+        "agreement", F.when(F.col("extras") == 0, 1.0).otherwise((F.col("in_docs") - 1) / F.col("extras"))).drop("in_docs")
 
 
 def confidence(kind: Column, n: Column, agree: Column, pages: Column, has_value: Column) -> Column:

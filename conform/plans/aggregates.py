@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from conform.operators import assist, onboard, ranking, registry
+from conform.operators.joins import attach_group
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
 from conform.plans.oracle import VIEWS
@@ -145,8 +146,8 @@ SELECT conv_id AS session_id, turn AS generation, role, CASE WHEN turn = max(tur
 def win_gener(t: Tables) -> DataFrame:
     """Proposal generations of a session: the newest is active, the older ones stay for the audit."""
     c = t.t("conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("generation"), "role")
-    newest = c.groupBy("session_id").agg(F.max("generation").alias("newest"))
-    return c.join(newest, "session_id").select("session_id", "generation", "role",
+    newest = c.groupBy("session_id").agg(F.max("generation").alias("newest"), F.count("*").alias("n"))
+    return attach_group(c, newest, ["session_id"], "n", F.col("generation")).select("session_id", "generation", "role",
                                                F.when(F.col("generation") == F.col("newest"), "active").otherwise("superseded").alias("status"))
 
 
@@ -196,8 +197,11 @@ st AS (
     WHEN e.action IN ('accept','reject','reroute','pin') AND NOT coalesce(s.mechanism = 'route', false) THEN 'no route'
     WHEN e.action = 'accept' AND s.tier <> 'T2' THEN 'not a pending proposal' WHEN e.action = 'redraw' THEN 'unknown edit' ELSE '' END AS why
   FROM st s JOIN v_edits e ON e.session_id = s.session_id AND e.target_field = s.target_field AND e.rn = s.rn + 1))
-SELECT session_id, target_field, coalesce(mechanism, '') AS mechanism, coalesce(from_path, '') AS from_path, coalesce(tier, '') AS tier, coalesce(vm, '') AS vm, refused
-FROM st QUALIFY row_number() OVER (PARTITION BY session_id, target_field ORDER BY rn DESC) = 1""")
+SELECT session_id, target_field, -1::BIGINT AS step, coalesce(mechanism, '') AS mechanism, coalesce(from_path, '') AS from_path, coalesce(tier, '') AS tier, coalesce(vm, '') AS vm, '' AS refused
+FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY session_id, target_field ORDER BY rn DESC) = 1)
+UNION ALL SELECT session_id, target_field, split_part(r, ':', 1)::BIGINT, '', '', '', '', split_part(r, ':', 2) FROM (
+ SELECT session_id, target_field, unnest(string_split(refused, ';')) AS r FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY session_id, target_field ORDER BY rn DESC) = 1))
+WHERE r <> ''""")
 def win_edits(t: Tables) -> DataFrame:
     e = t.t("events").select(F.col("user_id").alias("session_id"), _field(F.col("event_type")).alias("target_field"), F.col("event_id").alias("step"),
                              F.element_at(F.array(*map(F.lit, ACTIONS)), (F.floor(F.col("event_id") / 7) % 9 + 1).cast("int")).alias("action"),
@@ -207,9 +211,10 @@ def win_edits(t: Tables) -> DataFrame:
     q = t.required().withColumnRenamed("transform_id", "session_id").join(p.select(*key), key, "left_anti")
     drafts = p.select(*key, "from_path", F.lit("T2").alias("tier")).unionByName(
         q.select(*key, F.lit("?").alias("from_path"), F.lit("T3").alias("tier")))
-    out = assist.apply_edits(drafts, e)
-    refused = F.array_join(F.transform("refused", lambda r: F.concat(r["step"].cast("string"), F.lit(":"), r["why"], F.lit(";"))), "")
-    return out.select(*key, *[F.coalesce(c, F.lit("")).alias(c) for c in ("mechanism", "from_path", "tier", "vm")], refused.alias("refused"))
+    state, refused = assist.apply_edits(drafts, e, F.floor(F.col("step") / 1000))
+    parts = ("mechanism", "from_path", "tier", "vm")
+    rows = state.select(*key, F.lit(-1).cast("long").alias("step"), *[F.coalesce(c, F.lit("")).alias(c) for c in parts], F.lit("").alias("refused"))
+    return rows.unionByName(refused.select(*key, "step", *[F.lit("").alias(c) for c in parts], F.col("why").alias("refused")))
 
 
 def _field(e):

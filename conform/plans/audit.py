@@ -37,9 +37,10 @@ def commit_run(run: Run, run_id: str, path: str) -> None:
     sinks.write_card(verdicts, score.batch_card(verdicts), f"{path}/run={run_id}/card")
     manifest.write.mode("overwrite").parquet(f"{path}/run={run_id}/manifest")
     digest = sinks.content_hash(run.documents, [], "document", ["sha"])
-    record = score.run_summary(verdicts).crossJoin(digest.select(F.col("content_hash").alias("batch_digest"))).select(
-        F.lit(run_id).alias("run_id"), F.lit(",".join(b.doc["meta"]["target_template"] for b in run.bundles)).alias("mappings"),
-        F.lit(json.dumps(dict(run.answers), sort_keys=True)).alias("answers"), "*")
+    this = F.lit(run_id).alias("run_id")
+    record = score.run_summary(verdicts).select(this, "*").join(
+        digest.select(this, F.col("content_hash").alias("batch_digest")), "run_id").select("*", F.lit(",".join(b.doc["meta"]["target_template"] for b in run.bundles)).alias("mappings"),
+        F.lit(json.dumps(dict(run.answers), sort_keys=True)).alias("answers"))
     record.write.mode("append").parquet(f"{path}/runs")
 
 

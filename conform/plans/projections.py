@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conform.functions import text as tx
 from conform.operators import mapping
+from conform.operators.joins import attach_group
 from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
@@ -19,7 +20,8 @@ KEEP = ("document", "record_seq", "id")
 
 def records(t: Tables) -> DataFrame:
     """Every finding with its document header, no gate applied."""
-    return t.findings().join(t.headers().select("doc_id", "document", *HEADER_PATHS), "doc_id")
+    heads = t.headers().select("doc_id", "document", F.col("declared").alias("extracted"), *HEADER_PATHS)
+    return attach_group(t.findings(), heads, ["doc_id"], "extracted", F.col("record_seq"), how="inner", sizes=t.finding_counts())
 
 
 def resolve_one(t: Tables, doc: dict, targets: tuple[str, ...], df: DataFrame | None = None, keep=KEEP) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from conform.functions import messages as msg
 from conform.operators import detect, mapping, score, validate
+from conform.operators.joins import attach_group
 from conform.sources.config import Profile, Template, coverage, required_prompts
 
 HEADER_PATHS = {k: k for k in ("inspection_name", "report_date", "inspection_type", "company")}
@@ -57,8 +58,9 @@ class Run:
     @cached_property
     def records(self) -> DataFrame:
         """Findings of the documents that passed the gate, with their header."""
-        open_docs = self.gated.filter(F.col("blocked_kind") == "").select("doc_id", "document", *HEADER_PATHS.values())
-        return self.findings.join(open_docs, "doc_id").withColumn(
+        open_docs = self.gated.filter(F.col("blocked_kind") == "").select("doc_id", "document", "extracted", *HEADER_PATHS.values())
+        joined = attach_group(self.findings, open_docs, ["doc_id"], "extracted", F.col("record_seq"), how="inner", sizes=self.counts)
+        return joined.withColumn(
             "parse_error", validate.parse_error(F.col("severity"), F.col("page"), F.col("page_text"), self.severities))
 
     KEEP = ("doc_id", "document", "record_seq", "id")

@@ -79,3 +79,47 @@ def test_similarity_in_blocks_equals_brute_force(spark):
     for i in range(20):
         want = sorted(range(30), key=lambda j: (-round(sims[i, j], 12), j))[:5]
         assert [got[f"s{i:02d}"][k] for k in range(1, 6)] == [f"t{j:02d}" for j in want]
+
+
+def test_edits_of_one_busy_field(spark):
+    """All edits on one field, split over many buckets, against a step-by-step replay."""
+    import random
+
+    rnd = random.Random(5)
+    kinds = ("create", "accept", "reject", "reroute", "pin", "constant", "redraw")
+    for tier in ("T2", "T3", None):
+        events = [("s", "f", i, rnd.choice(kinds), f"a{i}") for i in range(60)]
+        st, refused = ({"m": "route", "p": "x", "t": tier, "v": None} if tier else {"m": None, "p": None, "t": None, "v": None}), []
+        for _, _, i, act, arg in events:
+            routed = st["m"] == "route"
+            auto = "T1" if st["v"] else "T0"
+            if act == "redraw" or (act == "create" and routed and st["t"] != "T3") or (act in ("accept", "reject", "reroute", "pin") and not routed) \
+                    or (act == "accept" and st["t"] != "T2"):
+                refused.append(i)
+            elif act == "create":
+                st = {"m": "route", "p": arg, "t": "T0", "v": None}
+            elif act == "accept":
+                st["t"] = auto
+            elif act == "reject":
+                st = {"m": None, "p": None, "t": None, "v": None}
+            elif act == "reroute":
+                st["p"], st["t"] = arg, auto
+            elif act == "pin":
+                st["v"], st["t"] = arg, "T1" if st["t"] in ("T0", "T1") else st["t"]
+            else:
+                st = {"m": act, "p": arg, "t": "T0", "v": None}
+        drafts = spark.createDataFrame([("s", "f", "x", tier)] if tier else [], "session_id string, target_field string, from_path string, tier string")
+        edits = spark.createDataFrame(events, "session_id string, target_field string, step long, action string, arg string")
+        state, lost = assist.apply_edits(drafts, edits, F.floor(F.col("step") / 7))
+        got = state.first()
+        assert (got.mechanism, got.from_path, got.tier, got.vm) == (st["m"], st["p"], st["t"], st["v"])
+        assert sorted(r.step for r in lost.collect()) == refused
+
+
+def test_salted_blocks_give_the_same_ranking(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    frames = [spark.createDataFrame([(f"{n}{i}", [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(12, 4)))], f"{c} string, v array<double>")
+              for n, c in (("s", "source"), ("t", "target"))]
+    want = sorted(map(tuple, assist.rank_similar(*frames, 3, block=2).collect()))
+    monkeypatch.setattr(assist, "BROADCAST_BLOCKS", 1)
+    assert sorted(map(tuple, assist.rank_similar(*frames, 3, block=2).collect())) == want
