@@ -23,6 +23,8 @@ from conform.session import stage
 MAX_SLOTS = 1_000_000
 #: Documents of a source and id range that are numbered in one task.
 RANGE_ROWS = 5_000
+#: Counts of streams and ranges that are sent to every task; more are dealt out.
+BROADCAST_COUNTS = 100_000
 
 
 def slot_plan(weights: Mapping[str, int]) -> dict[str, list[int]]:
@@ -68,18 +70,18 @@ def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows:
 
     listed = F.when(F.col(source_col).isin(list(weights)), F.col(source_col)) if weights else F.lit(None).cast("string")
     ranges = ranges_of(docs.select(id_col), id_col, F.lit(1), RANGE_ROWS)
-    rows = docs.select(*own, listed.alias("stream"), ranges.number(F.col(id_col)).alias("_range"))
-    counts = stage(rows.groupBy("stream", "_range").agg(F.count("*").alias("_n")), "mixing")
+    rows = docs.select(F.struct(*own).alias("row"), F.col(id_col).alias("id"), F.xxhash64(*own).alias("hash"), listed.alias("stream"), ranges.number(F.col(id_col)).alias("range"))
+    counts = stage(rows.groupBy("stream", "range").agg(F.count("*").alias("n")), "mixing")
     # one row per stream and range: the running count is over short lists
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("stream").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("stream").alias("_s"), F.col("_range").alias("_r"), before.alias("_before"))
-    rank = F.row_number().over(W.partitionBy("stream", "_range").orderBy(F.col(id_col).asc_nulls_first(), F.xxhash64(*own)))
-    ranked = rows.withColumn("_rank", rank)
-    number = F.col("_before") + F.col("_rank") - 1
-    numbered = ranked.join(F.broadcast(starts) if ranges.count * len(plan) <= 100_000 else starts, F.col("stream").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
-    numbered = numbered.select(*own, "stream", F.floor(number / block_rows).cast("long").alias("block"), F.pmod(number, F.lit(block_rows)).cast("int").alias("place"))
-    w, i = F.col("w").cast("long"), F.col("block")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("stream").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col("stream").alias("of"), F.col("range").alias("part"), before.alias("before"))
+    rank = F.row_number().over(W.partitionBy("stream", "range").orderBy(F.asc_nulls_first("id"), "hash"))
+    ranked = rows.withColumn("rank", rank)
+    number = F.col("before") + F.col("rank") - 1
+    few = ranges.count * len(plan) <= BROADCAST_COUNTS
+    numbered = ranked.join(F.broadcast(starts) if few else starts, F.col("stream").eqNullSafe(F.col("of")) & (F.col("range") == F.col("part")))
+    numbered = numbered.select("row", "stream", F.floor(number / block_rows).cast("long").alias("block"), F.pmod(number, F.lit(block_rows)).cast("int").alias("place"))
     slot = F.expr(f"(block div w) * {total} + slots[cast(block % w as int)]")
     placed = numbered.join(streams, F.col("stream").eqNullSafe(F.col("s")))
-    return placed.select(*own, "stream", "block", F.expr(f"(block * {total}) div w").alias("release"), F.expr(f"((block + 1) * {total} + w - 1) div w").alias("deadline"),
-                         slot.cast("long").alias("slot"), "place")
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in own], "stream", "block", F.expr(f"(block * {total}) div w").alias("release"),
+                         F.expr(f"((block + 1) * {total} + w - 1) div w").alias("deadline"), slot.cast("long").alias("slot"), "place")

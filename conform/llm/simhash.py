@@ -190,16 +190,16 @@ def one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col: str
     Of rows that share this id, that with the smallest fingerprint stays, and of rows equal in both too any one. A class
     without ids keeps one row. The texts are stored once with their fingerprints, so these are made once.
     """
-    each = stage(docs.select(*docs.columns, fingerprint(F.col(text_col), shingle).alias("_fp")), "simhash")
-    known = stage(each.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_col).alias("_least"), F.count("*").alias("_n")), "known")
+    each = stage(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
+    known = stage(each.groupBy("fp").agg(F.min("id").alias("least")), "known")
     linked = stage(classes(known.select("fp"), radius), "classes")
-    member = stage(known.join(linked, "fp", "left").select("fp", F.coalesce("class", "fp").alias("class"), "_least"), "member")
+    member = known.join(linked, "fp", "left").select("fp", F.coalesce("class", "fp").alias("class"), "least")
     # the fingerprint that keeps a row: the one with the smallest id of its class
-    keeper = stage(member.groupBy("class").agg(F.min(F.struct(F.col("_least").isNull().alias("_none"), F.col("_least"), F.col("fp"))).alias("k")).select(F.col("k.fp").alias("_fp"), F.col("k._least").alias("_keep")), "keeper")
-    kept = each.join(keeper, "_fp").filter(F.col(id_col).eqNullSafe(F.col("_keep")))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
+    keeper = stage(member.groupBy("class").agg(first.alias("k")).select("k.fp", F.col("k.least").alias("keep")), "keeper")
+    kept = each.join(keeper, "fp").filter(F.col("id").eqNullSafe(F.col("keep")))
     # equal ids under one fingerprint are rare: only their rows are dealt out again
-    twice = stage(kept.groupBy("_fp").count().filter("count > 1").select("_fp"), "twice")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    single = kept.join(twice, "_fp", "left_anti")
-    return single.unionByName(kept.join(twice, "_fp", "left_semi").dropDuplicates(["_fp"])).select(*docs.columns)
+    twice = stage(kept.groupBy("fp").count().filter("count > 1").select("fp"), "twice")
+    if not twice.isEmpty():
+        kept = kept.join(twice, "fp", "left_anti").unionByName(kept.join(twice, "fp", "left_semi").dropDuplicates(["fp"]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,0 +1,62 @@
+"""Registered queries against their SQL, and the pipeline against its parts."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from conform.llm import catalog, langid, queries, simhash, winnow  # noqa: F401
+from conform.llm.catalog import table
+from tools.check_oracle import TABLES, canonical
+from pyspark.sql import functions as F
+
+DATA = "/root/testdata/sf0.001"
+
+
+def test_all_operators_are_registered():
+    names = entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[:2] == "op" and n[2].isdigit()) == list(range(1, 11)) and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    df = catalog.QUERIES[name](spark, DATA)
+    cur = con.execute(catalog.ORACLES[name])
+    cols = [d[0] for d in cur.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cur.fetchall(), cols)
+
+
+@pytest.mark.parametrize("name", ["op3_personal_data", "op6_toxicity", "op8_simhash_classes", "op9_edit_fingerprints", "op10_language"])
+def test_query_returns_every_row(spark, name):
+    df = catalog.QUERIES[name](spark, DATA)
+    assert df.select("doc_id").distinct().count() == df.count() == table(spark, DATA, "documents").count()
+
+
+def test_pipeline_does_what_its_stages_decide(spark):
+    docs = table(spark, DATA, "documents")
+    extra = spark.createDataFrame([(10_001, "12 34", "en", "src0", 5), (10_002, None, None, None, None)], docs.schema)
+    docs = docs.unionByName(extra)
+    first = corpus_pipeline.language(spark, docs, DATA)
+    assert {r.doc_id for r in docs.select("doc_id").subtract(first.select("doc_id")).collect()} == {10_001, 10_002}
+    second = corpus_pipeline.near_copies(spark, first, DATA)
+    want = {r.component_id for r in simhash.near_copies(first).collect()}
+    assert sorted(r.doc_id for r in second.select("doc_id").collect()) == sorted(want)
+    third = corpus_pipeline.benchmark(spark, second, DATA)
+    bad = {r.doc_id for r in winnow.with_overlap(second, table(spark, DATA, "benchmark")).filter(winnow.contaminated()).select("doc_id").collect()}
+    assert {r.doc_id for r in third.select("doc_id").collect()} == want - bad
+    fourth = corpus_pipeline.personal(spark, third, DATA)
+    assert first.columns == second.columns == third.columns == fourth.columns == docs.columns
+    assert fourth.filter(F.col("text").rlike(r"@mail\d")).count() == 0 and fourth.filter(F.col("n_chars") != F.length("text")).count() == 0
+    last = corpus_pipeline.mixture(spark, fourth, DATA)
+    assert last.count() == fourth.count() and "slot" in last.columns
+
+
+def test_pipeline_takes_an_empty_table(spark):
+    docs = table(spark, DATA, "documents").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA)
+        assert docs.count() == 0
