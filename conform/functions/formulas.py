@@ -130,8 +130,14 @@ def _python_format(number: pd.Series, spec: pd.Series) -> pd.Series:
 
 
 def _to_double(text: Column) -> Column:
-    """A float the way a lenient reader takes it: outer blanks and a leading plus are fine."""
-    return F.regexp_replace(F.trim(text), "^[+](?=[0-9.])", "").try_cast("double")
+    """A decimal number with optional sign, point and exponent, outer blanks allowed; anything else is null.
+
+    Suffixed, hexadecimal and non-finite spellings are not numbers here: they would be guesses.
+    """
+    t = F.trim(text)
+    number = F.regexp_replace(t, "^[+]", "").try_cast("double")
+    sound = t.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$") & (F.abs(number) < F.lit(float("inf")))
+    return F.when(sound, number)
 
 
 def number_format(text: Column, spec: str) -> Result:

@@ -16,34 +16,79 @@ TOP_K = 5
 #: Up to this many blocks of target vectors are broadcast; more are joined with salts.
 BROADCAST_BLOCKS, SPREAD = 16, 64
 
-ITEM = ("struct<target_field:string,from_path:string,rationale:string,value_map_name:string,"
-        "suggested_entries:array<struct<source_value:string,target_value:string,note:string>>>")
+ENTRY = "struct<source_value:string,target_value:string,note:string>"
+ITEM = f"struct<target_field:string,from_path:string,rationale:string,value_map_name:string,suggested_entries:array<{ENTRY}>>"
+# Members of an item and of an entry with the pattern and the length (least, most) of their text.
+ITEM_TEXTS = {"target_field": ("^[a-z][a-z0-9_]*$", 1, 120), "from_path": (r"^(header|finding)\.[a-z][a-z0-9_]*$", 0, None),
+              "rationale": (None, 3, 300), "value_map_name": ("^[a-z][a-z0-9_]*$", 0, 120)}
+ENTRY_TEXTS = {"source_value": (None, 0, 500), "target_value": (None, 0, 500), "note": (None, 0, 300)}
+NEEDED = {"item": ("target_field", "from_path", "rationale"), "entry": ("source_value", "target_value")}
+MAX_ENTRIES = 100
+
+
+def _kind(v: Column) -> Column:
+    return F.schema_of_variant(v)
+
+
+def _members(v: Column) -> Column:
+    """The members of an object by name; null for anything else."""
+    return F.when(F.startswith(_kind(v), F.lit("OBJECT")), v.try_cast("map<string,variant>"))
 
 
 def answer_items(raw: Column) -> Column:
-    """Array of proposal items in a model answer, or null when it holds none in any known shape.
+    """Array of the items (variants) of a model answer, or null when it holds none in any known shape.
 
-    Accepted: a list; a list under a known key; any list-valued member; a lone proposal object.
+    Accepted: a list; a list under a known key; any list-valued member; a lone proposal object. An empty list is an answer
+    without items, not an unusable one; a text that merely looks like a list is none.
     """
-    text = F.trim(raw)
-    members = F.from_json(text, "map<string,string>")
-    sound = F.try_parse_json(text).isNotNull()
-    wrapped = [F.when(F.startswith(F.try_element_at(members, F.lit(k)), F.lit("[")), F.try_element_at(members, F.lit(k)))
-               for k in WRAPPERS]
-    any_list = F.get(F.filter(F.map_values(members), lambda v: F.startswith(v, F.lit("["))), F.lit(0))
-    lone = F.when(F.map_contains_key(members, "target_field") & F.map_contains_key(members, "from_path"),
-                  F.concat(F.lit("["), text, F.lit("]")))
-    listed = F.when(F.startswith(text, F.lit("[")), text).when(
-        F.startswith(text, F.lit("{")), F.coalesce(*wrapped, any_list, lone))
-    return F.from_json(F.when(sound, listed), f"array<{ITEM}>")
+    v = F.try_parse_json(F.trim(raw))
+    members = _members(v)
+    as_list = lambda x: F.when(F.startswith(_kind(x), F.lit("ARRAY")), x.try_cast("array<variant>"))
+    wrapped = [as_list(F.try_element_at(members, F.lit(k))) for k in WRAPPERS]
+    names = F.map_keys(F.from_json(F.trim(raw), "map<string,string>"))  # in the order of the text
+    any_list = F.get(F.filter(F.transform(names, lambda k: as_list(F.try_element_at(members, k))), lambda x: x.isNotNull()), F.lit(0))
+    lone = F.when(F.map_contains_key(members, "target_field") & F.map_contains_key(members, "from_path"), F.array(v))
+    return F.coalesce(as_list(v), *wrapped, any_list, lone)
+
+
+def _sound_texts(members: Column, texts: dict, needed: tuple) -> Column:
+    """Whether needed members exist and all text members are texts of the right form."""
+    ok = F.lit(True)
+    for name, (pattern, least, most) in texts.items():
+        v = F.try_element_at(members, F.lit(name))
+        t = F.when(_kind(v) == "STRING", v.try_cast("string"))
+        form = t.isNotNull() & (F.length(t) >= least)
+        form = form & (F.length(t) <= most) if most else form
+        form = form & t.rlike(pattern) if pattern else form
+        ok = ok & (F.coalesce(form, F.lit(False)) if name in needed else v.isNull() | F.coalesce(form, F.lit(False)))
+    return ok
+
+
+def sound_item(v: Column) -> Column:
+    """Whether an item has the members a proposal may have, with their types, forms and lengths, and no others.
+
+    A map name and its entries come together or not at all.
+    """
+    m = _members(v)
+    known = F.array(*map(F.lit, (*ITEM_TEXTS, "suggested_entries")))
+    listed = F.try_element_at(m, F.lit("suggested_entries"))
+    entries = F.when(F.startswith(_kind(listed), F.lit("ARRAY")), listed.try_cast("array<variant>"))
+
+    def sound_entry(e: Column) -> Column:
+        own = _members(e)
+        return F.coalesce((F.size(F.array_except(F.map_keys(own), F.array(*map(F.lit, ENTRY_TEXTS)))) == 0) & _sound_texts(own, ENTRY_TEXTS, NEEDED["entry"]), F.lit(False))
+
+    paired = F.map_contains_key(m, "suggested_entries") == F.map_contains_key(m, "value_map_name")
+    fine = listed.isNull() | F.coalesce((F.size(entries) <= MAX_ENTRIES) & F.forall(entries, sound_entry), F.lit(False))
+    return F.coalesce((F.size(F.array_except(F.map_keys(m), known)) == 0) & _sound_texts(m, ITEM_TEXTS, NEEDED["item"]) & paired & fine, F.lit(False))
 
 
 def parse_answers(answers: DataFrame) -> DataFrame:
-    """One row per item (``item`` null and ``drop = schema`` for an unusable answer)."""
-    items = answers.withColumn("items", answer_items(F.col("raw")))
-    rows = items.select("session_id", "answer_id", F.posexplode_outer("items").alias("pos", "item"))
-    complete = F.col("item.target_field").isNotNull() & F.col("item.from_path").isNotNull() & F.col("item.rationale").isNotNull()
-    return rows.withColumn("drop", F.when(F.coalesce(complete, F.lit(False)), None).otherwise("schema"))
+    """One row per item (``item`` null and ``drop = schema`` for an unusable answer); an answer without items has no row."""
+    items = answers.withColumn("items", answer_items(F.col("raw"))).filter(F.coalesce(F.size("items") > 0, F.lit(True)))
+    rows = items.select("session_id", "answer_id", F.posexplode_outer("items").alias("pos", "v"))
+    ok = sound_item(F.col("v"))
+    return rows.select("session_id", "answer_id", "pos", F.when(ok, F.from_json(F.to_json("v"), ITEM)).alias("item"), F.when(~ok, F.lit("schema")).alias("drop"))
 
 
 def gate(items: DataFrame, targets: DataFrame, paths: DataFrame, observed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -77,12 +77,17 @@ def integrity_reason(missing: Column, declared: Column, extracted: Column) -> Co
 
 
 def gate(docs: DataFrame, counts: DataFrame, profiles: Sequence[Profile], run_profile: str,
-         anchors: Mapping[str, str]) -> DataFrame:
+         anchors: Mapping[str, str], known: DataFrame | None = None) -> DataFrame:
     """One row per document with ``blocked_kind``/``reason`` ("" when it may be converted).
 
-    Copies are found before anything else is computed for them; each document is judged alone.
+    Copies are found before anything else is computed for them; each document is judged alone. With ``known`` (hashes in
+    ``sha``) a document whose content was converted before is a copy, too.
     """
-    df = mark_copies(docs).withColumn("profile", first_match(profiles, F.col("lead_text")))
+    marked = mark_copies(docs)
+    if known is not None:
+        seen = known.select("sha").distinct().withColumn("_seen", F.lit(True))
+        marked = marked.join(seen, "sha", "left").withColumn("is_first", F.col("is_first") & F.col("_seen").isNull()).drop("_seen")
+    df = marked.withColumn("profile", first_match(profiles, F.col("lead_text")))
     df = df.join(counts, "doc_id", "left").withColumn("extracted", F.coalesce("extracted", F.lit(0)))
     why = integrity_reason(anchors_missing(F.col("lead_text"), anchors), F.col("declared"), F.col("extracted"))
     unknown = F.coalesce(F.col("profile") != run_profile, F.lit(True))

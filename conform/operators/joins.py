@@ -14,10 +14,9 @@ HOT_ROWS = 2_000_000
 
 
 def config_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A broadcastable frame of driver-side configuration; its size is checked here."""
-    if len(rows) > MAX_CONFIG_ROWS:
-        raise ValueError(f"{len(rows)} configuration rows: store them as a table and join it")
-    return F.broadcast(spark.createDataFrame(list(rows), schema))
+    """A frame of driver-side configuration, broadcast while it is small and joined like a table beyond that."""
+    frame = spark.createDataFrame(list(rows), schema)
+    return F.broadcast(frame) if len(rows) <= MAX_CONFIG_ROWS else frame
 
 
 def hot_keys(sizes: DataFrame, keys: Sequence[str], count: str, hot_rows: int) -> DataFrame:

@@ -87,7 +87,7 @@ def row_pattern(first_cells: DataFrame) -> DataFrame:
     """Row-identity pattern from the first rows of a document: their common class, else any word."""
     # a row_number filter of this form is cut to its limit before the shuffle
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("page", "line_top"))
-    head = first_cells.withColumn("rn", rank).filter(F.col("rn") <= PATTERN_ROWS).filter(F.col("first_cell") != "")
+    head = first_cells.filter(F.col("first_cell") != "").withColumn("rn", rank).filter(F.col("rn") <= PATTERN_ROWS)
     return head.groupBy("doc_id").agg(F.collect_set(tx.structure_class(F.col("first_cell"))).alias("classes")).select(
         "doc_id", F.when(F.size("classes") == 1, F.concat(F.lit("^"), F.get("classes", F.lit(0)), F.lit("$")))
         .otherwise(F.lit(r"^\S+$")).alias("pattern"))

@@ -11,10 +11,15 @@ from conform.functions import messages as msg
 from conform.functions.text import quoted
 
 
+def outside(value: Column, allowed: Sequence[str]) -> Column:
+    """True where ``value`` is none of ``allowed``; a missing value is none of them."""
+    return ~F.coalesce(value.isin(*allowed), F.lit(False))
+
+
 def parse_error(severity: Column, page: Column, page_text: Column, vocabulary: Sequence[str]) -> Column:
     """Reason a record could not be read, or null. The document still converts."""
     return F.when(
-        ~severity.isin(*vocabulary), F.concat(F.lit("severity "), quoted(severity), F.lit(" outside vocabulary"))
+        outside(severity, vocabulary), F.concat(F.lit("severity "), F.coalesce(quoted(severity), F.lit("None")), F.lit(" outside vocabulary"))
     ).when(page.isNull(), F.concat(F.lit("page column unparseable: "), quoted(page_text)))
 
 
@@ -39,10 +44,3 @@ def vocabulary_violations(columns: Sequence[str], vocabularies: Mapping[str, Seq
 def split_by_vocabulary(rows: DataFrame, vocabularies: Mapping[str, Sequence[str]]) -> DataFrame:
     return rows.withColumn("violations", vocabulary_violations(rows.columns, vocabularies))
 
-
-def legal(checked: DataFrame) -> DataFrame:
-    return checked.filter(F.size("violations") == 0).drop("violations")
-
-
-def illegal(checked: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return checked.select(*keep, F.explode("violations").alias("v")).select(*keep, "v.*")

@@ -15,10 +15,10 @@ from conform.plans.oracle import VIEWS
 PATHS = tuple(f"finding.{k}" for k in ("id", "severity", "user_tags", "issues", "comments", "page")) + tuple(
     f"header.{k}" for k in ("inspection_name", "report_date", "inspection_type", "company"))
 
-# every answer's items, by construction of the answers: position 0 is the sound-looking item
+# every answer's sound items, by construction of the answers: position 0; lone proposals name a map but bring no entries
 VIEWS["v_items"] = """
 SELECT event_id AS answer_id, session_id, v, CASE WHEN event_id % 7 = 4 THEN 'no_such_field' ELSE field END AS target_field,
- CASE WHEN event_id % 21 = 8 THEN 'finding.colour' ELSE path0 END AS from_path, 'map_' || (event_id % 4) AS map_name FROM v_evt WHERE event_id % 7 NOT IN (3, 6)
+ CASE WHEN event_id % 21 = 8 THEN 'finding.colour' ELSE path0 END AS from_path, 'map_' || (event_id % 4) AS map_name FROM v_evt WHERE event_id % 7 NOT IN (2, 3, 6) OR event_id % 49 = 6
 """
 VIEWS["v_known"] = "SELECT * FROM v_items WHERE target_field <> 'no_such_field' AND from_path <> 'finding.colour'"
 VIEWS["v_seen"] = """
@@ -42,7 +42,8 @@ def gated(t: Tables):
 
 
 @query("fn_json", """
-SELECT event_id AS answer_id, CASE WHEN event_id % 14 = 7 THEN 2 WHEN event_id % 7 IN (3, 6) THEN -1 ELSE 1 END AS items FROM events""")
+SELECT event_id AS answer_id, CASE WHEN event_id % 14 = 7 THEN 2 WHEN event_id % 49 IN (3, 10) THEN 0 WHEN event_id % 49 IN (6, 13, 20, 27) THEN 1
+  WHEN event_id % 7 IN (3, 6) THEN -1 ELSE 1 END AS items FROM events""")
 def fn_json(t: Tables) -> DataFrame:
     n = F.coalesce(F.size(assist.answer_items(F.col("raw"))), F.lit(-1))
     return t.proposals_raw().select("answer_id", n.alias("items"))
@@ -56,7 +57,7 @@ def jn_referent(t: Tables) -> DataFrame:
 
 
 @query("agg_drops", """
-SELECT 'schema' AS reason, count(*) FILTER (event_id % 7 IN (3, 6) OR event_id % 14 = 7) AS n FROM events
+SELECT 'schema' AS reason, count(*) FILTER ((event_id % 7 IN (2, 3, 6) AND event_id % 49 NOT IN (3, 6, 10)) OR event_id % 14 = 7) AS n FROM events
 UNION ALL SELECT 'unknown_field', (SELECT count(*) FROM v_items) - (SELECT count(*) FROM v_known)
 UNION ALL SELECT 'unknown_value', (SELECT count(*) FROM v_sugg WHERE NOT seen)""")
 def agg_drops(t: Tables) -> DataFrame:

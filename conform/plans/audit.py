@@ -4,45 +4,82 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from conform import sinks
 from conform.operators import score
-from conform.plans.run import Run
-from conform.session import stage
+from conform.plans.run import Bundle, Run
+from conform.session import discard, stage
+
+
+def pins(bundle: Bundle) -> dict:
+    """What a later run needs to repeat this one: versions of the mapping, its value maps and its target."""
+    meta = bundle.doc["meta"]
+    maps = sorted({(r["value_map"]["name"], r["value_map"]["version"]) for r in bundle.doc.get("routes", {}).values() if r.get("value_map")})
+    return {"source_profile": meta["source_profile"], "target_template": meta["target_template"], "version": meta["version"], "value_maps": maps}
+
+
+def manifest(run: Run) -> DataFrame:
+    """One entry per converted document and target, also where a document gave no row."""
+    heads = run.gated.filter(F.col("blocked_kind") == "").select("document", "sha")
+    out = None
+    for b in run.bundles:
+        hashed = sinks.content_hash(run.rows(run.outcome(b), b), ["document"], "record_seq", b.template.columns)
+        m = heads.join(hashed, "document", "left").select("document", "sha", F.lit(b.template.ref).alias("template"),
+            F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), F.coalesce("content_hash", F.lit("")).alias("content_hash"))
+        out = m if out is None else out.unionByName(m)
+    return out
 
 
 def commit_run(run: Run, run_id: str, path: str) -> None:
     """Write rows, exceptions, card and manifest of a run under ``path``, then its record.
 
-    The outcome of every bundle is written once as an intermediate table; rows, exceptions and
-    manifest are branches of it. An interrupted run leaves no record and is never read.
+    The gate and the outcome of every target are stored once in a folder of the run, which goes after the commit; all outputs
+    are branches of them. An interrupted run leaves no record and is never read. A run id is committed once only.
     """
     spark = run.documents.sparkSession
-    exceptions = None
-    manifest = None
+    if not committed(spark, path).filter(F.col("run_id") == run_id).isEmpty():
+        raise ValueError(f"run {run_id!r} is committed already")
+    home = f"{path}/run={run_id}"
+    run.work = f"{home}/_work"
+    run.freeze()
     for b in run.bundles:
-        outcome = stage(run.outcome(b), "outcome")
-        rows = run.rows(outcome, b)
-        sinks.write_documents(rows, f"{path}/run={run_id}/{b.template.name}", b.template.columns)
-        m = sinks.content_hash(rows, ["document"], "record_seq", b.template.columns).withColumn("template", F.lit(b.template.ref))
-        e = run.record_exceptions(outcome, b)
-        manifest = m if manifest is None else manifest.unionByName(m)
-        exceptions = e if exceptions is None else exceptions.unionByName(e)
-    from conform.operators.detect import document_exceptions
-
-    sinks.write_exceptions(document_exceptions(run.gated).unionByName(exceptions), f"{path}/run={run_id}/exceptions")
-    verdicts = stage(run.verdicts(), "verdicts")
-    sinks.write_card(verdicts, score.batch_card(verdicts), f"{path}/run={run_id}/card")
-    manifest.write.mode("overwrite").parquet(f"{path}/run={run_id}/manifest")
+        sinks.write_documents(run.rows(run.outcome(b), b), f"{home}/{b.template.name}", b.template.columns)
+    sinks.write_exceptions(run.exceptions(), f"{home}/exceptions")
+    verdicts = stage(run.verdicts(), "verdicts", run.work)
+    verdicts.write.mode("overwrite").parquet(f"{home}/verdicts")
+    kinds = run.exceptions().groupBy("doc_id", "kind").agg(F.count("*").alias("exceptions"))
+    kinds.write.mode("overwrite").parquet(f"{home}/exception_kinds")
+    sinks.write_card(verdicts, score.batch_card(verdicts), f"{home}/card")
+    manifest(run).write.mode("overwrite").parquet(f"{home}/manifest")
     digest = sinks.content_hash(run.documents, [], "document", ["sha"])
     this = F.lit(run_id).alias("run_id")
-    record = score.run_summary(verdicts).select(this, "*").join(
-        digest.select(this, F.col("content_hash").alias("batch_digest")), "run_id").select("*", F.lit(",".join(b.doc["meta"]["target_template"] for b in run.bundles)).alias("mappings"),
-        F.lit(json.dumps(dict(run.answers), sort_keys=True)).alias("answers"))
+    record = score.run_summary(verdicts).select(this, "*").join(digest.select(this, F.col("content_hash").alias("batch_digest")), "run_id").select(
+        "*", F.lit(",".join(b.doc["meta"]["target_template"] for b in run.bundles)).alias("mappings"),
+        F.lit(json.dumps(dict(run.answers), sort_keys=True)).alias("answers"),
+        F.lit(json.dumps([pins(b) for b in run.bundles], sort_keys=True)).alias("pins"))
     record.write.mode("append").parquet(f"{path}/runs")
+    discard(spark, run.work)
+
+
+RECORD = ("run_id string, documents long, converted long, blocked long, exceptions long, batch_digest string, mappings string, answers string, pins string")
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/runs")
+    """The records of all committed runs; none where nothing was committed yet."""
+    try:
+        return spark.read.schema(RECORD).parquet(f"{path}/runs")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RECORD)
+
+
+def run_detail(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """Every document of a committed run with its verdict and its exceptions by kind, from the stored tables."""
+    home = f"{path}/run={run_id}"
+    kinds = spark.read.parquet(f"{home}/exception_kinds")
+    return spark.read.parquet(f"{home}/verdicts").select("doc_id", "document", "verdict").join(kinds, "doc_id", "left").select(
+        "document", "verdict", F.coalesce("kind", F.lit("")).alias("kind"), F.coalesce("exceptions", F.lit(0)).cast("long").alias("exceptions"))

@@ -295,7 +295,12 @@ class Tables:
         head = F.concat(F.lit('{"target_field":"'), target, F.lit('","from_path":"'), path,
                         F.lit('","rationale":"seen with '), value, F.lit('","value_map_name":"map_'), (i % 4).cast("string"), F.lit('"'))
         item, lone = F.concat(head, F.lit(',"suggested_entries":'), entries, F.lit("}")), F.concat(head, F.lit("}"))
-        raw = (F.when(i % 7 == 1, F.concat(F.lit('{"proposals":['), item, F.lit("]}"))).when(i % 7 == 2, lone)
+        odd = (F.when(i % 49 == 3, F.lit("[]")).when(i % 49 == 10, F.lit('{"proposals": []}'))
+               .when(i % 49 == 6, F.concat(F.lit('{"note":"[not a list","list":['), item, F.lit("]}")))
+               .when(i % 49 == 13, F.concat(F.lit("["), head, F.lit(',"suggested_entries":[],"score":1}]')))
+               .when(i % 49 == 20, F.lit('[{"target_field":5,"from_path":"finding.issues","rationale":"a number"}]'))
+               .when(i % 49 == 27, F.concat(F.lit("["), head, F.lit(',"suggested_entries":[{"target_value":"P1"}]}]'))))
+        raw = (F.when(odd.isNotNull(), odd).when(i % 7 == 1, F.concat(F.lit('{"proposals":['), item, F.lit("]}"))).when(i % 7 == 2, lone)
                .when(i % 7 == 3, F.lit("no answer {")).when(i % 7 == 6, F.lit('{"answer": 42}'))
                .when(i % 14 == 7, F.concat(F.lit('{"note":"x","list":['), item, F.lit(',{"target_field":"priority"}]}')))
                .otherwise(F.concat(F.lit("["), item, F.lit("]"))))

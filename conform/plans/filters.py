@@ -46,11 +46,16 @@ def flt_vocab(t: Tables) -> DataFrame:
     return checked.select("document", "finding_id", "defect_code", (F.size("violations") == 0).alias("legal"))
 
 
-@query("flt_parse", "SELECT document, finding_id AS id, parse_error FROM v_res WHERE parse_error IS NOT NULL")
+@query("flt_parse", """
+SELECT document, finding_id AS id, parse_error, CASE WHEN parse_error LIKE 'severity %' THEN 'severity None outside vocabulary' ELSE parse_error END AS without_severity
+FROM v_res WHERE parse_error IS NOT NULL""")
 def flt_parse(t: Tables) -> DataFrame:
+    """Records that could not be read; a severity outside the list and a missing one are both errors."""
     f = t.findings().join(t.headers().select("doc_id", "document"), "doc_id")
     err = validate.parse_error(F.col("severity"), F.col("page"), F.col("page_text"), b.SEVERITIES)
-    return f.select("document", "id", err.alias("parse_error")).filter(F.col("parse_error").isNotNull())
+    listed = F.when(F.col("severity").isin(*b.SEVERITIES), F.col("severity"))
+    missing = validate.parse_error(listed, F.col("page"), F.col("page_text"), b.SEVERITIES)
+    return f.select("document", "id", err.alias("parse_error"), missing.alias("without_severity")).filter(F.col("parse_error").isNotNull())
 
 
 @query("flt_prompts", """

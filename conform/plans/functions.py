@@ -54,23 +54,30 @@ def fn_date(t: Tables) -> DataFrame:
     return t.t("orders").select("o_orderkey", *out, fm.date_format(F.concat(F.lit("Feb 31, "), F.year(d).cast("string")), "%Y").reason.isNotNull().alias("bad"))
 
 
+def no_numbers(digits: F.Column) -> list[F.Column]:
+    """Spellings around ``digits`` that some readers take for numbers."""
+    return [F.concat(digits, F.lit("d")), F.concat(digits, F.lit("f")), F.concat(F.lit("0x"), digits, F.lit("p1")), F.concat(F.lit("-inf"), F.substring(digits, 1, 0)), F.lit("NaN")]
+
+
 @query("fn_number", """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, format('{:,.2f}', l_extendedprice) AS money, format('{:.0f}', l_quantity) AS whole,
- format('{:.1f}', l_discount * 100) AS pct, true AS bad FROM lineitem""")
+ format('{:.1f}', l_discount * 100) AS pct, true AS bad, false AS guessed FROM lineitem""")
 def fn_number(t: Tables) -> DataFrame:
     price, qty, disc = tx.as_text(F.col("l_extendedprice")), tx.as_text(F.col("l_quantity")), tx.as_text(F.col("l_discount") * 100)
     return t.t("lineitem").select(*LKEY, fm.number_format(price, ",.2f").value.alias("money"), fm.number_format(qty, ".0f").value.alias("whole"),
-                                  fm.number_format(disc, ".1f").value.alias("pct"), fm.number_format(F.col("l_returnflag"), ".1f").reason.isNotNull().alias("bad"))
+                                  fm.number_format(disc, ".1f").value.alias("pct"), fm.number_format(F.col("l_returnflag"), ".1f").reason.isNotNull().alias("bad"),
+                                  F.exists(F.array(*[fm.number_format(s, ".0f").value.isNotNull() for s in no_numbers(qty)]), lambda x: x).alias("guessed"))
 
 
 @query("fn_arith", """
 SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, (l_quantity::BIGINT * l_linenumber)::VARCHAR AS product,
  CASE WHEN l_quantity::INT % 4 = 0 THEN (l_quantity::INT // 4)::VARCHAR ELSE (l_quantity / 4)::VARCHAR END AS quarter,
- (l_partkey - l_quantity::INT)::VARCHAR AS difference, true AS bad FROM lineitem""")
+ (l_partkey - l_quantity::INT)::VARCHAR AS difference, true AS bad, false AS guessed FROM lineitem""")
 def fn_arith(t: Tables) -> DataFrame:
     qty, n, part = (tx.as_text(F.col(c)) for c in ("l_quantity", "l_linenumber", "l_partkey"))
     return t.t("lineitem").select(*LKEY, fm.arith(qty, "*", n).value.alias("product"), fm.arith(qty, "/", F.lit("4")).value.alias("quarter"),
-                                  fm.arith(part, "-", qty).value.alias("difference"), fm.arith(qty, "/", F.lit("0")).reason.isNotNull().alias("bad"))
+                                  fm.arith(part, "-", qty).value.alias("difference"), fm.arith(qty, "/", F.lit("0")).reason.isNotNull().alias("bad"),
+                                  F.exists(F.array(*[fm.arith(s, "+", n).value.isNotNull() for s in no_numbers(qty)]), lambda x: x).alias("guessed"))
 
 
 @query("fn_sha", "SELECT doc_id, sha256(text) AS sha FROM documents")

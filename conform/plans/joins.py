@@ -46,16 +46,15 @@ WITH v AS (SELECT DISTINCT n_name AS template, 'P' || (n_nationkey % 5) AS value
 SELECT h.document, f.id, coalesce(s.tv, 'none') AS value, coalesce(s.tv, 'none') IN (SELECT value FROM v WHERE v.template = h.company) AS legal
 FROM v_findings f JOIN v_headers h USING (doc_id) LEFT JOIN v_sev s ON s.sv = f.severity""")
 def jn_vocab(t: Tables) -> DataFrame:
-    """Vocabularies as a table: rows inside (semi) and outside (anti) the template's allowed values."""
+    """Vocabularies as a table: every row, with whether the template allows its value."""
     n = t.t("nation")
     vocab = n.select(F.col("n_name").alias("company"), F.concat(F.lit("P"), (F.col("n_nationkey") % 5).cast("string")).alias("value")) \
         .unionByName(n.select(F.col("n_name").alias("company"), F.lit("POI").alias("value"))).distinct()
     priority = mapping.compile_lookup(F.col("severity"), mapping.first_entries(b.SEVERITY_MAP))
     rows = records(t).select("document", "id", "company", F.coalesce(priority, F.lit("none")).alias("value"))
     keep = ("document", "id", "value")
-    inside = rows.join(vocab, ["company", "value"], "left_semi").select(*keep, F.lit(True).alias("legal"))
-    outside = rows.join(vocab, ["company", "value"], "left_anti").select(*keep, F.lit(False).alias("legal"))
-    return inside.unionByName(outside)
+    flagged = rows.join(vocab.withColumn("known", F.lit(True)), ["company", "value"], "left")
+    return flagged.select(*keep, F.coalesce("known", F.lit(False)).alias("legal"))
 
 
 @query("jn_required", """

@@ -1,13 +1,13 @@
 """One conversion run: gate documents, resolve records for each target, validate, score.
 
-The run is lazy: nothing is read until a sink or an action asks. ``resolved`` feeds both the rows
-and the exceptions; sinks persist it once.
+The gate's narrow result (one row per document) is stored once and feeds records, exceptions and scores. Everything else is
+lazy; ``freeze`` stores the outcome of a target for runs that write several things from it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from conform.functions import messages as msg
 from conform.operators import detect, mapping, score, validate
 from conform.operators.joins import attach_group
+from conform.session import stage
 from conform.sources.config import Profile, Template, coverage, required_prompts
 
 HEADER_PATHS = {k: k for k in ("inspection_name", "report_date", "inspection_type", "company")}
@@ -43,6 +44,11 @@ class Run:
     run_profile: str
     anchors: Mapping[str, str]
     severities: Sequence[str]
+    #: Content hashes (column ``sha``) that earlier runs converted: documents with one are copies.
+    known: DataFrame | None = None
+    #: Where intermediate tables go; the shared folder if not given.
+    work: str | None = None
+    frozen: dict[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         missing = sorted({k for b in self.bundles for k in required_prompts(b.doc)} - set(self.answers))
@@ -53,13 +59,14 @@ class Run:
 
     @cached_property
     def gated(self) -> DataFrame:
-        return detect.gate(self.documents, self.counts, self.profiles, self.run_profile, self.anchors)
+        judged = detect.gate(self.documents, self.counts, self.profiles, self.run_profile, self.anchors, self.known)
+        return stage(judged.drop("lead_text"), "gated", self.work)
 
     @cached_property
     def records(self) -> DataFrame:
         """Findings of the documents that passed the gate, with their header."""
         open_docs = self.gated.filter(F.col("blocked_kind") == "").select("doc_id", "document", "extracted", *HEADER_PATHS.values())
-        joined = attach_group(self.findings, open_docs, ["doc_id"], "extracted", F.col("record_seq"), how="inner", sizes=self.counts)
+        joined = attach_group(self.findings, open_docs, ["doc_id"], "extracted", F.col("record_seq"), how="inner")
         return joined.withColumn(
             "parse_error", validate.parse_error(F.col("severity"), F.col("page"), F.col("page_text"), self.severities))
 
@@ -70,8 +77,17 @@ class Run:
         return mapping.resolve(self.records, bundle.template.columns, bundle.doc, scope, self.value_maps,
                                (*self.KEEP, "parse_error"))
 
+    def freeze(self, *bundles: Bundle) -> Run:
+        """Store the outcomes of these targets (of all by default), so that each is computed once."""
+        for b in bundles or self.bundles:
+            if b.template.ref not in self.frozen:
+                self.frozen[b.template.ref] = stage(self.outcome(b), "outcome", self.work)
+        return self
+
     def outcome(self, bundle: Bundle) -> DataFrame:
         """Every record with its target values, its problems and its vocabulary violations."""
+        if bundle.template.ref in self.frozen:
+            return self.frozen[bundle.template.ref]
         cols = bundle.template.columns
         df = self.resolved(bundle)
         df = df.select(*self.KEEP, "parse_error", "problems", *[F.col(f"t_{c}.value").alias(c) for c in cols])

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conform.functions.messages import EXCEPTION_COLUMNS
 from conform.operators import detect, score
+from conform.plans import audit
 from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
 from conform.plans.run import Bundle, Run
-from conform.sources.config import coverage, load_mapping
+from conform.session import shared_dir
+from conform.sources.config import load_mapping
 
 
 def defect_bundle() -> Bundle:
@@ -99,12 +103,10 @@ def agg_declared(t: Tables) -> DataFrame:
 SELECT v.document, v.verdict, coalesce(e.kind, '') AS kind, count(e.kind) AS exceptions
 FROM v_verdict v LEFT JOIN v_exc e USING (doc_id) GROUP BY v.document, v.verdict, coalesce(e.kind, '')""")
 def agg_run(t: Tables) -> DataFrame:
-    """Run detail: every document with its verdict and its exceptions by kind."""
-    run = make_run(t)
-    kinds = run.exceptions().groupBy("doc_id", "kind").agg(F.count("*").alias("exceptions"))
-    return run.verdicts().select("doc_id", "document", "verdict").join(kinds, "doc_id", "left").select(
-        "document", "verdict", F.coalesce("kind", F.lit("")).alias("kind"),
-        F.coalesce("exceptions", F.lit(0)).cast("long").alias("exceptions"))
+    """Run detail, read from the tables of a committed run."""
+    path = f"{shared_dir(t.spark)}/audit/{uuid.uuid4().hex}"
+    audit.commit_run(make_run(t), "run-1", path)
+    return audit.run_detail(t.spark, path, "run-1")
 
 
 @query("jn_excdoc", """
@@ -124,7 +126,7 @@ UNION ALL SELECT 'work_order@1', document, finding_id, priority,
 def prj_multi(t: Tables) -> DataFrame:
     """Two targets over one extraction, in long form."""
     one, two = defect_bundle(), order_bundle()
-    run = make_run(t, one, two)
+    run = make_run(t, one, two).freeze()
     x = run.rows(run.outcome(one), one).select(F.lit(one.template.ref).alias("template"), "document",
                                                F.col("finding_id").alias("ref"), F.col("priority").alias("a"),
                                                F.col("inspection_date").alias("b"))
@@ -133,6 +135,3 @@ def prj_multi(t: Tables) -> DataFrame:
                                                F.col("page_2").alias("b"))
     return x.unionByName(y)
 
-
-def config_coverage() -> float:
-    return coverage(load_mapping(b.MAPPING), b.TEMPLATE.required)

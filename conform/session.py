@@ -19,6 +19,7 @@ def build_session(app: str = "conform", cpus: int | None = None, **conf: str) ->
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CONFORM_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
@@ -50,13 +51,19 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
+def stage(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write an intermediate table to the shared folder (or to ``folder``) and read it back.
 
     For results that several later branches read: it cuts the lineage, gives the optimizer real
     sizes, and survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark) + '/stage'}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of intermediate tables once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
