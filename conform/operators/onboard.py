@@ -75,6 +75,19 @@ def furniture(lines: DataFrame) -> DataFrame:
         (F.col("n_pages") > 1) & (F.col("on_pages") / F.col("n_pages") >= FURNITURE_SHARE))
 
 
+def without_table_header(running: DataFrame, tables: DataFrame) -> DataFrame:
+    """Running lines less the header line that the record table repeats on its pages."""
+    heads = tables.select("doc_id", tx.drop_page_counter(F.col("h_text")).alias("prefix"))
+    return running.join(heads, ["doc_id", "prefix"], "left_anti")
+
+
+def without_running(lines: DataFrame, running: DataFrame) -> DataFrame:
+    """Lines that do not begin with a running line of their document (a sheet bounds how many there are)."""
+    per_doc = stage(running.groupBy("doc_id").agg(F.collect_set("prefix").alias("_running")), "running")
+    joined = lines.join(per_doc, "doc_id", "left")
+    return joined.filter(~F.coalesce(F.exists("_running", lambda p: F.startswith(F.col("text"), p)), F.lit(False))).drop("_running")
+
+
 def dominant_class(first_cells: DataFrame, keys: list[str]) -> DataFrame:
     """Structure class owning most first cells of a group, if it owns enough of them."""
     classes = first_cells.withColumn("class", tx.structure_class(F.col("first_cell"))).groupBy(*keys, "class").agg(F.count("*").alias("n"))
@@ -126,9 +139,7 @@ def record_tables(lines: DataFrame) -> DataFrame:
     which a sheet bounds. The first page with a qualifying candidate wins; just its candidates are
     then joined to later pages for continuation rows; most rows, then the upper line, decides.
     """
-    running = furniture(lines).select("doc_id", "prefix")
-    marked = lines.withColumn("prefix", tx.drop_page_counter(F.col("text")))
-    body = marked.join(running, ["doc_id", "prefix"], "left_anti").drop("prefix")
+    body = without_running(lines, furniture(lines))
     below = F.count("*").over(W.partitionBy("doc_id", "page").orderBy(F.desc("line_top"))) - 1
     heads = lines.withColumn("below", below).filter((F.size("words") >= 4) & (F.col("below") >= MIN_ROWS)).select(
         "doc_id", F.col("page").alias("h_page"), F.col("line_top").alias("h_top"), F.col("text").alias("h_text"),
@@ -149,7 +160,10 @@ def record_tables(lines: DataFrame) -> DataFrame:
 
 
 def recount(lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """Rows of each table counted the way extraction will: first cell against the row pattern."""
+    """Rows of each table counted the way extraction will: first cell against the row pattern.
+
+    ``lines`` come without running lines.
+    """
     t = tables.select("doc_id", "ranges", "h_text", "class")
     first = F.get(_cells(F.col("words"), F.slice("ranges", 1, 1)), F.lit(0))
     hit = lines.join(t, "doc_id").filter(F.col("text") != F.col("h_text")).withColumn("first", first)
@@ -158,7 +172,10 @@ def recount(lines: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def label_values(lines: DataFrame, tables: DataFrame) -> DataFrame:
-    """``Label: value`` lines of the leading pages, above the record table where there is one."""
+    """``Label: value`` lines of the leading pages, above the record table where there is one.
+
+    ``lines`` come without running lines: what stands on most pages is no field of the document.
+    """
     t = tables.select("doc_id", "h_page", "h_top")
     hit = lines.filter((F.col("page") <= LEAD_PAGES) & F.col("text").rlike(LABEL_PATTERN)).join(t, "doc_id", "left")
     above = F.col("h_page").isNull() | (F.col("page") != F.col("h_page")) | (F.col("top") < F.col("h_top"))

@@ -101,10 +101,16 @@ def top_cosine(t: Tables) -> DataFrame:
 
 
 @query("top_profile", """
-SELECT source, row_number() OVER (PARTITION BY source ORDER BY s DESC, target) AS rank, target, round_even(s, 4) + 0.0 AS score FROM v_cos""")
+WITH u AS (SELECT doc_id::VARCHAR AS source FROM v_detect WHERE profile IS NULL),
+r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY s DESC, target) AS rank, target, round_even(s, 4) + 0.0 AS score FROM v_cos JOIN u USING (source))
+SELECT * FROM r WHERE rank <= 5""")
 def top_profile(t: Tables) -> DataFrame:
-    """All profiles by resemblance to each document vector."""
-    return assist.rank_similar(*vectors(t), None)
+    """The closest profiles by resemblance, for the documents that no profile claims."""
+    from conform.operators.detect import first_match
+
+    sources, targets = vectors(t)
+    unclaimed = t.batch().filter(first_match(b.PROFILES, F.col("lead_text")).isNull()).select(F.col("doc_id").cast("string").alias("source"))
+    return assist.rank_similar(sources.join(unclaimed, "source", "left_semi"), targets, assist.TOP_K)
 
 
 @query("top_sig", """
