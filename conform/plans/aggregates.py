@@ -11,7 +11,7 @@ from conform.operators.joins import attach_group
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
 from conform.plans.oracle import VIEWS
-from conform.plans.scoring import defect_bundle, make_run
+from conform.plans.scoring import sheet_bundle, make_run
 from conform.sinks import content_hash
 
 KEYS = {"id": False, "severity": False, "user_tags": True, "issues": True, "comments": False, "page": False}
@@ -152,13 +152,13 @@ def win_gener(t: Tables) -> DataFrame:
 
 
 @query("lim_card", """
-SELECT document, arg_min(finding_id, record_seq) AS finding_id, count(*) AS per_record FROM v_legal GROUP BY 1""")
+SELECT document, arg_min(line_ref, record_seq) AS line_ref, count(*) AS per_record FROM v_legal GROUP BY 1""")
 def lim_card(t: Tables) -> DataFrame:
     """Per-batch targets take the first record of each document, per-record targets all of them."""
-    bundle = defect_bundle()
+    bundle = sheet_bundle()
     run = make_run(t)
     rows = run.rows(run.outcome(bundle), bundle)
-    return rows.groupBy("document").agg(F.min_by("finding_id", "record_seq").alias("finding_id"), F.count("*").alias("per_record"))
+    return rows.groupBy("document").agg(F.min_by("line_ref", "record_seq").alias("line_ref"), F.count("*").alias("per_record"))
 
 
 @query("srt_element", "SELECT document, sha FROM v_batch ORDER BY document")
@@ -218,5 +218,5 @@ def win_edits(t: Tables) -> DataFrame:
 
 
 def _field(e):
-    return F.when(e == "signup", "finding_id").when(e == "view", "priority").when(e == "click", "defect_code") \
-        .when(e == "purchase", "source_severity").otherwise("comments")
+    return F.when(e == "signup", "line_ref").when(e == "view", "handling").when(e == "click", "part_family") \
+        .when(e == "purchase", "urgency_mark").otherwise("comments")

@@ -27,7 +27,7 @@ UNION SELECT DISTINCT 'header.company', company FROM v_headers
 """
 VIEWS["v_sugg"] = """
 SELECT k.*, e.value, e.tv, EXISTS (SELECT 1 FROM v_seen s WHERE s.from_path = k.from_path AND s.value = e.value) AS seen
-FROM v_known k CROSS JOIN LATERAL (SELECT k.v AS value, 'P1' AS tv UNION ALL SELECT '3', 'P3') e WHERE answer_id % 7 = 5
+FROM v_known k CROSS JOIN LATERAL (SELECT k.v AS value, 'EXPRESS' AS tv UNION ALL SELECT '3', 'REGULAR') e WHERE answer_id % 7 = 5
 """
 
 

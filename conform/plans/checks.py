@@ -13,49 +13,49 @@ from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
 from conform.plans.oracle import VIEWS
-from conform.plans.scoring import defect_bundle, make_run
+from conform.plans.scoring import sheet_bundle, make_run
 from conform.plans.sinks import manifest_of
 from conform.session import shared_dir
 from conform.sinks import read_rows, write_rows
 
 FORM = (
-    {"target_field": "finding_id", "kind": "text", "max_len": 40},
+    {"target_field": "line_ref", "kind": "text", "max_len": 40},
     {"target_field": "comments", "kind": "text", "max_len": 10},
-    {"target_field": "priority", "kind": "choice", "options": ("P1", "P2", "P3", "P4")},
-    {"target_field": "source_page", "kind": "text"},
+    {"target_field": "handling", "kind": "choice", "options": ("EXPRESS", "REGULAR", "ECONOMY")},
+    {"target_field": "sheet_no", "kind": "text"},
 )
 
 
 def legal_rows(t: Tables) -> DataFrame:
-    bundle = defect_bundle()
+    bundle = sheet_bundle()
     run = make_run(t)
     return run.rows(run.outcome(bundle), bundle)
 
 
 FORM_SQL = """
-SELECT document, finding_id, record_seq, 'comments' AS field, 'oversize_value' AS kind, comments AS value,
+SELECT document, line_ref, record_seq, 'comments' AS field, 'oversize_value' AS kind, comments AS value,
   'value ''' || comments || ''' exceeds field max length 10' AS reason FROM v_legal WHERE length(comments) > 10
-UNION ALL SELECT document, finding_id, record_seq, 'comments', 'missing_required', '', 'no value for required form field ''comments''' FROM v_legal WHERE comments = ''
-UNION ALL SELECT document, finding_id, record_seq, 'priority', 'oversize_value', priority, 'value ''' || priority || ''' not among the form''s fixed options' FROM v_legal WHERE priority = 'POI'
+UNION ALL SELECT document, line_ref, record_seq, 'comments', 'missing_required', '', 'no value for required form field ''comments''' FROM v_legal WHERE comments = ''
+UNION ALL SELECT document, line_ref, record_seq, 'handling', 'oversize_value', handling, 'value ''' || handling || ''' not among the form''s fixed options' FROM v_legal WHERE handling = 'ASK'
 """
 VIEWS["v_form"] = FORM_SQL
 
 
 @query("dq_form", """
-SELECT document, finding_id, field, kind, value, reason FROM v_form
-UNION ALL SELECT document, finding_id, '', 'rendered', '', '' FROM v_legal l WHERE NOT EXISTS (SELECT 1 FROM v_form p WHERE p.document = l.document AND p.record_seq = l.record_seq)""")
+SELECT document, line_ref, field, kind, value, reason FROM v_form
+UNION ALL SELECT document, line_ref, '', 'rendered', '', '' FROM v_legal l WHERE NOT EXISTS (SELECT 1 FROM v_form p WHERE p.document = l.document AND p.record_seq = l.record_seq)""")
 def dq_form(t: Tables) -> DataFrame:
     """Rows a form takes, and every problem of those it does not."""
     rows = legal_rows(t)
-    bad = checks.form_problems(rows, FORM, ("document", "record_seq", "finding_id"))
+    bad = checks.form_problems(rows, FORM, ("document", "record_seq", "line_ref"))
     good = checks.withhold(rows, bad, ("document", "record_seq")).select(
-        "document", "finding_id", F.lit("").alias("field"), F.lit("rendered").alias("kind"), F.lit("").alias("value"), F.lit("").alias("reason"))
+        "document", "line_ref", F.lit("").alias("field"), F.lit("rendered").alias("kind"), F.lit("").alias("value"), F.lit("").alias("reason"))
     return bad.drop("record_seq").unionByName(good)
 
 
 REGIONS = (
     {"target_field": "comments", "kind": "text", "bbox": (0.0, 0.0, 44.0, 20.0), "font_size": 9},
-    {"target_field": "asset_name", "kind": "text", "bbox": (0.0, 0.0, 120.0, 20.0)},
+    {"target_field": "customer_name", "kind": "text", "bbox": (0.0, 0.0, 120.0, 20.0)},
     {"target_field": "photo", "kind": "image", "bbox": (0.0, 0.0, 80.0, 80.0)},
 )
 
@@ -66,15 +66,15 @@ WIDE = "556 * length(comments)" + "".join(
 
 
 @query("dq_overlay", f"""
-WITH w AS (SELECT document, finding_id, comments, sha, ({WIDE}) * 9 / 1000.0::DOUBLE AS width FROM v_legal JOIN (SELECT doc_id, sha FROM v_headers) USING (doc_id))
-SELECT document, finding_id, 'comments' AS field, 'oversize_value' AS kind, comments AS value FROM w WHERE width > 44
-UNION ALL SELECT document, finding_id, 'photo', 'bad_image', sha FROM w WHERE NOT EXISTS (SELECT 1 FROM v_first f WHERE f.sha = w.sha AND NOT f.is_first)""")
+WITH w AS (SELECT document, line_ref, comments, sha, ({WIDE}) * 9 / 1000.0::DOUBLE AS width FROM v_legal JOIN (SELECT doc_id, sha FROM v_headers) USING (doc_id))
+SELECT document, line_ref, 'comments' AS field, 'oversize_value' AS kind, comments AS value FROM w WHERE width > 44
+UNION ALL SELECT document, line_ref, 'photo', 'bad_image', sha FROM w WHERE NOT EXISTS (SELECT 1 FROM v_first f WHERE f.sha = w.sha AND NOT f.is_first)""")
 def dq_overlay(t: Tables) -> DataFrame:
     """Overlay regions: text that is too wide, pictures that are not registered."""
     docs = t.headers().select("doc_id", F.col("sha").alias("photo"))
     rows = legal_rows(t).join(docs, "doc_id")
     stored = detect.mark_copies(t.batch()).filter(~F.col("is_first")).select("sha").distinct()
-    return checks.overlay_problems(rows, REGIONS, stored, ("document", "finding_id")).select("document", "finding_id", "field", "kind", "value")
+    return checks.overlay_problems(rows, REGIONS, stored, ("document", "line_ref")).select("document", "line_ref", "field", "kind", "value")
 
 
 @query("dq_roundtrip", """
@@ -261,11 +261,11 @@ def dq_verify(t: Tables) -> DataFrame:
 SELECT document, count(*) AS n_rows, true AS verified FROM v_legal GROUP BY document""")
 def dq_replay(t: Tables) -> DataFrame:
     """Run again from the audit record with its pinned maps (newer versions exist and are ignored)."""
-    bundle = defect_bundle()
+    bundle = sheet_bundle()
     recorded = manifest_of(legal_rows(t), bundle.template)
     run = make_run(t)
     newer = dict(run.value_maps)
-    newer[("severity_to_priority", 2)] = [(s, "P4") for s, _ in b.SEVERITY_MAP]
+    newer[("mark_to_handling", 2)] = [(s, "ECONOMY") for s, _ in b.SEVERITY_MAP]
     run.value_maps = newer
     again = manifest_of(run.rows(run.outcome(bundle), bundle), bundle.template)
     both = recorded.join(again.select("document", F.col("content_hash").alias("again")), "document", "full")

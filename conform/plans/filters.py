@@ -10,7 +10,7 @@ from conform.operators.matrix import MIN_HEIGHT, MIN_WIDTH, fillable
 from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
-from conform.plans.scoring import defect_bundle, make_run
+from conform.plans.scoring import sheet_bundle, make_run
 
 PREFIXES = ("Licensed under", "Released under", "The and", "Of.")
 
@@ -37,17 +37,17 @@ def flt_rowpat(t: Tables) -> DataFrame:
 
 
 @query("flt_vocab", """
-SELECT document, finding_id, defect_code, defect_code IN ('A1','A2','C2','C3','D3','E4') AS legal FROM v_rows""")
+SELECT document, line_ref, part_family, part_family IN ('A1','A2','C2','C3','D3','E4') AS legal FROM v_rows""")
 def flt_vocab(t: Tables) -> DataFrame:
     """Converted rows, legal or not: an illegal value removes the row and is reported."""
-    bundle = defect_bundle()
+    bundle = sheet_bundle()
     out = make_run(t).outcome(bundle).filter(~F.col("unresolved"))
     checked = validate.split_by_vocabulary(out.drop("errors"), bundle.template.vocabularies)
-    return checked.select("document", "finding_id", "defect_code", (F.size("violations") == 0).alias("legal"))
+    return checked.select("document", "line_ref", "part_family", (F.size("violations") == 0).alias("legal"))
 
 
 @query("flt_parse", """
-SELECT document, finding_id AS id, parse_error, CASE WHEN parse_error LIKE 'severity %' THEN 'severity None outside vocabulary' ELSE parse_error END AS without_severity
+SELECT document, line_ref AS id, parse_error, CASE WHEN parse_error LIKE 'severity %' THEN 'severity None outside vocabulary' ELSE parse_error END AS without_severity
 FROM v_res WHERE parse_error IS NOT NULL""")
 def flt_parse(t: Tables) -> DataFrame:
     """Records that could not be read; a severity outside the list and a missing one are both errors."""

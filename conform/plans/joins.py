@@ -42,16 +42,16 @@ def jn_header(t: Tables) -> DataFrame:
 
 
 @query("jn_vocab", """
-WITH v AS (SELECT DISTINCT n_name AS template, 'P' || (n_nationkey % 5) AS value FROM nation UNION SELECT n_name, 'POI' FROM nation)
+WITH v AS (SELECT DISTINCT n_name AS template, CASE n_nationkey % 3 WHEN 0 THEN 'EXPRESS' WHEN 1 THEN 'REGULAR' ELSE 'ECONOMY' END AS value FROM nation UNION SELECT n_name, 'ASK' FROM nation)
 SELECT h.document, f.id, coalesce(s.tv, 'none') AS value, coalesce(s.tv, 'none') IN (SELECT value FROM v WHERE v.template = h.company) AS legal
 FROM v_findings f JOIN v_headers h USING (doc_id) LEFT JOIN v_sev s ON s.sv = f.severity""")
 def jn_vocab(t: Tables) -> DataFrame:
     """Vocabularies as a table: every row, with whether the template allows its value."""
     n = t.t("nation")
-    vocab = n.select(F.col("n_name").alias("company"), F.concat(F.lit("P"), (F.col("n_nationkey") % 5).cast("string")).alias("value")) \
-        .unionByName(n.select(F.col("n_name").alias("company"), F.lit("POI").alias("value"))).distinct()
-    priority = mapping.compile_lookup(F.col("severity"), mapping.first_entries(b.SEVERITY_MAP))
-    rows = records(t).select("document", "id", "company", F.coalesce(priority, F.lit("none")).alias("value"))
+    vocab = n.select(F.col("n_name").alias("company"), F.get(F.array(*map(F.lit, ("EXPRESS", "REGULAR", "ECONOMY"))), F.col("n_nationkey") % 3).alias("value")) \
+        .unionByName(n.select(F.col("n_name").alias("company"), F.lit("ASK").alias("value"))).distinct()
+    handling = mapping.compile_lookup(F.col("severity"), mapping.first_entries(b.SEVERITY_MAP))
+    rows = records(t).select("document", "id", "company", F.coalesce(handling, F.lit("none")).alias("value"))
     keep = ("document", "id", "value")
     flagged = rows.join(vocab.withColumn("known", F.lit(True)), ["company", "value"], "left")
     return flagged.select(*keep, F.coalesce("known", F.lit(False)).alias("legal"))
@@ -136,27 +136,27 @@ def jn_collide(t: Tables) -> DataFrame:
 
 def manifests(t: Tables) -> tuple[DataFrame, DataFrame]:
     """A recorded manifest, and that of a rebuild in which some outputs were renamed or altered."""
-    from conform.plans.scoring import defect_bundle, make_run
+    from conform.plans.scoring import sheet_bundle, make_run
 
-    bundle = defect_bundle()
+    bundle = sheet_bundle()
     run = make_run(t)
     rows = run.rows(run.outcome(bundle), bundle)
-    renamed, altered = F.endswith("asset_name", F.lit("3")), F.endswith("asset_name", F.lit("4"))
+    renamed, altered = F.endswith("customer_name", F.lit("3")), F.endswith("customer_name", F.lit("4"))
     rebuilt = rows.withColumn("document", F.when(renamed, F.concat(F.lit("new_"), "document")).otherwise(F.col("document"))) \
         .withColumn("comments", F.when(altered, F.concat("comments", F.lit("!"))).otherwise(F.col("comments")))
     return manifest_of(rows, bundle.template), manifest_of(rebuilt, bundle.template)
 
 
 @query("jn_regen", """
-SELECT DISTINCT document, CASE WHEN asset_name LIKE '%3' THEN 'missing' ELSE 'changed' END AS difference
-FROM v_legal WHERE asset_name LIKE '%3' OR asset_name LIKE '%4'
-UNION ALL SELECT DISTINCT 'new_' || document, 'extra' FROM v_legal WHERE asset_name LIKE '%3'""")
+SELECT DISTINCT document, CASE WHEN customer_name LIKE '%3' THEN 'missing' ELSE 'changed' END AS difference
+FROM v_legal WHERE customer_name LIKE '%3' OR customer_name LIKE '%4'
+UNION ALL SELECT DISTINCT 'new_' || document, 'extra' FROM v_legal WHERE customer_name LIKE '%3'""")
 def jn_regen(t: Tables) -> DataFrame:
     return registry.compare_manifests(*manifests(t), ["document"])
 
 
 @query("set_symdiff", """
-SELECT DISTINCT document FROM v_legal WHERE asset_name LIKE '%3' UNION ALL SELECT DISTINCT 'new_' || document FROM v_legal WHERE asset_name LIKE '%3'""")
+SELECT DISTINCT document FROM v_legal WHERE customer_name LIKE '%3' UNION ALL SELECT DISTINCT 'new_' || document FROM v_legal WHERE customer_name LIKE '%3'""")
 def set_symdiff(t: Tables) -> DataFrame:
     a, c = (m.select("document") for m in manifests(t))
     return a.subtract(c).union(c.subtract(a))

@@ -68,17 +68,17 @@ SELECT d.*, coalesce(c.extracted, 0) AS extracted,
 FROM v_detect d LEFT JOIN v_counts c USING (doc_id)
 """
 # value maps (first entry wins) and record resolution
-VIEWS["v_sev"] = "SELECT * FROM (VALUES ('5','P1'),('4','P2'),('3','P3'),('2','P4'),('1','P4'),('?','POI')) t(sv, tv)"
+VIEWS["v_sev"] = "SELECT * FROM (VALUES ('5','EXPRESS'),('4','EXPRESS'),('3','REGULAR'),('2','ECONOMY'),('1','ECONOMY'),('?','ASK')) t(sv, tv)"
 VIEWS["v_iss"] = """
 SELECT sv, arg_min(tv, pos) AS tv FROM (VALUES (0,'ECONOMY','A1'),(1,'SMALL','C2'),(2,'MEDIUM','D3'),(3,'STANDARD','E4'),
  (4,'LARGE','ZZ9'),(5,'ECONOMY | N','A2'),(6,'SMALL | N','C3'),(7,'SMALL','D3')) t(pos, sv, tv) GROUP BY sv
 """
 VIEWS["v_res"] = """
-SELECT h.doc_id, h.document, f.record_seq, f.id AS finding_id, h.inspection_name AS asset_name,
-  strftime(strptime(h.report_date, '%b %d, %Y'), '%Y-%m-%d') AS inspection_date,
-  i.tv AS defect_code, s.tv AS priority, f.severity AS source_severity, 'CN-2026-001' AS contract_number,
-  'UAV visual' AS inspection_method, array_to_string(f.user_tags, ' | ') AS user_tags, f.comments,
-  coalesce(f.page::VARCHAR, '') AS source_page, array_to_string(f.issues, ' | ') AS issues_text,
+SELECT h.doc_id, h.document, f.record_seq, f.id AS line_ref, h.inspection_name AS customer_name,
+  strftime(strptime(h.report_date, '%b %d, %Y'), '%Y-%m-%d') AS ordered_on,
+  i.tv AS part_family, s.tv AS handling, f.severity AS urgency_mark, 'FA-77' AS frame_agreement,
+  'dock desk' AS intake_channel, array_to_string(f.user_tags, ' | ') AS user_tags, f.comments,
+  coalesce(f.page::VARCHAR, '') AS sheet_no, array_to_string(f.issues, ' | ') AS issues_text,
   CASE WHEN f.severity NOT IN ('1','2','3','4','5','?') THEN 'severity ''' || f.severity || ''' outside vocabulary'
        WHEN f.page IS NULL THEN 'page column unparseable: ''' || f.page_text || '''' END AS parse_error,
   h.company, f.page
@@ -86,22 +86,22 @@ FROM v_findings f JOIN v_headers h USING (doc_id)
 LEFT JOIN v_sev s ON s.sv = f.severity LEFT JOIN v_iss i ON i.sv = array_to_string(f.issues, ' | ')
 """
 VIEWS["v_open"] = "SELECT r.* FROM v_res r JOIN v_gate g USING (doc_id) WHERE g.blocked_kind = ''"
-VIEWS["v_rows"] = "SELECT * FROM v_open WHERE parse_error IS NULL AND defect_code IS NOT NULL AND priority IS NOT NULL"
-VIEWS["v_legal"] = "SELECT * FROM v_rows WHERE defect_code IN ('A1','A2','C2','C3','D3','E4')"
+VIEWS["v_rows"] = "SELECT * FROM v_open WHERE parse_error IS NULL AND part_family IS NOT NULL AND handling IS NOT NULL"
+VIEWS["v_legal"] = "SELECT * FROM v_rows WHERE part_family IN ('A1','A2','C2','C3','D3','E4')"
 VIEWS["v_recexc"] = """
-SELECT doc_id, document, finding_id AS record_ref, 'record_parse' AS kind, '' AS field, '' AS value, parse_error AS reason,
-  'inspect the source row; extraction could not read it' AS suggestion, 'defect_csv@1' AS template
+SELECT doc_id, document, line_ref AS record_ref, 'record_parse' AS kind, '' AS field, '' AS value, parse_error AS reason,
+  'inspect the source row; extraction could not read it' AS suggestion, 'line_sheet@1' AS template
   FROM v_open WHERE parse_error IS NOT NULL
 UNION ALL
-SELECT doc_id, document, finding_id, 'oov_value', 'defect_code', issues_text,
+SELECT doc_id, document, line_ref, 'oov_value', 'part_family', issues_text,
   'value ''' || issues_text || ''' not covered by the approved value map',
-  'review and add a mapping for ''' || issues_text || ''' as a new value-map version', 'defect_csv@1'
-  FROM v_open WHERE parse_error IS NULL AND defect_code IS NULL
+  'review and add a mapping for ''' || issues_text || ''' as a new value-map version', 'line_sheet@1'
+  FROM v_open WHERE parse_error IS NULL AND part_family IS NULL
 UNION ALL
-SELECT doc_id, document, finding_id, 'invalid_value', 'defect_code', defect_code,
-  'value ''' || defect_code || ''' for ''defect_code'' is outside the template''s registered vocabulary',
-  'fix the value-map entry (new version) or extend the template''s vocabulary as data', 'defect_csv@1'
-  FROM v_rows WHERE defect_code NOT IN ('A1','A2','C2','C3','D3','E4')
+SELECT doc_id, document, line_ref, 'invalid_value', 'part_family', part_family,
+  'value ''' || part_family || ''' for ''part_family'' is outside the template''s registered vocabulary',
+  'fix the value-map entry (new version) or extend the template''s vocabulary as data', 'line_sheet@1'
+  FROM v_rows WHERE part_family NOT IN ('A1','A2','C2','C3','D3','E4')
 """
 VIEWS["v_docexc"] = """
 SELECT doc_id, document, '' AS record_ref, blocked_kind AS kind, '' AS field,
@@ -170,7 +170,7 @@ SELECT transform_id, target_field, mech AS mechanism,
   CASE mech WHEN 'constant' THEN 'C' || k WHEN 'formula' THEN ['concat','substring','arith'][k % 3 + 1] WHEN 'prompt' THEN 'ask_' || (k % 4) END AS spec
 FROM (SELECT *, CASE WHEN k % 10 < 6 AND k % 11 = 0 THEN 'T2' WHEN k % 10 < 6 AND k % 11 = 1 THEN 'T3' WHEN pinned THEN 'T1' ELSE 'T0' END AS tier FROM (
   SELECT l_suppkey AS transform_id,
-   ['finding_id','asset_name','inspection_date','defect_code','priority','source_severity','contract_number'][l_linenumber] AS target_field,
+   ['line_ref','customer_name','ordered_on','part_family','handling','urgency_mark','frame_agreement'][l_linenumber] AS target_field,
    ['finding.id','header.inspection_name','header.report_date','finding.issues','finding.severity','finding.severity','finding.page'][l_linenumber] AS path,
    min(l_partkey) AS k, k % 10 < 6 AND k % 3 = 0 AS pinned,
    CASE WHEN k % 10 < 6 THEN 'route' WHEN k % 10 = 6 THEN 'constant' WHEN k % 10 = 7 THEN 'formula' ELSE 'prompt' END AS mech
@@ -181,8 +181,8 @@ SELECT s_suppkey AS transform_id, n_name AS template, s_nationkey, 'shape_' || (
 FROM supplier JOIN nation ON n_nationkey = s_nationkey
 """
 VIEWS["v_required"] = """
-SELECT transform_id, f AS target_field FROM v_transforms CROSS JOIN (VALUES (0,'finding_id'),(1,'asset_name'),(2,'inspection_date'),
- (3,'defect_code'),(4,'priority'),(5,'source_severity'),(6,'contract_number'),(7,'inspection_method')) t(j, f) WHERE (s_nationkey + j) % 5 <> 0
+SELECT transform_id, f AS target_field FROM v_transforms CROSS JOIN (VALUES (0,'line_ref'),(1,'customer_name'),(2,'ordered_on'),
+ (3,'part_family'),(4,'handling'),(5,'urgency_mark'),(6,'frame_agreement'),(7,'intake_channel')) t(j, f) WHERE (s_nationkey + j) % 5 <> 0
 """
 VIEWS["v_map_entries"] = """
 SELECT 'map_' || (p_partkey % 4) AS name, p_size % 4 + 1 AS version, p_partkey AS pos, p_brand AS source_value,
@@ -191,8 +191,8 @@ SELECT 'map_' || (p_partkey % 4) AS name, p_size % 4 + 1 AS version, p_partkey A
 """
 VIEWS["v_evt"] = """
 SELECT event_id, user_id AS session_id, regexp_extract(props, '(\\d+)', 1) AS v,
-  CASE event_type WHEN 'signup' THEN 'finding_id' WHEN 'view' THEN 'priority' WHEN 'click' THEN 'defect_code'
-       WHEN 'purchase' THEN 'source_severity' ELSE 'comments' END AS field,
+  CASE event_type WHEN 'signup' THEN 'line_ref' WHEN 'view' THEN 'handling' WHEN 'click' THEN 'part_family'
+       WHEN 'purchase' THEN 'urgency_mark' ELSE 'comments' END AS field,
   CASE event_id % 3 WHEN 0 THEN 'finding.severity' WHEN 1 THEN 'finding.issues' ELSE 'header.company' END AS path0
 FROM events
 """.replace("\\\\", "\\")

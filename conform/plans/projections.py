@@ -29,13 +29,13 @@ def resolve_one(t: Tables, doc: dict, targets: tuple[str, ...], df: DataFrame |
 
 
 @query("prj_path", """
-SELECT document, id, company AS header_company, severity AS finding_severity, 'CN-2026-001' AS prompt_contract,
+SELECT document, id, company AS header_company, severity AS finding_severity, 'FA-77' AS prompt_contract,
  'unknown source scope ''asset'' in path ''asset.name''' AS bad_scope,
  'source field ''finding.colour'' not present in extracted record' AS bad_key FROM v_findings JOIN v_headers USING (doc_id)""")
 def prj_path(t: Tables) -> DataFrame:
     found = [SCOPE.path(p)[0].alias(a) for p, a in (
         ("header.company", "header_company"), ("finding.severity", "finding_severity"),
-        ("prompt.contract_number", "prompt_contract"))]
+        ("prompt.frame_agreement", "prompt_contract"))]
     errors = [F.lit(SCOPE.path(p)[1]).alias(a) for p, a in (("asset.name", "bad_scope"), ("finding.colour", "bad_key"))]
     return records(t).select("document", "id", *found, *errors)
 
@@ -49,26 +49,26 @@ def prj_text(t: Tables) -> DataFrame:
                                tx.as_text(F.col("page")).alias("page_text"))
 
 
-@query("prj_route", "SELECT document, finding_id, source_severity, source_page FROM v_res")
+@query("prj_route", "SELECT document, line_ref, urgency_mark, sheet_no FROM v_res")
 def prj_route(t: Tables) -> DataFrame:
-    cols = ("finding_id", "source_severity", "source_page")
+    cols = ("line_ref", "urgency_mark", "sheet_no")
     out = resolve_one(t, load_mapping(b.MAPPING), cols)
     return mapping.good_rows(out, cols, ("document",))
 
 
-@query("prj_const", "SELECT document, id, 'UAV visual' AS inspection_method FROM v_findings JOIN v_headers USING (doc_id)")
+@query("prj_const", "SELECT document, id, 'dock desk' AS intake_channel FROM v_findings JOIN v_headers USING (doc_id)")
 def prj_const(t: Tables) -> DataFrame:
-    out = resolve_one(t, load_mapping(b.MAPPING), ("inspection_method",))
-    return mapping.good_rows(out, ("inspection_method",), ("document", "id"))
+    out = resolve_one(t, load_mapping(b.MAPPING), ("intake_channel",))
+    return mapping.good_rows(out, ("intake_channel",), ("document", "id"))
 
 
 @query("prj_prompt", """
-SELECT document, id, 'CN-2026-001' AS contract_number, 'missing per-batch prompt answer ''crew''' AS crew_reason
+SELECT document, id, 'FA-77' AS frame_agreement, 'missing per-batch prompt answer ''crew''' AS crew_reason
 FROM v_findings JOIN v_headers USING (doc_id)""")
 def prj_prompt(t: Tables) -> DataFrame:
-    doc = {"prompts": [{"key": "contract_number"}, {"key": "crew", "required": False}]}
-    out = resolve_one(t, doc, ("contract_number", "crew"))
-    return out.select("document", "id", F.col("t_contract_number.value").alias("contract_number"),
+    doc = {"prompts": [{"key": "frame_agreement"}, {"key": "crew", "required": False}]}
+    out = resolve_one(t, doc, ("frame_agreement", "crew"))
+    return out.select("document", "id", F.col("t_frame_agreement.value").alias("frame_agreement"),
                       F.col("t_crew.reason").alias("crew_reason"))
 
 
@@ -76,12 +76,12 @@ PRECEDENCE = {
     "routes": {"a": {"from": "finding.severity", "tier": "T0"}},
     "constants": {"a": "const", "b": "const"},
     "formulas": {k: {"fn": "concat", "args": [{"lit": "f:"}, {"field": "finding.comments"}]} for k in "abc"},
-    "prompts": [{"key": "contract_number", "target_field": k} for k in "abcd"],
+    "prompts": [{"key": "frame_agreement", "target_field": k} for k in "abcd"],
 }
 
 
 @query("prj_dispatch", """
-SELECT document, id, severity AS a, 'const' AS b, 'f:' || comments AS c, 'CN-2026-001' AS d,
+SELECT document, id, severity AS a, 'const' AS b, 'f:' || comments AS c, 'FA-77' AS d,
  'target field ''e'' has no route/constant/formula/prompt' AS e FROM v_findings JOIN v_headers USING (doc_id)""")
 def prj_dispatch(t: Tables) -> DataFrame:
     out = resolve_one(t, PRECEDENCE, tuple("abcde"))
@@ -89,15 +89,15 @@ def prj_dispatch(t: Tables) -> DataFrame:
 
 
 @query("prj_strict", """
-SELECT document, finding_id AS ref, 'row' AS outcome, defect_code AS field, priority AS detail FROM v_res
- WHERE defect_code IS NOT NULL AND priority IS NOT NULL
-UNION ALL SELECT document, finding_id, 'oov_value', 'defect_code', issues_text FROM v_res WHERE defect_code IS NULL
-UNION ALL SELECT document, finding_id, 'oov_value', 'priority', source_severity FROM v_res WHERE priority IS NULL""")
+SELECT document, line_ref AS ref, 'row' AS outcome, part_family AS field, handling AS detail FROM v_res
+ WHERE part_family IS NOT NULL AND handling IS NOT NULL
+UNION ALL SELECT document, line_ref, 'oov_value', 'part_family', issues_text FROM v_res WHERE part_family IS NULL
+UNION ALL SELECT document, line_ref, 'oov_value', 'handling', urgency_mark FROM v_res WHERE handling IS NULL""")
 def prj_strict(t: Tables) -> DataFrame:
     """Rows and exceptions are two branches of one projection: a record gives one row or its problems."""
     out = resolve_one(t, load_mapping(b.MAPPING), b.COLUMNS)
-    row = F.array(F.struct(F.lit("row").alias("outcome"), F.col("t_defect_code.value").alias("field"),
-                           F.col("t_priority.value").alias("detail")))
+    row = F.array(F.struct(F.lit("row").alias("outcome"), F.col("t_part_family.value").alias("field"),
+                           F.col("t_handling.value").alias("detail")))
     bad = F.transform("problems", lambda p: F.struct(p["kind"].alias("outcome"), p["field"].alias("field"),
                                                      p["value"].alias("detail")))
     return out.select("document", F.col("id").alias("ref"),
@@ -105,14 +105,14 @@ def prj_strict(t: Tables) -> DataFrame:
 
 
 @query("prj_preview", """
-SELECT document, finding_id, inspection_date, coalesce(priority, '<<unresolved: value ''' || source_severity
-  || ''' not covered by the approved value map>>') AS priority,
- coalesce(defect_code, '<<unresolved: value ''' || issues_text || ''' not covered by the approved value map>>') AS defect_code,
- '<<contract_number>>' AS contract_number FROM v_res""")
+SELECT document, line_ref, ordered_on, coalesce(handling, '<<unresolved: value ''' || urgency_mark
+  || ''' not covered by the approved value map>>') AS handling,
+ coalesce(part_family, '<<unresolved: value ''' || issues_text || ''' not covered by the approved value map>>') AS part_family,
+ '<<frame_agreement>>' AS frame_agreement FROM v_res""")
 def prj_preview(t: Tables) -> DataFrame:
     doc = load_mapping(b.MAPPING)
     scope = mapping.Scope(HEADER_PATHS, FINDING_PATHS, mapping.prompt_markers(doc), LISTS)
-    cols = ("finding_id", "inspection_date", "priority", "defect_code", "contract_number")
+    cols = ("line_ref", "ordered_on", "handling", "part_family", "frame_agreement")
     out = mapping.resolve(records(t), cols, doc, scope, b.VALUE_MAPS, KEEP)
     return mapping.preview(out, cols, ("document",))
 

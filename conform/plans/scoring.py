@@ -18,7 +18,7 @@ from conform.session import shared_dir
 from conform.sources.config import load_mapping
 
 
-def defect_bundle() -> Bundle:
+def sheet_bundle() -> Bundle:
     return Bundle(load_mapping(b.MAPPING), b.TEMPLATE)
 
 
@@ -27,7 +27,7 @@ def order_bundle() -> Bundle:
 
 
 def make_run(t: Tables, *bundles: Bundle) -> Run:
-    return Run(t.batch(), t.findings(), t.finding_counts(), bundles or (defect_bundle(),), b.VALUE_MAPS, b.ANSWERS,
+    return Run(t.batch(), t.findings(), t.finding_counts(), bundles or (sheet_bundle(),), b.VALUE_MAPS, b.ANSWERS,
                b.PROFILES, "line.report@v2020", b.ANCHORS, b.SEVERITIES)
 
 
@@ -119,17 +119,17 @@ def jn_excdoc(t: Tables) -> DataFrame:
 
 
 @query("prj_multi", """
-SELECT 'defect_csv@1' AS template, document, finding_id AS ref, priority AS a, inspection_date AS b FROM v_legal
-UNION ALL SELECT 'work_order@1', document, finding_id, priority,
+SELECT 'line_sheet@1' AS template, document, line_ref AS ref, handling AS a, ordered_on AS b FROM v_legal
+UNION ALL SELECT 'work_order@1', document, line_ref, handling,
   CASE WHEN page % 2 = 0 THEN (page // 2)::VARCHAR ELSE (page / 2.0)::DOUBLE::VARCHAR END
- FROM v_open WHERE parse_error IS NULL AND priority IS NOT NULL""")
+ FROM v_open WHERE parse_error IS NULL AND handling IS NOT NULL""")
 def prj_multi(t: Tables) -> DataFrame:
     """Two targets over one extraction, in long form."""
-    one, two = defect_bundle(), order_bundle()
+    one, two = sheet_bundle(), order_bundle()
     run = make_run(t, one, two).freeze()
     x = run.rows(run.outcome(one), one).select(F.lit(one.template.ref).alias("template"), "document",
-                                               F.col("finding_id").alias("ref"), F.col("priority").alias("a"),
-                                               F.col("inspection_date").alias("b"))
+                                               F.col("line_ref").alias("ref"), F.col("handling").alias("a"),
+                                               F.col("ordered_on").alias("b"))
     y = run.rows(run.outcome(two), two).select(F.lit(two.template.ref).alias("template"), "document",
                                                F.col("order_ref").alias("ref"), F.col("urgency").alias("a"),
                                                F.col("page_2").alias("b"))

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from conform.plans import bindings as b
 from conform.plans.bindings import Tables
-from conform.plans.scoring import defect_bundle, make_run
+from conform.plans.scoring import sheet_bundle, make_run
 from tools.check_oracle import TABLES, canonical
 
 DATA = "/root/testdata/sf0.001"
@@ -36,7 +36,7 @@ def test_query_matches_sql(spark, db, name):
 
 
 def test_rows_and_failed_records_add_up(spark):
-    bundle = defect_bundle()
+    bundle = sheet_bundle()
     run = make_run(Tables(spark, DATA), bundle)
     out = run.outcome(bundle)
     assert run.rows(out, bundle).count() + out.filter("size(errors) > 0").count() == run.records.count()
@@ -51,7 +51,7 @@ def test_every_document_appears_once_in_the_card(spark):
 def test_missing_prompt_answers_fail_before_reading(spark):
     t = Tables(spark, DATA)
     run = make_run(t)
-    with pytest.raises(ValueError, match="contract_number"):
+    with pytest.raises(ValueError, match="frame_agreement"):
         type(run)(run.documents, run.findings, run.counts, run.bundles, run.value_maps, {}, b.PROFILES, run.run_profile, b.ANCHORS, b.SEVERITIES)
 
 
