@@ -170,13 +170,30 @@ def _count_marks(docs: DataFrame, lm: np.ndarray, only: frozenset[str] | None) -
     return docs.mapInArrow(count, "mark string, n long").groupBy("mark").agg(F.sum("n").alias("n"))
 
 
+def _credit(docs: DataFrame, lm: np.ndarray, weight: dict[str, float]) -> DataFrame:
+    """How many of the texts each mark explains best; of equal marks the longest word, then the whole one."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, seen = Decoder(lm), Counter()
+        for batch in batches:
+            for t in batch.column(0):
+                found = {m for w in decoder.words(t.as_py()) if w for m in marks(w) if m in weight}
+                if found:
+                    seen[max(found, key=lambda m: (weight[m], len(m), m))] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["mark", "n"])
+
+    return docs.mapInArrow(count, "mark string, n long").groupBy("mark").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 100_000, least: int = 3, doubt: float = 8.0, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic") -> Model:
     """Language model from all texts; weights of words from labelled ones whose id is open to training.
 
     About ``fit_rows`` labelled ids at most are used, chosen by a hash of the id, so the label table each task gets is bounded.
     Null labels are left out; an id with several labels counts as toxic if one says so. A word's weight is its share of toxic
-    texts, drawn towards the overall share by ``doubt`` pseudo-texts. Without labels every weight is missing.
+    texts, drawn towards the overall share by ``doubt`` pseudo-texts. Only words as telling as those that explain toxic texts
+    best keep a weight: what merely stands next to them, as in copies of one text, is explained away. Without labels every
+    weight is missing.
     """
     lm = model_of(count_grams(docs, text_col))
     own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).filter(F.col("_y").isNotNull() & in_training("_id"))
@@ -192,8 +209,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 100_000, least: int
     toxic = {r.mark: r.n for r in _count_marks(texts.filter("_y = 1").select("_text"), lm, None).filter(F.col("n") >= least).collect()}
     clean = {r.mark: r.n for r in _count_marks(texts.filter("_y = 0").select("_text"), lm, frozenset(toxic)).collect()} if toxic else {}
     weight = {m: (a + doubt * prior) / (a + clean.get(m, 0) + doubt) for m, a in toxic.items()}
-    floor = max(0.25, 2 * prior)
-    return Model(lm, {m: w for m, w in weight.items() if w >= floor}, min(0.4, prior / 4))
+    weight = {m: w for m, w in weight.items() if w >= max(0.25, 2 * prior)}
+    credit = {r.mark: r.n for r in _credit(texts.filter("_y = 1").select("_text"), lm, weight).collect()} if weight else {}
+    enough = max(2, sizes.get(1, 0) * 3 // 1000)
+    # as telling as the least telling mark that explains texts on its own
+    least_told = min((w for m, w in weight.items() if credit.get(m, 0) >= enough), default=1.0)
+    return Model(lm, {m: w for m, w in weight.items() if w >= least_told}, min(0.4, prior / 4))
 
 
 def score(text: Column, model: Model) -> Column:
