@@ -169,7 +169,7 @@ def apply_edits(drafts: DataFrame, edits: DataFrame, bucket: Column) -> tuple[Da
     ``drafts(session_id, target_field, from_path, tier)``, ``edits(session_id, target_field, step,
     action, arg)``. No list of edits is gathered: an edit depends on the past only through a few
     facts per field, all of them partial aggregates. A field is routed after a create, unrouted after
-    a reject or a fixed value; a stub (T3) or a proposal (T2) stays one until the first edit that
+    a reject or a fixed value (which stays set under later routes); a stub (T3) or a proposal (T2) stays one until the first edit that
     can change it. ``bucket`` grows with ``step`` and splits the edits of a busy field.
     """
     key = ["session_id", "target_field"]
@@ -204,13 +204,15 @@ def apply_edits(drafts: DataFrame, edits: DataFrame, bucket: Column) -> tuple[Da
     by_create = opened_at.isNotNull() & (reset.isNull() | (opened_at > reset))
     by_draft = F.col("d_tier").isNotNull() & reset.isNull() & opened_at.isNull()
     on_route = by_create | by_draft
-    fixed = ~on_route & F.coalesce(F.col("reset.action").isin(*FIXED), F.lit(False))
+    # a route goes first; below it a constant, a formula and a prompt stay set once they were, in this order
+    kind = F.coalesce(*[F.when(F.col(f"last_{a}").isNotNull(), F.lit(a)) for a in FIXED])
+    value = F.coalesce(*[F.col(f"last_{a}.arg") for a in FIXED])
     auto = F.when(F.col("vm").isNotNull(), "T1").otherwise("T0")
     tier = F.when(by_create | F.coalesce("settled", F.lit(False)), auto).otherwise(F.col("d_tier"))
     state = final.select(
-        *key, F.when(on_route, "route").when(fixed, F.col("reset.action")).alias("mechanism"),
-        F.when(on_route, F.coalesce("path", "d_path")).when(fixed, F.col("reset.arg")).alias("from_path"),
-        F.when(on_route, tier).when(fixed, "T0").alias("tier"), F.when(on_route, F.col("vm")).alias("vm"))
+        *key, F.when(on_route, "route").otherwise(kind).alias("mechanism"),
+        F.when(on_route, F.coalesce("path", "d_path")).otherwise(value).alias("from_path"),
+        F.when(on_route, tier).when(kind.isNotNull(), "T0").alias("tier"), F.when(on_route, F.col("vm")).alias("vm"))
     return state, judged.filter(F.col("why").isNotNull()).select(*key, "step", "why")
 
 
@@ -223,8 +225,8 @@ def edits_since(judged: DataFrame, key: list[str]) -> DataFrame:
     ok = F.col("why").isNull()
     latest = lambda *a: F.max(F.when(ok & F.col("action").isin(*a), F.struct("step", "arg")))
     g = judged.groupBy(*key).agg(latest("create").alias("o"), latest("create", "reroute").alias("p"), latest("pin").alias("v"),
-                                 latest("accept", "reroute").alias("s"),
+                                 latest("accept", "reroute").alias("s"), *[latest(a).alias(f"last_{a}") for a in FIXED],
                                  F.max(F.when(ok & F.col("action").isin("reject", *FIXED), F.struct("step", "action", "arg"))).alias("reset"))
     since = lambda c: F.col("o").isNull() | (F.col(f"{c}.step") > F.col("o.step"))
-    return g.select(*key, "reset", F.col("o.step").alias("opened"), F.col("p.arg").alias("path"), F.when(since("v"), F.col("v.arg")).alias("vm"),
+    return g.select(*key, "reset", *[f"last_{a}" for a in FIXED], F.col("o.step").alias("opened"), F.col("p.arg").alias("path"), F.when(since("v"), F.col("v.arg")).alias("vm"),
                     F.when(since("s"), F.col("s.step").isNotNull()).alias("settled"))

@@ -192,9 +192,12 @@ def table_headers(lines: DataFrame, must_have: Sequence[str]) -> DataFrame:
 
 
 def annotation_records(words: DataFrame, must_have: Sequence[str], columns: Sequence[str], id_pattern: str,
-                       page_width: float, severities: Sequence[str], separator: str) -> DataFrame:
+                       page_width: float, severities: Sequence[str], separator: str, optional: Sequence[str] = ()) -> DataFrame:
     """Records of an annotation table whose cells may wrap around the row of their id.
 
+    A page whose header line lacks one of ``columns`` that is not ``optional`` gives no records: its cells would end up in a
+    neighbouring column.
+
     Column edges come from the header words, row bands from the midpoints between id words. Both
     are spread over the lines of a page by window, on the partitioning the lines already have, so
     the words are shuffled once; each word then finds its band and column.
@@ -205,7 +208,8 @@ def annotation_records(words: DataFrame, must_have: Sequence[str], columns: Sequ
     for m in must_have:
         is_head = is_head & F.array_contains("words.text", m)
     head = F.min(F.when(is_head, F.struct("line_top", "words"))).over(whole_page)
-    lines = lines.withColumn("head", head).filter(F.col("line_top") > F.col("head.line_top") + 5).withColumn(
+    whole = F.size(F.array_except(F.array(*[F.lit(c) for c in columns if c not in optional]), F.col("head.words.text"))) == 0
+    lines = lines.withColumn("head", head).filter((F.col("line_top") > F.col("head.line_top") + 5) & whole).withColumn(
         "ranges", column_edges(F.col("head.words"), columns, page_width)).drop("head")
 
     def in_id_column(w: Column) -> Column:

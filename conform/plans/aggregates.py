@@ -182,22 +182,26 @@ SELECT session_id, field AS target_field, event_id AS step, ['create','accept','
 @query("win_edits", """
 WITH RECURSIVE k AS (SELECT DISTINCT session_id, target_field FROM v_drafts UNION SELECT DISTINCT session_id, target_field FROM v_edits),
 st AS (
- SELECT k.session_id, k.target_field, 0::BIGINT AS rn, CASE WHEN d.tier IS NULL THEN NULL ELSE 'route' END AS mechanism, d.from_path, d.tier, NULL::VARCHAR AS vm, ''::VARCHAR AS refused
+ SELECT k.session_id, k.target_field, 0::BIGINT AS rn, CASE WHEN d.tier IS NULL THEN NULL ELSE 'route' END AS mechanism, d.from_path, d.tier, NULL::VARCHAR AS vm, ''::VARCHAR AS refused,
+  NULL::VARCHAR AS c, NULL::VARCHAR AS f, NULL::VARCHAR AS p
  FROM k LEFT JOIN v_drafts d USING (session_id, target_field)
  UNION ALL
  SELECT session_id, target_field, rn,
-  CASE WHEN why <> '' THEN mechanism WHEN action IN ('create','accept','reroute','pin') THEN 'route' WHEN action = 'reject' THEN NULL ELSE action END,
-  CASE WHEN why <> '' THEN from_path WHEN action IN ('accept','pin') THEN from_path WHEN action = 'reject' THEN NULL ELSE arg END,
+  CASE WHEN why <> '' THEN mechanism WHEN action IN ('create','accept','reroute','pin') THEN 'route' ELSE NULL END,
+  CASE WHEN why <> '' THEN from_path WHEN action IN ('accept','pin') THEN from_path WHEN action IN ('create','reroute') THEN arg ELSE NULL END,
   CASE WHEN why <> '' THEN tier WHEN action IN ('accept','reroute') THEN CASE WHEN vm IS NULL THEN 'T0' ELSE 'T1' END
-       WHEN action = 'pin' THEN CASE WHEN tier IN ('T0','T1') THEN 'T1' ELSE tier END WHEN action = 'reject' THEN NULL ELSE 'T0' END,
+       WHEN action = 'pin' THEN CASE WHEN tier IN ('T0','T1') THEN 'T1' ELSE tier END WHEN action = 'create' THEN 'T0' ELSE NULL END,
   CASE WHEN why <> '' THEN vm WHEN action IN ('accept','reroute') THEN vm WHEN action = 'pin' THEN arg ELSE NULL END,
-  refused || CASE WHEN why <> '' THEN step || ':' || why || ';' ELSE '' END
- FROM (SELECT s.session_id, s.target_field, e.rn, s.mechanism, s.from_path, s.tier, s.vm, s.refused, e.action, e.arg, e.step,
+  refused || CASE WHEN why <> '' THEN step || ':' || why || ';' ELSE '' END,
+  CASE WHEN action = 'constant' THEN arg ELSE c END, CASE WHEN action = 'formula' THEN arg ELSE f END, CASE WHEN action = 'prompt' THEN arg ELSE p END
+ FROM (SELECT s.session_id, s.target_field, e.rn, s.mechanism, s.from_path, s.tier, s.vm, s.refused, s.c, s.f, s.p, e.action, e.arg, e.step,
    CASE WHEN e.action = 'create' AND coalesce(s.mechanism = 'route', false) AND coalesce(s.tier, '') <> 'T3' THEN 'already has a route'
     WHEN e.action IN ('accept','reject','reroute','pin') AND NOT coalesce(s.mechanism = 'route', false) THEN 'no route'
     WHEN e.action = 'accept' AND s.tier <> 'T2' THEN 'not a pending proposal' WHEN e.action = 'redraw' THEN 'unknown edit' ELSE '' END AS why
   FROM st s JOIN v_edits e ON e.session_id = s.session_id AND e.target_field = s.target_field AND e.rn = s.rn + 1))
-SELECT session_id, target_field, -1::BIGINT AS step, coalesce(mechanism, '') AS mechanism, coalesce(from_path, '') AS from_path, coalesce(tier, '') AS tier, coalesce(vm, '') AS vm, '' AS refused
+SELECT session_id, target_field, -1::BIGINT AS step, coalesce(mechanism, CASE WHEN c IS NOT NULL THEN 'constant' WHEN f IS NOT NULL THEN 'formula' WHEN p IS NOT NULL THEN 'prompt' END, '') AS mechanism,
+ CASE WHEN mechanism IS NULL THEN coalesce(c, f, p, '') ELSE coalesce(from_path, '') END AS from_path,
+ CASE WHEN mechanism IS NULL AND coalesce(c, f, p) IS NOT NULL THEN 'T0' ELSE coalesce(tier, '') END AS tier, coalesce(vm, '') AS vm, '' AS refused
 FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY session_id, target_field ORDER BY rn DESC) = 1)
 UNION ALL SELECT session_id, target_field, split_part(r, ':', 1)::BIGINT, '', '', '', '', split_part(r, ':', 2) FROM (
  SELECT session_id, target_field, unnest(string_split(refused, ';')) AS r FROM (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY session_id, target_field ORDER BY rn DESC) = 1))

@@ -140,9 +140,11 @@ def dq_extract(t: Tables) -> DataFrame:
 @query("dq_annot", """
 SELECT doc_id, pg AS page, id, severity, array_to_string(user_tags, '/') AS user_tags, array_to_string(issues, '/') AS issues, comments,
  coalesce(page, -1) AS page_no, coalesce(CASE WHEN severity = '9' THEN 'severity ''9'' outside vocabulary'
- WHEN page IS NULL THEN 'page column unparseable: ''n/a''' END, '') AS parse_error FROM v_slots WHERE doc_id % 50 <> 7""")
+ WHEN page IS NULL THEN 'page column unparseable: ''n/a''' END, '') AS parse_error FROM v_slots WHERE doc_id % 50 NOT IN (7, 13)""")
 def dq_annot(t: Tables) -> DataFrame:
-    rows = layout.annotation_records(t.printed(), ("Id", "Severity", "Page"), ANNOT_COLUMNS, b.ROW_PATTERN, 600.0, b.SEVERITIES, "|")
+    """Wrapped tables; documents 13 of each 50 lost the heading of a column that may not be missing."""
+    printed = t.printed().filter((F.col("doc_id") % 50 != 13) | (F.col("text") != "Comments"))
+    rows = layout.annotation_records(printed, ("Id", "Severity", "Page"), ANNOT_COLUMNS, b.ROW_PATTERN, 600.0, b.SEVERITIES, "|", ("User",))
     return rows.select("doc_id", "page", "id", "severity", F.array_join("user_tags", "/").alias("user_tags"),
                        F.array_join("issues", "/").alias("issues"), "comments", F.coalesce("page_no", F.lit(-1)).alias("page_no"),
                        F.coalesce("parse_error", F.lit("")).alias("parse_error"))

@@ -86,9 +86,12 @@ def test_edits_of_one_busy_field(spark):
     import random
 
     rnd = random.Random(5)
-    kinds = ("create", "accept", "reject", "reroute", "pin", "constant", "redraw")
-    for tier in ("T2", "T3", None):
-        events = [("s", "f", i, rnd.choice(kinds), f"a{i}") for i in range(60)]
+    kinds = ("create", "accept", "reject", "reroute", "pin", "constant", "formula", "redraw")
+    cases = [(t, [("s", "f", i, rnd.choice(kinds), f"a{i}") for i in range(60)]) for t in ("T2", "T3", None)]
+    cases.append((None, [("s", "f", i, k, f"a{i}") for i, k in enumerate(("constant", "create", "reject"))]))
+    cases.append((None, [("s", "f", i, k, f"a{i}") for i, k in enumerate(("formula", "constant", "formula"))]))
+    for tier, events in cases:
+        fixed = {}
         st, refused = ({"m": "route", "p": "x", "t": tier, "v": None} if tier else {"m": None, "p": None, "t": None, "v": None}), []
         for _, _, i, act, arg in events:
             routed = st["m"] == "route"
@@ -107,7 +110,11 @@ def test_edits_of_one_busy_field(spark):
             elif act == "pin":
                 st["v"], st["t"] = arg, "T1" if st["t"] in ("T0", "T1") else st["t"]
             else:
-                st = {"m": act, "p": arg, "t": "T0", "v": None}
+                fixed[act] = arg
+                st = {"m": None, "p": None, "t": None, "v": None}
+        if st["m"] is None and fixed:
+            kept = "constant" if "constant" in fixed else "formula"
+            st = {"m": kept, "p": fixed[kept], "t": "T0", "v": None}
         drafts = spark.createDataFrame([("s", "f", "x", tier)] if tier else [], "session_id string, target_field string, from_path string, tier string")
         edits = spark.createDataFrame(events, "session_id string, target_field string, step long, action string, arg string")
         state, lost = assist.apply_edits(drafts, edits, F.floor(F.col("step") / 7))
