@@ -158,6 +158,18 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[int, np.ndarray]:
     return train({(r["kind"], tuple(r["votes"]), r["shape"]): r["n"] for r in got})
 
 
+def accepted(text: str | None, model: dict[int, np.ndarray], threshold: float) -> tuple[list[tuple], list[tuple]]:
+    """Strict candidates of a text, and all that count: these and the loose ones that the classifier takes; in order."""
+    found = candidates(text or "")
+    strict = [c for c in found if c[3][0]]
+    loose = [c for c in found if not c[3][0]]
+    if loose:
+        p = [float(_inputs(np.array([c[3]], float), np.array([c[4]])) @ model.get(c[0], np.zeros(9))) for c in loose]
+        loose = [c for c, x in zip(loose, p, strict=True) if 1 / (1 + np.exp(-x)) > threshold]
+    order = lambda c: (c[1], c[0], c[2])
+    return sorted(strict, key=order), sorted(strict + loose, key=order)
+
+
 SPAN = "array<struct<kind: string, start: long, end: long>>"
 
 
@@ -172,15 +184,8 @@ def spans(text: Column, model: dict[int, np.ndarray], threshold: float = 0.5) ->
     def find(texts: pa.Array) -> pa.Array:
         base, every = [], []
         for t in texts:
-            found = candidates(t.as_py() or "")
-            strict = [c for c in found if c[3][0]]
-            loose = [c for c in found if not c[3][0]]
-            if loose:
-                p = [float(_inputs(np.array([c[3]], float), np.array([c[4]])) @ model.get(c[0], np.zeros(9))) for c in loose]
-                loose = [c for c, x in zip(loose, p, strict=True) if 1 / (1 + np.exp(-x)) > threshold]
-            as_rows = lambda cs: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e, *_ in sorted(cs, key=lambda c: (c[1], c[0], c[2]))]
-            base.append(as_rows(strict))
-            every.append(as_rows(strict + loose))
+            for out, cs in zip((base, every), accepted(t.as_py(), model, threshold), strict=True):
+                out.append([{"kind": KINDS[k], "start": s, "end": e} for k, s, e, *_ in cs])
         return pa.StructArray.from_arrays([pa.array(base, pa.list_(place)), pa.array(every, pa.list_(place))], ["base", "all"])
 
     return find(text)
@@ -194,22 +199,25 @@ def find_personal(docs: DataFrame, text_col: str = "text", out: str = "personal"
     return docs.withColumn(out, spans(F.col(text_col), fit(docs, text_col)))
 
 
-def redact(text: Column, found: Column) -> Column:
-    """Replace spans (an array as in ``spans``) by their kind in brackets; overlapping ones by that of the first. Null stays null."""
+def covered(text: str, found: list[tuple[str, int, int]]) -> str:
+    """The text with spans (kind, start, end; by start) replaced by their kind in brackets; overlapping ones by the first's."""
+    parts, at = [], 0
+    for kind, start, end in found:
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join(parts) + text[at:]
+
+
+def redact(text: Column, model: dict[int, np.ndarray], threshold: float = 0.5) -> Column:
+    """The text with all accepted spans replaced by their kind in brackets; null stays null."""
 
     @F.arrow_udf("string")
-    def cover(texts: pa.Array, each: pa.Array) -> pa.Array:
+    def cover(texts: pa.Array) -> pa.Array:
         out = []
-        for t, spans_ in zip(texts, each, strict=True):
-            text = t.as_py()
-            if text is not None and len(spans_):
-                parts, at = [], 0
-                for s in spans_.as_py():
-                    if s["start"] >= at:
-                        parts += [text[at:s["start"]], f"[{s['kind'].upper()}]"]
-                    at = max(at, s["end"])
-                text = "".join(parts) + text[at:]
-            out.append(text)
+        for t in texts:
+            t = t.as_py()
+            out.append(None if t is None else covered(t, [(KINDS[k], s, e) for k, s, e, *_ in accepted(t, model, threshold)[1]]))
         return pa.array(out, pa.string())
 
-    return cover(text, found)
+    return cover(text)
