@@ -13,6 +13,7 @@ characters is one table entry.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from conform.llm.graph import components
 from conform.llm.hashing import mix, random_words
 from conform.llm.ranges import ranges_of
 from conform.session import stage
@@ -167,3 +169,91 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pa.table({id_col: mine["_id"], **rows})
 
     return dealt.groupBy("_to").applyInArrow(embed, f"`{id_col}` {kind}, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+#: Sampled places per band, and distinct fingerprints under one band key that one task compares.
+BAND, HOT = 6, 4096
+
+
+def _unite(up: dict[int, int], a: int, b: int) -> None:
+    def root(i: int) -> int:
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    a, b = root(a), root(b)
+    up[max(a, b)] = min(a, b)
+
+
+def _forest(hexes: list[str], least: float) -> list[tuple[str, str]]:
+    """Links that span the classes of fingerprints with a likeness of ``least`` or more, compared in blocks."""
+    x = np.frombuffer(bytes.fromhex("".join(hexes)), np.uint8).reshape(len(hexes), -1)
+    x = np.stack([x >> 4, x & 15], 2).reshape(len(hexes), -1)
+    up: dict[int, int] = {}
+    step = max(1, (16 << 20) // x.size)
+    for i in range(0, len(x), step):
+        near = likeness(x[i:i + step, None], x[None]) >= least
+        for a, b in zip(*np.nonzero(near), strict=True):
+            if i + a < b:
+                _unite(up, int(i + a), int(b))
+    out = []
+    for i in up:
+        r = i
+        while up[r] != r:
+            r = up[r]
+        if r != i:
+            out.append((hexes[i], hexes[r]))
+    return out
+
+
+def links(fingerprints: DataFrame, least: float = 0.8, hot: int = HOT) -> DataFrame:
+    """Edges (``a``, ``b``) between distinct fingerprints (column ``fingerprint``) that span their classes of likeness ``least``.
+
+    Only fingerprints that agree in all ``BAND`` sampled places of some band meet; these are verified in full. At 0.8 a pair is
+    missed with a chance of about 0.002. A key with more than ``hot`` fingerprints is dealt out in tiles, so none is dropped.
+    Null is left out.
+    """
+    n = SLOTS // BAND
+    keys = F.array(*[F.concat(F.lit(f"{b}:"), F.substring("fingerprint", 1 + b * BAND, BAND)) for b in range(n)])
+    keyed = fingerprints.filter("fingerprint is not null").select("fingerprint", F.explode(keys).alias("_key"))
+    sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    sizes = stage(sizes.select("_key", F.ceil(F.col("_n") / hot).cast("int").alias("_blocks")), "bands")
+    block = F.pmod(F.xxhash64("fingerprint"), F.col("_blocks")).cast("int")
+    tiles = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda other: F.least(block, other) * F.col("_blocks") + F.greatest(block, other))
+    dealt = keyed.join(sizes, "_key").select("fingerprint", "_key", F.explode(tiles).alias("_tile"))
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group, pairs = None, [], []
+        for batch in batches:
+            for k, t, f in zip(batch["_key"].to_pylist(), batch["_tile"].to_pylist(), batch["fingerprint"].to_pylist(), strict=True):
+                if (k, t) != key:
+                    pairs += _forest(group, least) if len(group) > 1 else []
+                    key, group = (k, t), []
+                group.append(f)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["a", "b"])
+            pairs = []
+        pairs = _forest(group, least) if len(group) > 1 else []
+        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["a", "b"])
+
+    return dealt.repartition("_key", "_tile").sortWithinPartitions("_key", "_tile").mapInArrow(link, "a string, b string").distinct()
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id, ``fingerprint`` and ``component_id`` (smallest id reachable over links) of every document.
+
+    Equal fingerprints are linked without a comparison. Null and empty texts share the zero fingerprint. A null id is never the
+    smallest; a class without ids has a null ``component_id``. Repeated rows each give a row; other columns are not read.
+    """
+    kind = dict(docs.dtypes)[id_col]
+
+    @F.arrow_udf("string")
+    def embed(texts: pa.Array) -> pa.Array:
+        return pa.array([as_hex(fingerprint_of(walk(t.as_py() or ""))) for t in texts], pa.string())
+
+    each = stage(docs.select(F.col(id_col).cast(kind).alias("_id"), embed(F.col(text_col)).alias("fingerprint")), "embedded")
+    known = stage(each.groupBy("fingerprint").agg(F.min("_id").alias("_least")), "known")
+    linked = stage(components(links(known.select("fingerprint"), least)), "classes").withColumnRenamed("node", "fingerprint")
+    roots = known.join(linked, "fingerprint").groupBy("root").agg(F.min("_least").alias("_root"))
+    named = stage(known.join(linked.join(roots, "root"), "fingerprint", "left").select("fingerprint", F.coalesce("_root", "_least").alias("component_id")), "named")
+    return each.join(named, "fingerprint").select(F.col("_id").alias(id_col), "fingerprint", "component_id")

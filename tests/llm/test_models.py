@@ -231,3 +231,39 @@ def test_fingerprints_follow_edits(spark, docs):
     near = text[:1500] + "XY" + text[1500:2900] + text[2910:]
     a, b, c = (editembed.fingerprint_of(editembed.walk(t)) for t in (text, near, text[::-1]))
     assert editembed.likeness(a, a) == 1 and editembed.likeness(a, b) > 0.5 > editembed.likeness(a, c)
+
+
+@pytest.mark.parametrize("hot", [4096, 8])
+def test_edit_classes_match_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(editembed.links, "__defaults__", (0.8, hot))
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdefghij klm") for _ in range(700)) for _ in range(5)]
+    rows = []
+    for i in range(70):
+        t = rng.choice(base)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(t))
+            t = t[:k] + rng.choice(["", "x", "yz"]) + t[k + rng.randint(0, 1):]
+        rows.append((i, t))
+    rows += [(80, None), (81, ""), (None, rows[0][1]), rows[4], (82, "alone " * 2000)]
+    fps = [editembed.fingerprint_of(editembed.walk(t or "")) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if editembed.likeness(fps[i], fps[j]) >= 0.8:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    least = collections.defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)].append(d)
+    want = sorted(((d, editembed.as_hex(f), min(least[root(i)], default=None)) for i, ((d, _), f) in enumerate(zip(rows, fps, strict=True))), key=repr)
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, component_id int")
+    assert sorted(map(tuple, editembed.near_copies(docs).collect()), key=repr) == want
+    assert editembed.near_copies(docs.limit(0)).count() == 0
