@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from conform import sinks
 from conform.operators import score
 from conform.plans.run import Bundle, Run
 from conform.session import discard, stage
+from conform.sources.config import Template
 
 
 def pins(bundle: Bundle) -> dict:
@@ -77,6 +79,24 @@ def committed(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], RECORD)
 
 
+def replay(spark: SparkSession, path: str, run_id: str, make: Callable[[Sequence[Bundle], Mapping[str, str]], Run],
+           mappings: Mapping[tuple[str, str, int], dict], templates: Mapping[str, Template]) -> DataFrame:
+    """Run again what the record of ``run_id`` pinned and compare with the stored manifest.
+
+    ``mappings`` holds definitions by (source profile, target template, version), also newer ones than the record names;
+    ``make`` builds the run from bundles and answers. One row per document and target of either side: ``n_rows`` as stored
+    (null if not stored) and ``verified``, true where document and output have the recorded hashes.
+    """
+    record = committed(spark, path).filter(F.col("run_id") == run_id).first()
+    if record is None:
+        raise ValueError(f"no committed run {run_id!r}")
+    bundles = [Bundle(mappings[p["source_profile"], p["target_template"], p["version"]], templates[p["target_template"]]) for p in json.loads(record.pins)]
+    again = manifest(make(bundles, json.loads(record.answers)).freeze()).withColumnRenamed("sha", "sha_now").withColumnRenamed("content_hash", "hash_now").drop("n_rows")
+    stored = spark.read.parquet(f"{path}/run={run_id}/manifest")
+    same = F.col("sha").eqNullSafe(F.col("sha_now")) & F.col("content_hash").eqNullSafe(F.col("hash_now"))
+    return stored.join(again, ["document", "template"], "full").select("document", "template", "n_rows", same.alias("verified"))
+
+
 def run_detail(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     """Every document of a committed run with its verdict and its exceptions by kind, from the stored tables."""
     home = f"{path}/run={run_id}"

@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conform.functions.width import OTHER, WIDTHS
 from conform.operators import checks, detect, layout, onboard, registry
+from conform.plans import audit
 from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
 from conform.plans.oracle import VIEWS
-from conform.plans.scoring import sheet_bundle, make_run
+from conform.plans.scoring import make_run, sheet_bundle
 from conform.plans.sinks import manifest_of
 from conform.session import shared_dir
 from conform.sinks import read_rows, write_rows
+from conform.sources.config import load_mapping
 
 FORM = (
     {"target_field": "line_ref", "kind": "text", "max_len": 40},
@@ -212,12 +215,12 @@ def dq_append(t: Tables) -> DataFrame:
 
 
 @query("dq_idemp", """
-WITH reg AS (SELECT DISTINCT name, version FROM v_map_entries WHERE provenance = 'imported'),
-new AS (SELECT DISTINCT name, version FROM v_map_entries EXCEPT SELECT name, version FROM reg)
-SELECT name, version, 'first load' AS load FROM new""")
+WITH reg AS (SELECT DISTINCT name, version, source_value FROM v_map_entries WHERE provenance = 'imported'),
+new AS (SELECT DISTINCT name, version, source_value FROM v_map_entries EXCEPT SELECT name, version, source_value FROM reg)
+SELECT name, version, source_value, 'first load' AS load FROM new""")
 def dq_idemp(t: Tables) -> DataFrame:
     """Loading the same artifacts twice: the second load adds nothing."""
-    key = ["name", "version"]
+    key = ["name", "version", "source_value"]
     incoming = t.map_entries().select(*key)
     reg = t.map_entries().filter(F.col("provenance") == "imported").select(*key).distinct()
     first = registry.append_new(incoming, reg, key)
@@ -258,15 +261,17 @@ def dq_verify(t: Tables) -> DataFrame:
 
 
 @query("dq_replay", """
-SELECT document, count(*) AS n_rows, true AS verified FROM v_legal GROUP BY document""")
+SELECT document, count(l.doc_id) AS n_rows, true AS verified, count(l.doc_id) = 0 AS verified_without_pins
+FROM v_gate g LEFT JOIN v_legal l USING (doc_id, document) WHERE blocked_kind = '' GROUP BY document""")
 def dq_replay(t: Tables) -> DataFrame:
-    """Run again from the audit record with its pinned maps (newer versions exist and are ignored)."""
-    bundle = sheet_bundle()
-    recorded = manifest_of(legal_rows(t), bundle.template)
-    run = make_run(t)
-    newer = dict(run.value_maps)
-    newer[("mark_to_handling", 2)] = [(s, "ECONOMY") for s, _ in b.SEVERITY_MAP]
-    run.value_maps = newer
-    again = manifest_of(run.rows(run.outcome(bundle), bundle), bundle.template)
-    both = recorded.join(again.select("document", F.col("content_hash").alias("again")), "document", "full")
-    return both.select("document", "n_rows", F.col("content_hash").eqNullSafe(F.col("again")).alias("verified"))
+    """Run again from the audit record. A newer mapping exists; without the pins it would change every output that has rows."""
+    path = f"{shared_dir(t.spark)}/audit/{uuid.uuid4().hex}"
+    audit.commit_run(make_run(t), "run-1", path)
+    first = load_mapping(b.MAPPING)
+    newer = load_mapping(b.MAPPING.replace("version: 1, parent", "version: 2, parent").replace("dock desk", "web desk"))
+    key = (first["meta"]["source_profile"], first["meta"]["target_template"], 1)
+    make = lambda bundles, answers: replace(make_run(t, *bundles), answers=answers, frozen={})
+    run = lambda mappings: audit.replay(t.spark, path, "run-1", make, mappings, {b.TEMPLATE.ref: b.TEMPLATE})
+    pinned = run({key: first, (*key[:2], 2): newer})
+    unpinned = run({key: newer}).select("document", F.col("verified").alias("verified_without_pins"))
+    return pinned.join(unpinned, "document").select("document", "n_rows", "verified", "verified_without_pins")

@@ -8,10 +8,12 @@ from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.scoring import sheet_bundle, make_run
 from tools.check_oracle import TABLES, canonical
+from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.001"
 SAMPLE = ("agg_verdict", "set_exc", "prj_strict", "prj_preview", "jn_valuemap", "jn_decide", "win_dedup", "win_lines", "dq_extract", "dq_matrix", "jn_box",
-          "agg_gate", "agg_rowpat", "win_review", "win_edits", "agg_drops", "top_cosine", "fn_date", "fn_number", "fn_arith", "snk_csv", "snk_pack", "dq_form")
+          "agg_gate", "agg_rowpat", "win_review", "win_edits", "agg_drops", "top_cosine", "fn_date", "fn_number", "fn_arith", "snk_csv", "snk_pack", "dq_form",
+          "str_apply", "dq_audit", "dq_recipe", "dq_replay", "dq_annot", "agg_table", "agg_furn")
 
 
 @pytest.fixture(scope="module")
@@ -22,8 +24,11 @@ def db():
     return con
 
 
-def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_query_of_the_library_has_sql():
+    from conform.plans import catalog
+
+    catalog.load()
+    assert set(catalog.QUERIES) == set(catalog.ORACLES) and set(catalog.QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -65,3 +70,24 @@ def test_result_does_not_depend_on_partitioning(spark):
         assert sorted(map(tuple, run.verdicts().collect())) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_a_run_is_committed_once_and_leaves_no_intermediate_tables(spark, tmp_path):
+    from conform.plans import audit
+
+    t = Tables(spark, DATA)
+    audit.commit_run(make_run(t), "r1", str(tmp_path))
+    assert not (tmp_path / "run=r1" / "_work").exists()
+    with pytest.raises(ValueError, match="committed already"):
+        audit.commit_run(make_run(t), "r1", str(tmp_path))
+    assert audit.committed(spark, str(tmp_path)).count() == 1
+    converted = make_run(t).gated.filter("blocked_kind = ''").count()
+    assert spark.read.parquet(str(tmp_path / "run=r1" / "manifest")).count() == converted
+
+
+def test_known_content_is_a_copy(spark):
+    run = make_run(Tables(spark, DATA))
+    sha = run.gated.filter("blocked_kind = ''").select("sha").first().sha
+    again = make_run(Tables(spark, DATA))
+    again.known = spark.createDataFrame([(sha,)], "sha string")
+    assert {r.blocked_kind for r in again.gated.filter(F.col("sha") == sha).collect()} == {"duplicate"}
