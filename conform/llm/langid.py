@@ -123,7 +123,9 @@ def predict(text: Column, model: Model | None) -> Column:
             value.append(s.max(1).astype(np.float64))
         return pa.StructArray.from_arrays([pa.array(model.langs).take(pa.array(np.concatenate(best))), pa.array(np.concatenate(value))], ["lang", "score"])
 
-    return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), score(text)).otherwise(none)
+    # so marked, a filter on the answer is not pushed below it, which would judge every text twice
+    once = score.asNondeterministic()
+    return F.when(F.coalesce(text.rlike(r"\p{L}"), F.lit(False)), once(text)).otherwise(none)
 
 
 def in_training(id_col: str = "doc_id") -> Column:
