@@ -36,13 +36,18 @@ def test_positions_equal_a_plain_window(spark):
     assert got.select("k", "seq", F.col("position").cast("long")).exceptAll(want).isEmpty()
 
 
-def test_packs_of_a_long_document_come_in_parts(spark, monkeypatch):
-    rows = skewed(spark).select(F.col("k").cast("string").alias("document"), F.col("seq").alias("record_seq"), F.col("seq").cast("string").alias("v"))
+def test_packs_come_in_one_part_per_page_in_order(spark):
+    rows = skewed(spark).select(F.col("k").cast("string").alias("document"), F.col("seq").alias("record_seq"), F.col("seq").cast("string").alias("v"),
+                                (F.floor(F.col("seq") / 25) + 1).cast("string").alias("page"))
     heads = rows.select("document").distinct().union(spark.createDataFrame([("empty",)], "document string"))
-    monkeypatch.setattr(sinks, "PACK_ROWS", 100)
-    out = sinks.packs(rows, heads, ("v",))
-    assert out.filter("document = '0'").count() == 10
-    assert out.select(F.sum(F.size("findings"))).first()[0] == 3000 and out.filter("document = 'empty'").first().findings == []
+    out = sinks.packs(rows, heads, ("v",), "page").collect()
+    assert max(len(r.findings) for r in out) <= 25 and sum(len(r.findings) for r in out) == 3000
+    for doc in {r.document for r in out}:
+        parts = sorted((r for r in out if r.document == doc), key=lambda r: r.part)
+        assert {r.n_parts for r in parts} == {len(parts)}
+        read = [int(f.v) for r in parts for f in r.findings]
+        assert read == sorted(read)
+    assert [(r.part, r.findings) for r in out if r.document == "empty"] == [(0, [])]
 
 
 def test_content_hash_sees_order_and_content_not_partitioning(spark):
