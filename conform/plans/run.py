@@ -109,7 +109,7 @@ class Run:
 
     @staticmethod
     def record_exceptions(outcome: DataFrame, bundle: Bundle) -> DataFrame:
-        return outcome.select("doc_id", "document", F.col("id").alias("record_ref"), F.explode("errors").alias("e")).select(
+        return outcome.select("doc_id", "document", F.coalesce("id", F.lit("?")).alias("record_ref"), F.explode("errors").alias("e")).select(
             "doc_id", "document", "record_ref", "e.kind", "e.field", "e.value", "e.reason", "e.suggestion",
             F.lit(bundle.template.ref).alias("template"))
 

@@ -50,13 +50,16 @@ class Profile:
     status: str
     required_text: tuple[str, ...]
     header_regex: str | None = None
-    labels: tuple[str, ...] = ()
 
     @property
     def ref(self) -> str:
         return f"{self.key}@{self.version}"
 
 
+#: Least and most arguments of each formula.
+ARITY = {"concat": (1, None), "substring": (1, 3), "regex_extract": (2, 2), "date_format": (2, 2), "number_format": (2, 2), "arith": (3, 3)}
+
+
 def _no_extra(where: str, given, allowed) -> list[str]:
     return [f"{where}: unexpected key {k!r}" for k in given if k not in allowed]
 
@@ -78,8 +81,10 @@ def check_mapping(doc: dict) -> list[str]:
     for name, spec in (doc.get("formulas") or {}).items():
         if spec.get("fn") not in FORMULAS:
             bad.append(f"formulas/{name}: {spec.get('fn')!r} is not a known formula")
-        if not spec.get("args"):
-            bad.append(f"formulas/{name}: no arguments")
+        least, most = ARITY.get(spec.get("fn"), (1, None))
+        given = len(spec.get("args") or [])
+        if given < least or (most is not None and given > most):
+            bad.append(f"formulas/{name}: {given} arguments, {least}{'' if most == least else f' to {most}' if most else ' or more'} expected")
         for arg in spec.get("args") or []:
             if len(arg) != 1 or next(iter(arg)) not in ARG_KEYS:
                 bad.append(f"formulas/{name}: argument {arg!r} is outside the grammar")

@@ -114,3 +114,11 @@ def test_grammar(spark):
 def test_tier_coverage():
     doc = {"routes": {"a": {"tier": "T1"}, "b": {"tier": "T2"}}, "constants": {"c": 1}, "prompts": [{"key": "d"}]}
     assert coverage(doc, ("a", "b", "c", "d", "e")) == 3 / 5 and coverage(doc, ()) == 1.0
+
+
+def test_formulas_need_their_arguments():
+    from conform.sources.config import check_mapping
+
+    bad = lambda fn, n: check_mapping({"formulas": {"x": {"fn": fn, "args": [{"lit": "1"}] * n}}})
+    assert bad("arith", 2) == ["formulas/x: 2 arguments, 3 expected"] and bad("arith", 3) == []
+    assert bad("concat", 0) == ["formulas/x: 0 arguments, 1 or more expected"] and bad("substring", 4) == ["formulas/x: 4 arguments, 1 to 3 expected"]
