@@ -81,7 +81,7 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every page's address, aliases included."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
-    return urls.judge(pages, rules, urls.html_links(pages))
+    return urls.judge(pages, rules, urls.page_links(pages))
 
 
 @query("op8_simhash_classes")

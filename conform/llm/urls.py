@@ -50,6 +50,55 @@ def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             .select("a", key_of(F.col("_to")).alias("b")).filter("a is not null and b is not null and a <> b"))
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, quoted or not; null where the tag has none."""
+    at = rf"(?is)[\s\"'/]{name}\s*=\s*"
+    value = F.coalesce(*[F.when(F.regexp_like(tag, F.lit(at + v)), F.regexp_extract(tag, at + v, 1)) for v in ("\"([^\"]*)\"", "'([^']*)'", "([^\\s\"'>]+)")])
+    return F.trim(F.replace(value, F.lit("&amp;"), F.lit("&")))
+
+
+def _tags(html: Column, name: str) -> Column:
+    """All tags of a name; a quoted value may hold ``>``."""
+    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """``target`` as an absolute address, read against ``base``; null where neither gives a host."""
+    scheme, origin = F.regexp_extract(base, r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract(base, r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    own = F.regexp_extract(target, r"(?s)\A([^?#]*)", 1)
+    folder = F.regexp_extract(path_of(base), r"(?s)\A(.*/)", 1)
+    path = (F.when(own == "", path_of(base)).when(own.startswith("/"), own)
+            .otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own)))
+    # what stands between slashes, with . and .. taken out; a last one of these leaves its slash
+    parts = F.slice(F.split(path, "/", -1), 2, F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0)))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(
+        x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
+    last = F.element_at(parts, -1)
+    walked = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    local = F.concat(origin, F.when(path == "", "").otherwise(F.concat(F.lit("/"), F.array_join(walked, "/"))))
+    return (F.when(F.regexp_like(target, F.lit(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:")), target)
+            .when(origin == "", F.lit(None)).when(target.startswith("//"), F.concat(scheme, target)).otherwise(local))
+
+
+def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Edges (``a``, ``b``) from each page to its canonical addresses and to the targets of its refreshes.
+
+    Targets are read against the first base address of the page that has one, else against the page's own. ``rel`` may hold
+    several words. Targets without a host even so give no edge.
+    """
+    rows = pages.filter(F.col(html_col).rlike(r"(?i)\bcanonical\b|\brefresh\b")).select(F.trim(F.col(url_col)).alias("url"), F.col(html_col).alias("html"))
+    link = F.transform(_tags(F.col("html"), "link"), lambda t: F.when(
+        F.array_contains(F.split(lower_ascii(_attribute(t, "rel")), r"\s+"), "canonical"), _attribute(t, "href")))
+    refresh = F.transform(_tags(F.col("html"), "meta"), lambda t: F.when(lower_ascii(_attribute(t, "http-equiv")) == "refresh", F.trim(F.regexp_replace(
+        F.regexp_extract(_attribute(t, "content"), r"(?is)\A[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?(.+)", 1), r"\A[\"']|[\"']\z", ""))))
+    refresh = F.transform(refresh, lambda x: F.when(x != "", x))
+    bases = F.array_compact(F.transform(_tags(F.col("html"), "base"), lambda t: _attribute(t, "href")))
+    found = rows.select("url", F.get(bases, F.lit(0)).alias("base"), F.explode(F.array_compact(F.concat(link, refresh))).alias("to"))
+    base = F.coalesce(F.when(F.col("base") != "", resolved(F.col("url"), F.col("base"))), F.col("url"))
+    return (found.select("url", "to", base.alias("base")).select(key_of(F.col("url")).alias("a"), key_of(resolved(F.col("base"), F.col("to"))).alias("b"))
+            .filter("a is not null and b is not null and a <> b"))
+
+
 def match_rules(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """The longest fitting rule of each distinct (``key``, ``host``, ``path``): adds ``rule`` and ``rule_verdict``.
 
