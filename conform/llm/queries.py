@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conform.llm import editembed, langid, mixing, pii, simhash, substring, toxicity, urls, warc, winnow
+from conform.llm import editembed, langid, mixing, pieces, pii, simhash, substring, toxicity, urls, warc, winnow
 from conform.llm import oracle as sql
 from conform.llm.catalog import query, table
 from conform.session import shared_dir
@@ -104,3 +105,12 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     judged = langid.identify(docs, docs.filter(langid.in_training()))
     return judged.select("doc_id", (~langid.in_training()).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query("op11_sentencepiece")
+def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and the text they decode to."""
+    found = pieces.with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    ids = F.col("pieces.ids")
+    return found.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(pieces.packed(ids), 256).alias("ids_sha256"),
+                        hex_digest(F.col("pieces.decoded")).alias("decoded_sha256"), F.col("pieces.agrees").alias("agrees"))
