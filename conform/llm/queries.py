@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conform.llm import editembed, langid, mixing, pieces, pii, simhash, substring, toxicity, urls, warc, winnow
+from conform.llm import align, editembed, langid, mixing, pieces, pii, simhash, substring, toxicity, urls, warc, winnow
 from conform.llm import oracle as sql
 from conform.llm.catalog import query, table
 from conform.session import shared_dir
@@ -114,3 +114,13 @@ def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.col("pieces.ids")
     return found.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(pieces.packed(ids), 256).alias("ids_sha256"),
                         hex_digest(F.col("pieces.decoded")).alias("decoded_sha256"), F.col("pieces.agrees").alias("agrees"))
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document."""
+    groups = F.col("alignment.groups")
+    return align.with_links(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+        "doc_id", "alignment.n_a", "alignment.n_b", "alignment.n_groups",
+        F.when(groups == "", "").otherwise(hex_digest(groups)).alias("groups_sha256"))
