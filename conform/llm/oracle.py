@@ -82,3 +82,25 @@ alias AS (SELECT reach.a AS k, bool_or(v = 'block') AND NOT bool_or(v = 'allow')
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN ruled ON host <> '' AND ruled.k = host || path LEFT JOIN alias ON host <> '' AND alias.k = host || path
 """
+
+
+def divergence(least: int, top: int) -> str:
+    """Every two sources over every kept term, one by one."""
+    share = "1 + (1000000000::HUGEINT * ({n} + 5)) // ({total}::HUGEINT + 5 * v)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n_lang FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= {least}),
+lt AS (SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM kept GROUP BY lang),
+own AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+cell AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, n_lang FROM g JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+tot AS (SELECT lang, source, sum(n) AS total FROM cell GROUP BY lang, source),
+s AS (SELECT lang, source, term, n, {share.format(n="n", total="total")} AS p, {share.format(n="n_lang", total="total_lang")} AS q FROM cell JOIN tot USING (lang, source) JOIN lt USING (lang)),
+pv AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+rest AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM s WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM rest))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {top}
+"""

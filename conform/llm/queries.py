@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conform.llm import align, editembed, langid, mixing, pieces, pii, simhash, substring, toxicity, urls, warc, winnow
+from conform.llm import align, divergence, editembed, langid, mixing, pieces, pii, simhash, substring, toxicity, urls, warc, winnow
 from conform.llm import oracle as sql
 from conform.llm.catalog import query, table
 from conform.session import shared_dir
@@ -116,6 +116,12 @@ def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
                         hex_digest(F.col("pieces.decoded")).alias("decoded_sha256"), F.col("pieces.agrees").alias("agrees"))
 
 
+@query("op12_source_divergence", sql.divergence(30, 50))
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sources of a language differ most, and by which terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, top=50)
+
+
 @query("op13_token_alignment")
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers over every document."""

@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 
 def test_all_operators_are_registered():
     names = entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n[:2] == "op" and n[2].isdigit()) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n[:2] == "op" and n[2].isdigit()) == list(range(1, 14)) and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
