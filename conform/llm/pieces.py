@@ -22,18 +22,20 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from conform.llm.hashing import blocks
 
 #: The mark that stands for a space inside pieces.
 MARK = "▁"
 #: Stretches of at most this many characters are remembered, and so many of them at a time.
-SHORT, REMEMBERED = 32, 500_000
+SHORT, REMEMBERED = 32, 250_000
 #: Characters whose stretches are joined together, and rows of one such step.
-TOGETHER, ROWS = 2 << 20, 1 << 14
-NO_PAIR = np.iinfo(np.int32).max
+TOGETHER, ROWS = 2 << 20, 1 << 12
+#: Bytes of text that one step of a batch handles.
+STEP = 2 << 20
+NO_PAIR = np.int32(np.iinfo(np.int32).max)
 #: A longer text reaches the library in parts of about this many characters.
 PART = 1 << 20
 PROBE = " a  ééﬁ\tB\n "
@@ -53,26 +55,28 @@ class Pairs:
     joined: np.ndarray
 
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (``NO_PAIR`` if they do not join) and piece of each pair."""
+        """Rank of each pair (``NO_PAIR`` if the two do not join), and its piece."""
         key = left.astype(np.int64) * (self.none + 1) + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         found = self.keys[at] == key
-        return np.where(found, self.rank[at], NO_PAIR), np.where(found, self.joined[at], self.none)
+        return np.where(found, self.rank[at], NO_PAIR), self.joined[at]
 
 
-def pairs_of(ids: dict[str, int], rank: dict[str, int], n_ids: int) -> Pairs:
-    """Every way to make a piece from two symbols."""
+def pairs_of(ids: dict[str, int], rank: dict[str, int], n_ids: int, byte_id: list[int] | None) -> Pairs:
+    """Every way to make a piece from two symbols. An ASCII character that stands in no piece is the piece of its byte."""
     bare = sorted({c for piece in ids for c in piece} - ids.keys())
     symbols = ids | {c: n_ids + i for i, c in enumerate(bare)}
     none = n_ids + len(bare)
     of_char = np.full(0x110000, none, np.int32)
+    if byte_id:
+        of_char[:128] = byte_id[:128]
     for c, i in symbols.items():
         if len(c) == 1:
             of_char[ord(c)] = i
     made = sorted((symbols[piece[:k]] * (none + 1) + symbols[piece[k:]], rank[piece], i) for piece, i in ids.items()
                   for k in range(1, len(piece)) if piece[:k] in symbols and piece[k:] in symbols)
-    keys, ranks, joined = (np.array(x, np.int64) for x in zip(*made, strict=True)) if made else (np.full(1, -1),) * 3
-    return Pairs(of_char, none, keys, ranks, joined)
+    keys, ranks, joined = (np.array(x) for x in zip(*made, strict=True)) if made else (np.full(1, -1),) * 3
+    return Pairs(of_char, none, keys, ranks.astype(np.int32), joined.astype(np.int32))
 
 
 @dataclass
@@ -91,6 +95,7 @@ class Agenda:
     pairs: Pairs
     beside: frozenset[str] = frozenset()
     marks_lead: bool = True
+    cut: re.Pattern = re.compile(".+", re.DOTALL)
     known: dict[str, bytes] = field(default_factory=dict)
 
     def join(self, s: str) -> list[int]:
@@ -182,7 +187,7 @@ class Agenda:
             parts = parts_of(" " + text) if text and self.marks_lead else [" " + text] if text else []
             for part in parts:
                 marked = part.replace(" ", MARK)
-                waiting.append(STRETCH.findall(marked) if self.marks_lead else [marked])
+                waiting.append(self.cut.findall(marked))
                 chars += len(part)
                 if chars > TOGETHER:
                     yield from self._finish(waiting, body)
@@ -215,9 +220,6 @@ class Agenda:
         return "".join(out)
 
 
-STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-
 @lru_cache(maxsize=2)
 def load(model: bytes) -> tuple[Agenda, sentencepiece.SentencePieceProcessor]:
     """The agenda of a model file's content, and the library's own processor."""
@@ -232,12 +234,16 @@ def load(model: bytes) -> tuple[Agenda, sentencepiece.SentencePieceProcessor]:
     byte_id = [lib.piece_to_id(f"<0x{b:02X}>") for b in range(256)] if any(lib.is_byte(i) for i in every) else None
     order = {score: n for n, score in enumerate(sorted({lib.get_score(i) for i in plain}, reverse=True))}
     ids, rank = {text[i]: i for i in plain}, {text[i]: order[lib.get_score(i)] for i in plain}
+    marks_lead = not any(re.search(f"[^{MARK}]{MARK}", text[i]) for i in plain)
+    alone = "".join(re.escape(chr(c)) for c in sorted(set(range(128)) - {ord(c) for i in plain for c in text[i]}))
+    # a stretch: marks and what follows them, or characters that stand in no piece
+    cut = f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" if marks_lead else f"[^{alone}]+" if alone else ".+"
     return Agenda(
-        ids=ids, rank=rank, pairs=pairs_of(ids, rank, len(text)), bytes_of=raw, byte_id=byte_id, unknown=lib.unk_id(),
+        ids=ids, rank=rank, pairs=pairs_of(ids, rank, len(text), byte_id), bytes_of=raw, byte_id=byte_id, unknown=lib.unk_id(),
         begin=lib.bos_id(), end=lib.eos_id(), silent=np.array([lib.is_control(i) for i in every]),
         led=frozenset(i for i in plain if text[i].startswith(MARK)),
         beside=frozenset(text[i][k:k + 2] for i in plain for k in range(len(text[i]) - 1)),
-        marks_lead=not any(re.search(f"[^{MARK}]{MARK}", text[i]) for i in plain),
+        marks_lead=marks_lead, cut=re.compile(cut + (f"|[{alone}]+" if alone else ""), re.DOTALL),
     ), lib
 
 
@@ -264,43 +270,36 @@ def library_ids(lib: sentencepiece.SentencePieceProcessor, text: str, whole: boo
     return np.concatenate([np.array(lib.encode(p[1:] if i else p), "<u4") for i, p in enumerate(parts_of(text))])
 
 
-def encode(text: Column, model: bytes) -> Column:
-    """Struct of ``ids`` (begin and end ids included), ``decoded`` and ``agrees`` of a text; null counts as empty."""
-
-    @F.arrow_udf("struct<ids: array<int>, decoded: string, agrees: boolean>")
-    def encoded(texts: pa.Array) -> pa.Array:
-        agenda, lib = load(model)
-        ids, decoded, agrees = [np.zeros(0, "<u4")], [], []
-        for i, j in blocks(texts):
-            these = [t or "" for t in texts[i:j].to_pylist()]
-            for t, own in zip(these, agenda.encode(these), strict=True):
-                back = agenda.decode(own)
-                ids.append(own)
-                decoded.append(back)
-                agrees.append(bool(np.array_equal(own[1:-1], library_ids(lib, t, not agenda.marks_lead))) and lib.decode(own.tolist()) == back)
-        offsets = np.cumsum([len(x) for x in ids])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
-        return pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], ["ids", "decoded", "agrees"])
-
-    return encoded(text)
-
-
-def with_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str = "pieces") -> DataFrame:
+def with_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str = "pieces", binary: bool = False) -> DataFrame:
     """Add ``out`` (struct of ``ids``, ``decoded``, ``agrees``) to every row, by the vocabulary in the file ``path``.
 
-    The file (some hundred kilobytes) is read on the driver and travels with the function. Rows are judged one by one, so repeated rows
-    get equal answers and empty tables stay empty. Null and empty texts are the begin and end id alone. Very long texts are encoded
-    whole; only the library, which needs some hundred bytes per character, gets them in parts. Other columns stay; ``out`` is replaced.
+    ``ids`` (begin and end ids included) is an array, or with ``binary`` the ids as little-endian unsigned 32-bit numbers, as readers of
+    token files want them. The vocabulary file (some hundred kilobytes) is read on the driver and travels with the function. Rows are
+    judged one by one, so repeated rows get equal answers and empty tables stay empty. Null and empty texts are the begin and end id
+    alone. An Arrow batch is handled in steps of ``STEP`` bytes; a very long text is a step of its own and encoded whole; only the
+    library, which needs some hundred bytes per character, gets it in parts. Other columns stay; ``out`` is replaced.
     """
-    return docs.withColumn(out, encode(F.col(text_col), Path(path).read_bytes()))
+    model = Path(path).read_bytes()
+    rest = docs.drop(out)
+    struct = T.StructType.fromDDL(f"ids {'binary' if binary else 'array<int>'}, decoded string, agrees boolean")
+    schema = T.StructType([*rest.schema.fields, T.StructField(out, struct)])
+    names = schema.names
 
-
-def packed(ids: Column) -> Column:
-    """A list of ids as little-endian unsigned 32-bit numbers."""
-
-    @F.arrow_udf("binary")
-    def pack(lists: pa.Array) -> pa.Array:
-        values, cuts = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(cuts.astype(np.int64) * 4), pa.py_buffer(values)]).cast(pa.binary())
-
-    return pack(ids)
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        agenda, lib = load(model)
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text_col))
+            for i, j in blocks(column, STEP):
+                texts = [t or "" for t in column[i:j].to_pylist()]
+                ids = list(agenda.encode(texts))
+                decoded = [agenda.decode(x) for x in ids]
+                agrees = [bool(np.array_equal(x[1:-1], library_ids(lib, t, not agenda.marks_lead))) and lib.decode(x.tolist()) == d
+                          for t, x, d in zip(texts, ids, decoded, strict=True)]
+                if binary:
+                    lists = pa.array([x.tobytes() for x in ids], pa.binary())
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids).view(np.int32)))
+                made = pa.StructArray.from_arrays([lists, pa.array(decoded, pa.string()), pa.array(agrees, pa.bool_())], struct.names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, made], names)
+
+    return rest.mapInArrow(encoded, schema)

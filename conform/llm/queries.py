@@ -110,9 +110,9 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_sentencepiece")
 def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, and the text they decode to."""
-    found = pieces.with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = pieces.with_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), binary=True)
     ids = F.col("pieces.ids")
-    return found.select("doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(pieces.packed(ids), 256).alias("ids_sha256"),
+    return found.select("doc_id", (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"),
                         hex_digest(F.col("pieces.decoded")).alias("decoded_sha256"), F.col("pieces.agrees").alias("agrees"))
 
 
