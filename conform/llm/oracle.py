@@ -68,19 +68,19 @@ FROM x JOIN wt USING (s) JOIN placed ON placed.k = x.s || '#' || (block % w)
 URLS = rf"""
 WITH RECURSIVE r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
   ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
-p AS (SELECT page_id, coalesce({LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
-tag AS (SELECT host || path AS a, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS t FROM p WHERE host <> ''),
+p AS (SELECT page_id, coalesce({LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*(\?[^#]*)', 1), '') AS query, html FROM pages),
+tag AS (SELECT host || path || query AS a, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^>]*>')) AS t FROM p WHERE host <> ''),
 target AS (SELECT a, CASE WHEN regexp_matches(t, '(?i)^<link') AND regexp_matches(t, '(?i)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
   WHEN regexp_matches(t, '(?i)^<meta') AND regexp_matches(t, '(?i)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END AS u FROM tag),
-edge AS (SELECT a, {LOWER.format("regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1)")} || regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS b FROM target WHERE u LIKE '%://%'),
+edge AS (SELECT a, {LOWER.format("regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1)")} || regexp_extract(u, '(?s)^.*?://[^/?#]*([^#]*)', 1) AS b FROM target WHERE u LIKE '%://%'),
 both_ways AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
 reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
-addr AS (SELECT host || path AS k, host, path FROM p WHERE host <> '' UNION SELECT b, regexp_extract(b, '^[^/]*'), regexp_extract(b, '(?s)^[^/]*(.*)', 1) FROM reach),
+addr AS (SELECT host || path || query AS k, host, path FROM p WHERE host <> '' UNION SELECT b, regexp_extract(b, '^[^/?]*'), regexp_extract(b, '(?s)^[^/?]*([^?]*)', 1) FROM reach),
 ruled AS (SELECT k, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS v
   FROM addr JOIN r ON (addr.host = r.host OR addr.host LIKE '%.' || r.host) AND starts_with(addr.path, r.path) GROUP BY k),
 alias AS (SELECT reach.a AS k, bool_or(v = 'block') AND NOT bool_or(v = 'allow') AS blocked FROM reach JOIN ruled ON ruled.k = reach.b GROUP BY reach.a)
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN ruled ON host <> '' AND ruled.k = host || path LEFT JOIN alias ON host <> '' AND alias.k = host || path
+FROM p LEFT JOIN ruled ON host <> '' AND ruled.k = host || path || query LEFT JOIN alias ON host <> '' AND alias.k = host || path || query
 """
 
 

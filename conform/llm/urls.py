@@ -7,6 +7,9 @@ class with a directly allowed member is not blocked through its aliases.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,40 +35,56 @@ def path_of(url: Column) -> Column:
 
 
 def key_of(url: Column) -> Column:
-    """An address without scheme, query and fragment: what rules and links speak about. Null without a host."""
-    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url)))
-
+    """An address without scheme and fragment: what links speak about. Null without a host."""
+    return F.when(host_of(url) != "", F.concat(host_of(url), path_of(url), F.regexp_extract(url, r"(?s)\A.*?://[^?#]*(\?[^#]*)", 1)))
 
-def html_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (``a``, ``b``) from each page to its canonical address and to the target of its refresh.
 
-    Relative and null targets give no edge.
-    """
-    html = F.col(html_col)
-    link = F.array_compact(F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda t: F.when(
-        F.regexp_like(t, F.lit(r"(?i)\brel\s*=\s*[\"']?canonical\b")), F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))))
-    refresh = F.array_compact(F.transform(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)), lambda t: F.when(
-        F.regexp_like(t, F.lit(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b")), F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))))
-    return (pages.filter(F.col(html_col).rlike(r"(?i)\bcanonical\b|\brefresh\b")).select(key_of(F.col(url_col)).alias("a"), F.explode(F.concat(link, refresh)).alias("_to"))
-            .select("a", key_of(F.col("_to")).alias("b")).filter("a is not null and b is not null and a <> b"))
+_TAG = re.compile(r"<(link|meta|base)(?=[\s/>])", re.I)
+#: What a tag holds up to its end; a quoted value may hold ``>``.
+_BODY = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(>?)")
+_ATTRIBUTE = re.compile(r"[\s\"'/]([^\s\"'>/=]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
+_REFRESH = re.compile(r"[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?(.+)", re.I | re.S)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    """The value of an attribute of a tag, quoted or not; null where the tag has none."""
-    at = rf"(?is)[\s\"'/]{name}\s*=\s*"
-    value = F.coalesce(*[F.when(F.regexp_like(tag, F.lit(at + v)), F.regexp_extract(tag, at + v, 1)) for v in ("\"([^\"]*)\"", "'([^']*)'", "([^\\s\"'>]+)")])
-    return F.trim(F.replace(value, F.lit("&amp;"), F.lit("&")))
+def declared(html: str) -> tuple[str | None, list[str]]:
+    """The first base address of a page (null without one), and the targets of its canonical links and refreshes.
 
-
-def _tags(html: Column, name: str) -> Column:
-    """All tags of a name; a quoted value may hold ``>``."""
-    return F.regexp_extract_all(html, F.lit(rf"(?i)<{name}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"), F.lit(0))
+    Tags are read once from left to right, in time that grows with the page; one that does not end hides the rest of the page.
+    """
+    base, targets, at = None, [], 0
+    while tag := _TAG.search(html, at):
+        body = _BODY.match(html, tag.end())
+        if not body[1]:
+            break
+        at, own = body.end(), {}
+        for m in _ATTRIBUTE.finditer(html, tag.end(), at):
+            own.setdefault(m[1].lower(), next(v for v in m.groups()[1:] if v is not None).replace("&amp;", "&").strip())
+        name = tag[1].lower()
+        if name == "base" and base is None:
+            base = own.get("href")
+        elif name == "link" and "canonical" in own.get("rel", "").lower().split():
+            targets.append(own.get("href"))
+        elif name == "meta" and own.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.match(own.get("content", ""))):
+            targets.append(m[1].strip("\"'").strip())
+    return base, [t for t in targets if t]
+
+
+def declared_links(html: Column) -> Column:
+    """``base`` and ``to`` of each page, see ``declared``."""
+
+    @F.arrow_udf("struct<base: string, to: array<string>>")
+    def read(pages: pa.Array) -> pa.Array:
+        found = [declared(p.as_py() or "") for p in pages]
+        return pa.StructArray.from_arrays([pa.array([b for b, _ in found], pa.string()), pa.array([t for _, t in found], pa.list_(pa.string()))], ["base", "to"])
+
+    return read(html)
 
 
 def resolved(base: Column, target: Column) -> Column:
     """``target`` as an absolute address, read against ``base``; null where neither gives a host."""
     scheme, origin = F.regexp_extract(base, r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract(base, r"(?s)\A([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    own = F.regexp_extract(target, r"(?s)\A([^?#]*)", 1)
+    own, query = F.regexp_extract(target, r"(?s)\A([^?#]*)", 1), F.regexp_extract(target, r"(?s)\A[^?#]*(\?[^#]*)", 1)
+    query = F.when((own == "") & (query == ""), F.regexp_extract(base, r"(?s)\A[^?#]*(\?[^#]*)", 1)).otherwise(query)
     folder = F.regexp_extract(path_of(base), r"(?s)\A(.*/)", 1)
     path = (F.when(own == "", path_of(base)).when(own.startswith("/"), own)
             .otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), own)))
@@ -75,7 +94,7 @@ def resolved(base: Column, target: Column) -> Column:
         x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x))))
     last = F.element_at(parts, -1)
     walked = F.when(last.isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
-    local = F.concat(origin, F.when(path == "", "").otherwise(F.concat(F.lit("/"), F.array_join(walked, "/"))))
+    local = F.concat(origin, F.when(path == "", "").otherwise(F.concat(F.lit("/"), F.array_join(walked, "/"))), query)
     return (F.when(F.regexp_like(target, F.lit(r"(?s)\A[A-Za-z][A-Za-z0-9+.-]*:")), target)
             .when(origin == "", F.lit(None)).when(target.startswith("//"), F.concat(scheme, target)).otherwise(local))
 
@@ -86,14 +105,9 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     Targets are read against the first base address of the page that has one, else against the page's own. ``rel`` may hold
     several words. Targets without a host even so give no edge.
     """
-    rows = pages.filter(F.col(html_col).rlike(r"(?i)\bcanonical\b|\brefresh\b")).select(F.trim(F.col(url_col)).alias("url"), F.col(html_col).alias("html"))
-    link = F.transform(_tags(F.col("html"), "link"), lambda t: F.when(
-        F.array_contains(F.split(lower_ascii(_attribute(t, "rel")), r"\s+"), "canonical"), _attribute(t, "href")))
-    refresh = F.transform(_tags(F.col("html"), "meta"), lambda t: F.when(lower_ascii(_attribute(t, "http-equiv")) == "refresh", F.trim(F.regexp_replace(
-        F.regexp_extract(_attribute(t, "content"), r"(?is)\A[\s\d.]*[;,\s]\s*(?:url\s*=\s*)?(.+)", 1), r"\A[\"']|[\"']\z", ""))))
-    refresh = F.transform(refresh, lambda x: F.when(x != "", x))
-    bases = F.array_compact(F.transform(_tags(F.col("html"), "base"), lambda t: _attribute(t, "href")))
-    found = rows.select("url", F.get(bases, F.lit(0)).alias("base"), F.explode(F.array_compact(F.concat(link, refresh))).alias("to"))
+    low = F.lower(html_col)
+    rows = pages.filter(low.contains("canonical") | low.contains("refresh")).select(F.trim(F.col(url_col)).alias("url"), declared_links(F.col(html_col)).alias("found"))
+    found = rows.select("url", F.col("found.base").alias("base"), F.explode("found.to").alias("to"))
     base = F.coalesce(F.when(F.col("base") != "", resolved(F.col("url"), F.col("base"))), F.col("url"))
     return (found.select("url", "to", base.alias("base")).select(key_of(F.col("url")).alias("a"), key_of(resolved(F.col("base"), F.col("to"))).alias("b"))
             .filter("a is not null and b is not null and a <> b"))
@@ -124,11 +138,10 @@ def judge(pages: DataFrame, rules: DataFrame, links: DataFrame, id_col: str = "p
     once per distinct key, so a page set with one host or one address is no hot group. Null url: empty host and path, no rule,
     allow. Repeated rows each give a row; empty tables give no rows; null link ends are left out. Other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    rows = rows.withColumn("key", F.when(F.col("host") != "", F.concat("host", "path")))
+    rows = pages.select(F.col(id_col).alias("_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), key_of(F.col(url_col)).alias("key"))
     ends = stage(links.select("a", "b").filter("a is not null and b is not null").distinct(), "links")
     linked = ends.select(F.explode(F.array("a", "b")).alias("key")).distinct().select(
-        "key", F.regexp_extract("key", r"(?s)\A([^/]*)", 1).alias("host"), F.regexp_extract("key", r"(?s)\A[^/]*(.*)", 1).alias("path"))
+        "key", F.regexp_extract("key", r"(?s)\A([^/?]*)", 1).alias("host"), F.regexp_extract("key", r"(?s)\A[^/?]*([^?]*)", 1).alias("path"))
     keys = stage(rows.filter("key is not null").select("key", "host", "path").unionByName(linked).distinct(), "keys")
     ruled = stage(match_rules(keys, rules), "ruled")
     members = stage(components(ends), "aliases").withColumnRenamed("node", "key")

@@ -101,7 +101,7 @@ def test_addresses(spark):
             (7, "x://notexample.com/en/", "com/", "allow"), (8, "http://example.com?en", None, "allow"), (9, "http://alias.org/a?1", None, "block"),
             (10, "http://second.org/b", None, "block"), (11, "http://mixed.org/", None, "allow"), (None, "http://b.net/fr/", "net/fr/", "block"), (12, "", None, "allow"),
             (13, "http://c.example.com/en/", "example.com/en/", "block"), (13, "http://c.example.com/en/", "example.com/en/", "block")]
-    links = spark.createDataFrame([("alias.org/a", "b.net/es/q"), ("second.org/b", "alias.org/a"), ("mixed.org/", "unseen.net/fr/1"), ("mixed.org/", "ok.com/"),
+    links = spark.createDataFrame([("alias.org/a?1", "b.net/es/q"), ("second.org/b", "alias.org/a?1"), ("mixed.org/", "unseen.net/fr/1"), ("mixed.org/", "ok.com/"),
                                    (None, "x"), ("www.example.com/en/", "b.net/es/q")], "a string, b string")
     links = links.filter("a is null or a <> 'www.example.com/en/'")
     pages = spark.createDataFrame([(i, u, "key", 1) for i, u, _, _ in rows], "page_id long, url string, rule string, root int")
@@ -122,7 +122,7 @@ def test_links_in_html(spark):
     pages = spark.createDataFrame([(1, "http://a.org/1?x", '<LINK href="https://B.org/c" rel=canonical><link rel="stylesheet" href="http://no.org/">'),
                                    (2, "http://a.org/2", "<meta http-equiv='refresh' content='0; url=http://c.org/d#e'>"), (3, "http://a.org/3", '<link rel="canonical" href="/rel">'),
                                    (4, None, '<link rel="canonical" href="http://b.org/">'), (5, "http://a.org/5", None)], "page_id long, url string, html string")
-    assert sorted(map(tuple, urls.html_links(pages).collect())) == [("a.org/1", "b.org/c"), ("a.org/2", "c.org/d")]
+    assert sorted(map(tuple, urls.page_links(pages).collect())) == [("a.org/1?x", "b.org/c"), ("a.org/2", "c.org/d"), ("a.org/3", "a.org/rel")]
 
 
 def test_mixture_keeps_within_a_block(spark):
