@@ -31,11 +31,26 @@ SEPARATORS = frozenset(".-_*~'")
 SWAP, SEPARATE, DROP = -1.0, -1.0, -0.5
 
 _APART = re.compile(r"(?<!\S)\S(?:[ .\-_*]\S){3,}(?=[.,;:!?]*(?:\s|\Z))")
-_ODD = re.compile(r"[^\W\d_]*(?:[0-9@$!|+€.\-_*~'])[^\s]*[^\W\d_]|([^\W\d_])\1\1")
-_TRIM = re.compile(r"^[^\w$@!|+€]+|[^\w]+$")
+_SPECIAL, _LETTER, _TRIPLE = re.compile(r"[0-9@$!|+€.\-_*~']"), re.compile(r"[^\W\d_]"), re.compile(r"([^\W\d_])\1\1")
+_LEAD, _TAIL = re.compile(r"\A[^\w$@!|+€]++"), re.compile(r"(?<!\W)\W++\Z")
 _LETTERS = re.compile(r"[\W\d_]+")
 
 
+#: A longer word is decoded in stretches of this length: the spellings kept on the way grow with it.
+LONG = 256
+
+
+def _odd(token: str) -> bool:
+    """Whether a letter follows a special character, or stands three times in a row."""
+    first = _SPECIAL.search(token)
+    return bool(first and _LETTER.search(token, first.end()) or _TRIPLE.search(token))
+
+
+def _trim(token: str) -> str:
+    """A token without the signs around it."""
+    return _TAIL.sub("", _LEAD.sub("", token))
+
+
 def count_grams(docs: DataFrame, text_col: str) -> np.ndarray:
     """Counts of all character 4-grams of the corpus; one table per task, summed in Spark."""
     size = ALPHABET ** 4
@@ -100,6 +115,8 @@ class Decoder:
 
     def decode(self, word: str) -> str:
         """The likeliest spelling: Viterbi over the lattice, the state being the last three symbols."""
+        if len(word) > LONG:
+            return "".join(self.decode(word[i:i + LONG]) for i in range(0, len(word), LONG))
         states = {(0, 0, 0): (0.0, "")}
         for options in self._options(word):
             then: dict[tuple[int, int, int], tuple[float, str]] = {}
@@ -117,10 +134,10 @@ class Decoder:
 
     def word(self, token: str) -> str:
         """A lower-cased token as a plain word: decoded where its spelling is odd."""
-        if token.isalpha() and not _ODD.search(token):
+        if token.isalpha() and not _odd(token):
             return token
-        core = _TRIM.sub("", token)
-        return self.decode(core) if _ODD.search(core) else _LETTERS.sub("", core)
+        core = _trim(token)
+        return self.decode(core) if _odd(core) else _LETTERS.sub("", core)
 
     def words(self, text: str | None) -> set[str]:
         """The distinct restored words of a text, words set apart letter by letter included."""
@@ -143,7 +160,7 @@ class Decoder:
         if text is None:
             return None
         apart = _APART.sub(lambda m: self.decode(re.sub(r"[ .\-_*]", "", m[0])), text.lower())
-        return re.sub(r"\S+", lambda m: self.word(m[0]) if _ODD.search(_TRIM.sub("", m[0])) else m[0], apart)
+        return re.sub(r"\S+", lambda m: self.word(m[0]) if _odd(_trim(m[0])) else m[0], apart)
 
 
 def marks(word: str) -> tuple[str, ...]:
