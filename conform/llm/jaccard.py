@@ -1,13 +1,18 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by the exact Jaccard similarity of word shingles, searched with SimHash first and MinHash keys for the rest.
 
-Method: 128 least hash values of a text's shingles make 32 bands of four. Distinct shingle sets meet where a band is equal: a pair
-at similarity 0.8 shares one but for a chance of 5e-8. Every pair that meets is verified on the shingle sets themselves, unless
-links found before already hold its two sides in one class: first against one member of each band key, which joins most of a
-large class with as many comparisons as members, then all pairs of different classes that are left.
+Method: every text becomes a set of shingle hashes, known by one hash. Distinct sets get a SimHash of these hashes, MinHash keys (48 bands of
+five least values) and 240 single bits of the least values. Classes form in turns: first along the pairs that the SimHash operator links,
+then every set that shares a key with sets of another class is compared with one of them, a leader, until leaders find little more;
+last, all pairs of different classes under a key are compared. Each pair counts only if its whole texts have the similarity. Leaders
+join a large group of copies with about as many comparisons as it has members; the bits keep apart what only shares a passage.
+
+What can be missed: a pair at similarity 0.8 shares no key with a chance of 5e-9, and differs in more than a quarter of the bits (a
+tenth is expected) with a chance below 1e-10; both are far smaller for more similar pairs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,16 +21,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from conform.llm import simhash
 from conform.llm.graph import components
 from conform.llm.hashing import LOWER, SPACED, blocks, random_words, windows, words_of
-from conform.session import stage
+from conform.session import discard, shared_dir, stage
 
-BANDS, ROWS = 32, 4
-XORS, TIMES = random_words(BANDS * ROWS, 21), random_words(BANDS * ROWS, 22) | np.uint64(1)
+BANDS, ROWS = 48, 5
+XORS, TIMES = random_words(BANDS * ROWS, 21).astype(np.uint32)[:, None], random_words(BANDS * ROWS, 22).astype(np.uint32)[:, None] | np.uint32(1)
 #: Shingles hashed at a time.
-STEP = 4096
-#: Rounds against one member per key, and pairs left per row of a key that are compared without another such round.
-ROUNDS, FEW = 6, 4
+STEP = 2048
+#: Bits of the least values, and how many may differ.
+BITS = BANDS * ROWS
+APART = BITS // 4
+#: Bits of a SimHash within which a pair is compared first.
+RADIUS = 4
+#: Sets under one key that meet all others of the key in one task; a larger key is dealt out in tiles.
+HOT = 4096
 
 
 def shingles(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -43,32 +54,49 @@ def shingles(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.array([xxhash.xxh64_intdigest(own.tobytes())] if len(own) else [], np.uint64)
 
 
-def bands_of(h: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(h), STEP):
-        part = h[i:i + STEP]
-        for k in range(BANDS * ROWS):
-            least[k] = min(least[k], ((part ^ XORS[k]) * TIMES[k]).min())
-    return np.array([xxhash.xxh64_intdigest(least[b * ROWS:(b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64)
+def least_values(h: np.ndarray) -> np.ndarray:
+    """The least value of a set under each of the fixed orders."""
+    least = np.full(BITS, np.iinfo(np.uint32).max, np.uint32)
+    short = (h >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(short), STEP):
+        np.minimum(least, ((short[i:i + STEP] ^ XORS) * TIMES).min(1), out=least)
+    return least
+
+
+def set_number(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes())
 
 
 def sketch(text: Column, words: int) -> Column:
-    """``set`` (a hash of the shingle set), ``n`` (its size) and ``bands`` of a text."""
+    """``set`` (a hash of the shingle set), ``n`` (its size), ``fp`` (its SimHash), ``bits`` (four numbers) and ``bands`` of a text."""
 
-    @F.arrow_udf("set long, n long, bands array<long>")
+    @F.arrow_udf("set long, n long, fp long, bits array<long>, bands array<long>")
     def sketched(texts: pa.Array) -> pa.Array:
-        sets, sizes, bands = [], [], []
+        sets, sizes, prints, bits, bands = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for h in shingles(texts, words):
-            sets.append(xxhash.xxh64_intdigest(h.tobytes()))
+            sets.append(set_number(h))
             sizes.append(len(h))
-            bands.append(bands_of(h).view(np.int64))
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1) * BANDS, pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-        return pa.StructArray.from_arrays([pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), keys], ["set", "n", "bands"])
+            ones = sum((np.unpackbits(h[i:i + STEP].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64) for i in range(0, len(h), STEP)), np.zeros(64, np.int64))
+            prints.append(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
+            least = least_values(h)
+            bits.append(np.packbits(np.pad(least >> np.uint32(9) & np.uint32(1), (0, 256 - BITS)).astype(np.uint8)).view(np.int64))
+            bands.append(np.array([xxhash.xxh64_intdigest(least[b * ROWS:(b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64))
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * k, pa.int32()), pa.array(np.concatenate(x))) for x, k in ((bits, 4), (bands, BANDS))]
+        return pa.StructArray.from_arrays([pa.array(np.array(sets, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), *lists], ["set", "n", "fp", "bits", "bands"])
 
     return sketched(text)
 
 
+def set_of(text: Column, words: int) -> Column:
+    """The hash of a text's shingle set."""
+
+    @F.arrow_udf("long")
+    def numbered(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([set_number(h) for h in shingles(texts, words)], np.uint64).view(np.int64))
+
+    return numbered(text)
+
+
 def _shared(words: int):
     @F.arrow_udf("long")
     def shared(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -77,74 +105,122 @@ def _shared(words: int):
     return shared
 
 
-def _fitting(percent: int) -> Column:
-    """Sizes that do not rule the similarity out."""
-    return F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``, ``n_a``, ``n_b``) that are similar enough; ``texts`` has a ``text`` for each ``set``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    own = stage(texts.join(wanted, "set").groupBy("set").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(own.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a").join(own.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
-    judged = both.select("a", "b", "n_a", "n_b", _shared(words)("text_a", "text_b").alias("both"))
-    # both / (n_a + n_b - both) >= percent / 100
-    return judged.filter(F.col("both") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
-
-
-def classes(texts: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and bits of the structs ``a`` and ``b`` leave the similarity possible."""
+    sizes = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * percent
+    differ = sum((F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i])) for i in range(4)), F.lit(0))
+    return (F.col(f"{a}.class") != F.col(f"{b}.class")) & sizes & (differ <= APART)
+
+
+class _Search:
+    """The working tables of one search, in a folder of its own."""
+
+    def __init__(self, texts: DataFrame, known: DataFrame, words: int, percent: int, folder: str):
+        self.words, self.percent, self.folder = words, percent, folder
+        self.info = known.select("set", "n", "fp", "bits")
+        keyed = known.select("set", F.explode("bands").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
+        self.keyed = stage(keyed.join(shared, "key"), "keyed", folder)
+        prints = stage(self.info.groupBy("fp").agg(F.min("set").alias("lead")), "prints", folder)
+        alike = self.info.join(prints, "fp").filter("set <> lead").select(F.col("set").alias("a"), F.col("lead").alias("b"))
+        near = simhash.links(prints.select("fp"), RADIUS)
+        for end in ("a", "b"):
+            near = near.join(prints.select(F.col("fp").alias(end), F.col("lead").alias(f"lead_{end}")), end)
+        self.first = stage(alike.unionByName(near.select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))).distinct(), "first", folder)
+        wanted = self.keyed.select("set").unionByName(self.first.select(F.explode(F.array("a", "b")).alias("set"))).distinct()
+        own = texts.select(set_of(F.col("text"), words).alias("set"), "text").join(wanted, "set", "left_semi")
+        self.texts = stage(own.groupBy("set").agg(F.min("text").alias("text")), "texts", folder)
+        self.found = None
+
+    def verify(self, pairs: DataFrame) -> tuple[int, int]:
+        """Add those of ``pairs`` (``a``, ``b``) to the links found that are similar enough; how many were compared and linked."""
+        both = self.texts.join(pairs.withColumnRenamed("a", "set"), "set").select(F.col("set").alias("a"), F.col("text").alias("text_a"), "b")
+        both = both.join(self.texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b")
+        judged = both.select("a", "b", _shared(self.words)("text_a", "text_b").alias("both"))
+        for end in ("a", "b"):
+            judged = judged.join(self.info.select(F.col("set").alias(end), F.col("n").alias(f"n_{end}")), end)
+        # both / (n_a + n_b - both) >= percent / 100
+        similar = F.col("both") * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent
+        judged = stage(judged.select("a", "b", similar.alias("similar")), "judged", self.folder)
+        links = judged.filter("similar").select("a", "b")
+        self.found = links if self.found is None else self.found.unionByName(links)
+        n, good = judged.agg(F.count("*"), F.count_if("similar")).first()
+        return n, good
+
+    def classes(self) -> DataFrame:
+        return stage(components(self.found, folder=self.folder).select(F.col("node").alias("set"), F.col("root").alias("class")), "classes", self.folder)
+
+    def open_keys(self) -> DataFrame | None:
+        """Rows (``key``, ``own``) under the keys that several classes share; None if there are none."""
+        labels = self.info.join(self.classes(), "set", "left").select("set", F.struct("set", F.coalesce("class", "set").alias("class"), "n", "bits").alias("own"))
+        now = self.keyed.join(labels, "set").select("key", "own")
+        mixed = now.groupBy("key").agg(F.min("own.class").alias("low"), F.max("own.class").alias("high")).filter("low < high").select("key")
+        now = stage(now.join(mixed, "key"), "open", self.folder)
+        return None if now.isEmpty() else now
+
+    def to_leaders(self, now: DataFrame, turn: int) -> DataFrame:
+        """For each set one leader of another class: of the leaders of its keys that which leads most of them."""
+        lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("own.set", F.lit(turn)).alias("order"), F.col("own"))).alias("l")).select("key", F.col("l.own").alias("lead"))
+        met = now.join(lead, "key").filter(_may_link("own", "lead", self.percent))
+        votes = met.groupBy(F.col("own.set").alias("a"), F.col("lead.set").alias("b")).agg(F.count("*").alias("votes"))
+        return stage(votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), "pairs", self.folder)
+
+    def all_pairs(self, now: DataFrame) -> DataFrame:
+        """Every pair of different classes under a key."""
+        sizes = now.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("blocks"))
+        block = F.pmod(F.xxhash64("own.set"), F.col("blocks"))
+        dealt = now.join(sizes, "key").withColumn("block", block)
+        tile = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
+        dealt = dealt.select("key", "own", "block", F.explode(tile).alias("tile"))
+        left, right = (dealt.select("key", F.col("own").alias(side), F.col("block").alias(f"block_{side}"), "tile") for side in ("l", "r"))
+        here = (F.least("block_l", "block_r") == F.col("tile.low")) & (F.greatest("block_l", "block_r") == F.col("tile.high"))
+        met = left.join(right, ["key", "tile"]).filter((F.col("l.set") < F.col("r.set")) & here & _may_link("l", "r", self.percent))
+        return stage(met.select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct(), "pairs", self.folder)
+
+
+def classes(texts: DataFrame, known: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
     """(``set``, ``class``) of every shingle set that is linked to another one.
 
-    ``texts`` has the columns ``set``, ``n`` and ``bands`` of ``sketch``, and ``text``; rows may share a set.
+    ``known`` has one row per distinct set that is not empty, with the fields of ``sketch``; ``texts`` has a ``text`` for each. Working
+    tables go to ``folder``.
     """
-    known = texts.groupBy("set").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).filter("n > 0")
-    keyed = stage(known.select("set", "n", F.explode("bands").alias("key")), "keyed")
-    many = keyed.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    keyed = stage(keyed.join(many, "key"), "bands")
-    found, linked, before = None, None, None
-    for turn in range(ROUNDS + 1):
-        if linked is None:
-            now = keyed.withColumn("class", F.col("set"))
-        else:
-            now = stage(keyed.join(linked, "set", "left").select("set", "n", "key", F.coalesce("class", "set").alias("class")), "now")
-        sizes = now.groupBy("key", "class").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        rows, left = sizes.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("own")) / 2)).first()
-        if not left:
-            break
-        last = turn == ROUNDS or turn > 0 and (left <= FEW * rows or left == before)
-        before = left
-        if last:
-            other = now
-        else:  # the same member leads under every key that holds it, so pairs repeat and are compared once
-            lead = F.min(F.struct(F.xxhash64("set", F.lit(turn)).alias("order"), "set", "n", "class")).alias("lead")
-            other = now.groupBy("key").agg(lead).select("key", "lead.set", "lead.n", "lead.class")
-        other = other.select("key", F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("class").alias("class_a"))
-        mine = now.select("key", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("class").alias("class_b"))
-        met = mine.join(other, "key").filter(F.col("class_a") != F.col("class_b")).filter(_fitting(percent))
-        met = met.filter("a < b") if last else met
-        links = stage(_verified(stage(met.select("a", "b", "n_a", "n_b").distinct(), "pairs"), texts, words, percent), "links")
-        found = links if found is None else found.unionByName(links)
-        linked = stage(components(found), "classes").select(F.col("node").alias("set"), F.col("root").alias("class"))
-        if last:
+    search = _Search(texts, known, words, percent, folder)
+    search.verify(search.first)
+    turn = 0
+    while (now := search.open_keys()) is not None:
+        compared, linked = search.verify(search.to_leaders(now, turn))
+        turn += 1
+        if linked * 4 < compared or not compared:  # leaders are of little more use: any later turn gives the same classes
+            now = search.open_keys()
+            if now is not None:
+                search.verify(search.all_pairs(now))
             break
-    return linked if linked is not None else known.select("set", F.col("set").alias("class")).limit(0)
+    return search.classes()
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep one row of each class of near copies: that with the smallest id, with all its columns.
 
     Two texts are linked if the Jaccard similarity of their sets of ``words``-word shingles is ``percent`` or more; texts without words
-    are linked to each other. A class without ids keeps one row; of rows that share id and shingle set any one stays.
+    (null, empty, blank) are linked to each other. A class without ids keeps one row; of rows that share id and shingle set any one
+    stays. Very long texts are whole. Columns of any name pass through. An empty table stays empty. Working tables are removed before
+    the result is returned; it reads ``docs`` again and a table of one small row per class.
     """
-    each = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), sketch(F.col(text_col), words).alias("s"))
-    each = stage(each.select("row", "id", "s.*"), "sketched")
-    linked = stage(classes(each.select("set", "n", "bands", F.col("row").getField(text_col).alias("text")), words, percent), "linked")
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/copies/{uuid.uuid4().hex}"
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    each = stage(plain.select("id", sketch(F.col("text"), words).alias("s")).select("id", "s.*"), "sketched", folder)
+    known = each.filter("n > 0").groupBy("set").agg(*[F.first(c).alias(c) for c in ("n", "fp", "bits", "bands")])
+    linked = classes(plain, stage(known, "known", folder), words, percent, folder)
     member = each.groupBy("set").agg(F.min("id").alias("least")).join(linked, "set", "left").select("set", F.coalesce("class", "set").alias("class"), "least")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "set"))
-    keeper = stage(member.groupBy("class").agg(first.alias("k")).select("k.set", F.col("k.least").alias("keep")), "keeper")
-    kept = each.join(keeper, "set").filter(F.col("id").eqNullSafe(F.col("keep")))
-    # equal ids under one set are rare: only their rows are dealt out again
-    twice = stage(kept.groupBy("set").count().filter("count > 1").select("set"), "twice")
-    if not twice.isEmpty():
-        kept = kept.join(twice, "set", "left_anti").unionByName(kept.join(twice, "set", "left_semi").dropDuplicates(["set"]))
+    keeper = stage(member.groupBy("class").agg(first.alias("k")).select("k.set", F.col("k.least").alias("keep")), "keeper", folder)
+    rows = each.join(keeper, "set").filter(F.col("id").eqNullSafe(F.col("keep"))).groupBy("set").agg(F.first("keep").alias("keep"), F.count("*").alias("rows"))
+    keeper = stage(rows, "keeper")
+    repeated = not keeper.filter("rows > 1").isEmpty()
+    discard(spark, folder)
+    kept = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), set_of(F.col(text_col), words).alias("set"))
+    kept = kept.join(keeper, "set").filter(F.col("id").eqNullSafe(F.col("keep")))
+    if repeated:  # equal ids under one set are rare: only their rows are dealt out again
+        kept = kept.filter("rows = 1").unionByName(kept.filter("rows > 1").dropDuplicates(["set"]))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -2,11 +2,13 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 
 import corpus_pipeline
 from conform.llm import jaccard, simhash
+from conform.session import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,18 +51,40 @@ def texts(seed, n):
     return rows + [(900, None), (901, " \n"), (902, "ONE two"), (903, "one  TWO"), (None, rows[0][1]), (None, "only here and nowhere else at all"), rows[3], (904, "q " * 5000)]
 
 
-@pytest.mark.parametrize(("rounds", "few"), [(6, 4), (0, 4), (6, 0)])
-def test_classes_match_brute_force(spark, monkeypatch, rounds, few):
-    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
-    monkeypatch.setattr(jaccard, "FEW", few)
+@pytest.mark.parametrize(("hot", "radius"), [(4096, 4), (5, 4), (4096, 0)])
+def test_classes_match_brute_force(spark, monkeypatch, hot, radius):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "RADIUS", radius)
     rows = texts(3, 200)
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, set string, n int, class int")
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == brute(rows)
-    if rounds == 0:
+    if hot == 5:
         assert jaccard.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_groups_that_share_a_passage(spark, monkeypatch):
+    """Many texts share a passage and stay below 0.8; a large group of copies drifts around its first text."""
+    monkeypatch.setattr(jaccard, "HOT", 40)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    passage, base = [word() for _ in range(120)], [word() for _ in range(150)]
+    rows = [(i, " ".join([word() for _ in range(rng.randint(20, 60))] + passage + [word() for _ in range(30)])) for i in range(90)]
+    for i in range(90, 240):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(150)] = word()
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id for r in jaccard.one_of_each(docs).collect()), key=repr) == brute(rows)
+
+
+def test_nothing_is_left_behind(spark):
+    rows = texts(6, 40)
+    assert jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count()
+    assert not list(Path(shared_dir(spark), "copies").iterdir())
+
+
 def test_pipeline_drops_copies_beyond_four_bits(spark):
     stage = dict(corpus_pipeline.STAGES)["near_copies"]
     rows = texts(4, 80)
