@@ -24,13 +24,13 @@ def parse_error(severity: Column, page: Column, page_text: Column, vocabulary: S
 
 
 def vocabulary_violations(columns: Sequence[str], vocabularies: Mapping[str, Sequence[str]]) -> Column:
-    """Array of violations of one row; fields without a rule always pass."""
+    """Array of violations of one row; fields without a rule always pass, a missing value passes no rule."""
     checks = [
         F.when(
-            ~F.col(f).isin(*allowed),
+            outside(F.col(f), allowed),
             F.struct(
-                F.lit(f).alias("field"), F.lit(msg.INVALID_VALUE).alias("kind"), F.col(f).alias("value"),
-                F.concat(F.lit("value "), quoted(F.col(f)),
+                F.lit(f).alias("field"), F.lit(msg.INVALID_VALUE).alias("kind"), F.coalesce(F.col(f), F.lit("")).alias("value"),
+                F.concat(F.lit("value "), F.coalesce(quoted(F.col(f)), F.lit("None")),
                          F.lit(f" for '{f}' is outside the template's registered vocabulary")).alias("reason"),
                 F.lit("fix the value-map entry (new version) or extend the template's vocabulary as data").alias("suggestion"),
             ),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conform.operators import detect, layout
+from conform.operators import detect, layout, recipes
 from conform.operators.onboard import column_signature
 from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
+from conform.plans.run import Run
+from conform.plans.scoring import VERDICT_COLUMNS, sheet_bundle
+from conform.session import stage
 
 RECIPE = (b.X_RANGES, b.COLUMN_NAMES, b.ROW_PATTERN, r"(Id|Ref)\s+Severity", ("Inspection report p.",))
 ANNOT_COLUMNS = ("Id", "Severity", "User", "Issues", "Comments", "Page")
@@ -128,13 +131,52 @@ def lim_pages(t: Tables) -> DataFrame:
     return lead.select("doc_id", "lines", "lead_sha")
 
 
+def extraction(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Lines, leading texts, claims and recipes of all reports. Lines are stored: several results read them."""
+    lines = stage(layout.visual_lines(t.report_words()), "lines")
+    lead = stage(detect.leading_text(lines.select("doc_id", "page", F.col("line_top").alias("top"), "text")), "lead")
+    claimed = lead.select("doc_id", detect.first_match(b.PROFILES, F.col("lead_text")).alias("profile")).filter("profile is not null")
+    return lines, lead, claimed, recipes.recipe_frame(t.spark, b.RECIPES)
+
+
 @query("dq_extract", """
-SELECT doc_id, pg AS page, top AS line_top, id, severity, array_to_string(user_tags, ' | ') AS user_tags, array_to_string(issues, ' | ') AS issues,
- comments, page_text FROM v_slots""")
+SELECT doc_id, CASE WHEN doc_id % 50 = 11 THEN 'survey.register@v1' ELSE 'line.report@v2020' END AS profile, pg AS page, top AS line_top,
+ CASE WHEN doc_id % 50 = 11 THEN concat_ws(';', 'ref=' || id, 'class=' || severity, 'component=' || array_to_string(user_tags, ' | '),
+   'observation=' || array_to_string(issues, ' | ') || ' ' || comments, 'sheet=' || page_text)
+  ELSE concat_ws(';', 'id=' || id, 'severity=' || severity, 'user_tags=' || array_to_string(user_tags, '/'), 'issues=' || array_to_string(issues, '/'),
+   'comments=' || comments, 'page_text=' || page_text) END AS cells FROM v_slots WHERE doc_id % 50 <> 7""")
 def dq_extract(t: Tables) -> DataFrame:
-    rows = layout.extract_records(t.printed(), b.X_RANGES, ("id", "severity", "user_tags", "issues", "comments", "page_text"),
-                                  *RECIPE[2:])
-    return rows.select("doc_id", "page", "line_top", "id", "severity", "user_tags", "issues", "comments", "page_text")
+    """Records of every document by the recipe of its own profile; list cells are split."""
+    lines, _, claimed, table = extraction(t)
+    text = F.transform("cells", lambda c: F.concat(c["name"], F.lit("="), F.coalesce(F.array_join(c["items"], "/"), c["value"])))
+    return recipes.records(lines, claimed, table).select("doc_id", "profile", "page", "line_top", F.array_join(text, ";").alias("cells"))
+
+
+@query("dq_header", """
+SELECT h.doc_id, CASE WHEN h.doc_id % 50 = 11 THEN 'survey.register@v1' ELSE 'line.report@v2020' END AS profile, company, CASE WHEN h.doc_id % 50 = 12 THEN '' ELSE report_date END AS report_date,
+ inspection_name, inspection_type, CASE WHEN h.doc_id % 50 = 11 THEN 'Inspection report,record_table_header' WHEN h.doc_id % 50 = 12 THEN 'Inspection report,Company:,record_table_header'
+  ELSE 'Inspection report,Company:,Date:,record_table_header' END AS anchors_found, CASE WHEN h.doc_id % 50 = 12 THEN 'Date:' ELSE '' END AS anchors_missing,
+ declared, coalesce(extracted, 0) AS extracted FROM v_headers h LEFT JOIN v_counts USING (doc_id) WHERE h.doc_id % 50 <> 7""")
+def dq_header(t: Tables) -> DataFrame:
+    """Header fields, anchors, and declared against extracted records, all read from words."""
+    lines, lead, claimed, table = extraction(t)
+    names = ("company", "report_date", "inspection_name", "inspection_type", "declared")
+    wide = recipes.headers(lines, claimed, table).groupBy("doc_id").agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("value"))), F.lit("")).alias(n) for n in names])
+    got = recipes.records(lines, claimed, table).groupBy("doc_id").agg(F.count("*").alias("extracted"))
+    out = recipes.integrity(lead, claimed, table).join(wide, "doc_id").join(got, "doc_id", "left")
+    return out.select("doc_id", "profile", *names[:4], *[F.array_join(c, ",").alias(c) for c in ("anchors_found", "anchors_missing")],
+                      F.col("declared").cast("long").alias("declared"), F.coalesce("extracted", F.lit(0)).cast("long").alias("extracted"))
+
+
+@query("dq_words_run", f"SELECT {', '.join(VERDICT_COLUMNS)} FROM v_verdict")
+def dq_words_run(t: Tables) -> DataFrame:
+    """A whole run whose documents, findings and counts come from words: its verdicts are those of the run over tables."""
+    lines, lead, claimed, table = extraction(t)
+    fields = {c: c for c in ("inspection_name", "report_date", "inspection_type", "company")}
+    documents, findings, counts = recipes.run_inputs(t.batch().select("doc_id", "document", "sha"), lines, lead, claimed, table, fields, "declared",
+                                                     ("id", "severity", "comments"), ("user_tags", "issues"), "page_text")
+    run = Run(documents, findings, counts, (sheet_bundle(),), b.VALUE_MAPS, b.ANSWERS, b.PROFILES, "line.report@v2020", b.ANCHORS, b.SEVERITIES)
+    return run.verdicts().select(*VERDICT_COLUMNS)
 
 
 @query("dq_annot", """
