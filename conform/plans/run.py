@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conform.functions import messages as msg
-from conform.operators import detect, mapping, score, validate
+from conform.operators import checks, detect, mapping, score, validate
 from conform.operators.joins import attach_group
 from conform.session import stage
 from conform.sources.config import Profile, Template, coverage, required_prompts
@@ -46,6 +46,8 @@ class Run:
     severities: Sequence[str]
     #: Content hashes (column ``sha``) that earlier runs converted: documents with one are copies.
     known: DataFrame | None = None
+    #: Registered pictures (column ``sha``), for targets that show some.
+    images: DataFrame | None = None
     #: Where intermediate tables go; the shared folder if not given.
     work: str | None = None
     frozen: dict[str, DataFrame] = field(default_factory=dict)
@@ -97,15 +99,36 @@ class Run:
             F.lit("").alias("field"), F.lit(msg.RECORD_PARSE).alias("kind"), F.lit("").alias("value"),
             F.col("parse_error").alias("reason"),
             F.lit("inspect the source row; extraction could not read it").alias("suggestion")))
-        return df.withColumn(
-            "errors",
-            F.when(F.col("parse_error").isNotNull(), unread).when(F.size("problems") > 0, F.col("problems"))
-            .otherwise(validate.vocabulary_violations(cols, bundle.template.vocabularies)),
-        ).withColumn("unresolved", bad).withColumn("errors", F.coalesce("errors", empty)).drop("problems")
+        errors = F.when(F.col("parse_error").isNotNull(), unread).when(F.size("problems") > 0, F.col("problems")).otherwise(
+            validate.vocabulary_violations(cols, bundle.template.vocabularies))
+        df = df.withColumn("errors", F.coalesce(errors, empty)).withColumn("unresolved", bad).drop("problems")
+        return self._laid_out(df, bundle.template)
+
+    def _laid_out(self, df: DataFrame, template: Template) -> DataFrame:
+        """Add what a form or an overlay cannot take to the errors of rows that have none so far."""
+        if not template.layout:
+            return df
+        pictures = [r["target_field"] for r in template.layout if r["kind"] == "image"]
+        tests = checks.form_checks(template.layout) if template.kind == "pdf_form" else checks.overlay_checks(template.layout)
+        for name in pictures:
+            stored = self.images.select(F.col("sha").alias(name)).distinct().withColumn(f"_has_{name}", F.lit(True))
+            df = df.join(stored, name, "left")
+            tests.append(F.when((F.coalesce(name, F.lit("")) != "") & F.col(f"_has_{name}").isNull(), F.struct(
+                F.lit(name).alias("field"), F.lit(checks.BAD_IMAGE).alias("kind"), F.col(name).alias("value"), F.lit(checks.NO_IMAGE).alias("reason"))))
+        found = F.transform(F.array_compact(F.array(*tests)), lambda p: F.struct(
+            p["field"].alias("field"), F.lit(msg.INVALID_VALUE).alias("kind"), F.coalesce(p["value"], F.lit("")).alias("value"), p["reason"].alias("reason"),
+            F.lit("correct the mapping or the value, or give the template a new version").alias("suggestion")))
+        return df.withColumn("errors", F.when(F.size("errors") > 0, F.col("errors")).otherwise(found)).drop(*[f"_has_{n}" for n in pictures])
 
     @staticmethod
     def rows(outcome: DataFrame, bundle: Bundle) -> DataFrame:
-        return outcome.filter(F.size("errors") == 0).select("doc_id", "document", "record_seq", *bundle.template.columns)
+        """Legal rows of a target; a per-batch target has the first of each document."""
+        cols = bundle.template.columns
+        legal = outcome.filter(F.size("errors") == 0).select("doc_id", "document", "record_seq", *cols)
+        if bundle.template.cardinality == "per_record":
+            return legal
+        first = F.min_by(F.struct("record_seq", *cols), "record_seq").alias("r")
+        return legal.groupBy("doc_id", "document").agg(first).select("doc_id", "document", "r.*")
 
     @staticmethod
     def record_exceptions(outcome: DataFrame, bundle: Bundle) -> DataFrame:
@@ -126,8 +149,9 @@ class Run:
         """Scores need only counts, so one narrow aggregate per bundle feeds them."""
         per_doc = None
         for b in self.bundles:
+            legal = F.count_if(F.size("errors") == 0)
             counted = self.outcome(b).groupBy("doc_id").agg(
-                F.count_if(F.size("errors") == 0).alias("rows_converted"),
+                (legal if b.template.cardinality == "per_record" else F.least(legal, F.lit(1))).alias("rows_converted"),
                 F.sum(F.size("errors")).alias("n_exc"),
                 F.sum(F.size(F.filter("errors", lambda e: e["kind"] == msg.OOV_VALUE))).alias("n_oov"))
             per_doc = counted if per_doc is None else per_doc.unionByName(counted)

@@ -36,7 +36,10 @@ class Template:
     required: tuple[str, ...]
     optional: tuple[str, ...] = ()
     vocabularies: dict = field(default_factory=dict)
+    #: ``per_record``, or ``per_batch``: one row per document, its first.
     cardinality: str = "per_record"
+    #: Fields of a form or regions of an overlay.
+    layout: tuple[dict, ...] = ()
 
     @property
     def ref(self) -> str:
