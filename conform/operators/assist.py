@@ -35,20 +35,22 @@ def _members(v: Column) -> Column:
     return F.when(F.startswith(_kind(v), F.lit("OBJECT")), v.try_cast("map<string,variant>"))
 
 
-def answer_items(raw: Column) -> Column:
-    """Array of the items (variants) of a model answer, or null when it holds none in any known shape.
+def with_items(answers: DataFrame, raw: str = "raw") -> DataFrame:
+    """Add ``items``: the items (variants) of a model answer, or null when it holds none in any known shape.
 
     Accepted: a list; a list under a known key; any list-valued member; a lone proposal object. An empty list is an answer
-    without items, not an unusable one; a text that merely looks like a list is none.
+    without items, not an unusable one; a text that merely looks like a list is none. The text is parsed once: each step is a
+    column of its own that the next ones share.
     """
-    v = F.try_parse_json(F.trim(raw))
-    members = _members(v)
     as_list = lambda x: F.when(F.startswith(_kind(x), F.lit("ARRAY")), x.try_cast("array<variant>"))
-    wrapped = [as_list(F.try_element_at(members, F.lit(k))) for k in WRAPPERS]
-    names = F.map_keys(F.from_json(F.trim(raw), "map<string,string>"))  # in the order of the text
-    any_list = F.get(F.filter(F.transform(names, lambda k: as_list(F.try_element_at(members, k))), lambda x: x.isNotNull()), F.lit(0))
-    lone = F.when(F.map_contains_key(members, "target_field") & F.map_contains_key(members, "from_path"), F.array(v))
-    return F.coalesce(as_list(v), *wrapped, any_list, lone)
+    df = answers.withColumn("_v", F.try_parse_json(F.trim(F.col(raw)))).withColumn("_list", as_list(F.col("_v"))).withColumn("_m", _members(F.col("_v")))
+    # lists among the members, by name; most answers are lists themselves and have none
+    df = df.withColumn("_lists", F.map_filter(F.transform_values("_m", lambda _, x: as_list(x)), lambda _, x: x.isNotNull()))
+    wrapped = [F.try_element_at("_lists", F.lit(k)) for k in WRAPPERS]
+    names = F.when(F.size("_lists") > 0, F.map_keys(F.from_json(F.trim(F.col(raw)), "map<string,string>")))  # in the order of the text
+    first = F.try_element_at("_lists", F.get(F.filter(names, lambda k: F.map_contains_key("_lists", k)), F.lit(0)))
+    lone = F.when(F.map_contains_key("_m", "target_field") & F.map_contains_key("_m", "from_path"), F.array("_v"))
+    return df.withColumn("items", F.coalesce("_list", *wrapped, first, lone)).drop("_v", "_list", "_m", "_lists")
 
 
 def _sound_texts(members: Column, texts: dict, needed: tuple) -> Column:
@@ -64,18 +66,16 @@ def _sound_texts(members: Column, texts: dict, needed: tuple) -> Column:
     return ok
 
 
-def sound_item(v: Column) -> Column:
-    """Whether an item has the members a proposal may have, with their types, forms and lengths, and no others.
+def sound_item(m: Column) -> Column:
+    """Whether an item (its members by name) has the members a proposal may have, with their types, forms and lengths, and no others.
 
     A map name and its entries come together or not at all.
     """
-    m = _members(v)
     known = F.array(*map(F.lit, (*ITEM_TEXTS, "suggested_entries")))
     listed = F.try_element_at(m, F.lit("suggested_entries"))
-    entries = F.when(F.startswith(_kind(listed), F.lit("ARRAY")), listed.try_cast("array<variant>"))
+    entries = F.when(F.startswith(_kind(listed), F.lit("ARRAY")), F.transform(listed.try_cast("array<variant>"), _members))
 
-    def sound_entry(e: Column) -> Column:
-        own = _members(e)
+    def sound_entry(own: Column) -> Column:
         return F.coalesce((F.size(F.array_except(F.map_keys(own), F.array(*map(F.lit, ENTRY_TEXTS)))) == 0) & _sound_texts(own, ENTRY_TEXTS, NEEDED["entry"]), F.lit(False))
 
     paired = F.map_contains_key(m, "suggested_entries") == F.map_contains_key(m, "value_map_name")
@@ -85,10 +85,10 @@ def sound_item(v: Column) -> Column:
 
 def parse_answers(answers: DataFrame) -> DataFrame:
     """One row per item (``item`` null and ``drop = schema`` for an unusable answer); an answer without items has no row."""
-    items = answers.withColumn("items", answer_items(F.col("raw"))).filter(F.coalesce(F.size("items") > 0, F.lit(True)))
+    items = with_items(answers).filter(F.coalesce(F.size("items") > 0, F.lit(True)))
     rows = items.select("session_id", "answer_id", F.posexplode_outer("items").alias("pos", "v"))
-    ok = sound_item(F.col("v"))
-    return rows.select("session_id", "answer_id", "pos", F.when(ok, F.from_json(F.to_json("v"), ITEM)).alias("item"), F.when(~ok, F.lit("schema")).alias("drop"))
+    rows = rows.withColumn("_m", _members(F.col("v"))).withColumn("_ok", sound_item(F.col("_m")))
+    return rows.select("session_id", "answer_id", "pos", F.when(F.col("_ok"), F.from_json(F.to_json("v"), ITEM)).alias("item"), F.when(~F.col("_ok"), F.lit("schema")).alias("drop"))
 
 
 def gate(items: DataFrame, targets: DataFrame, paths: DataFrame, observed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -11,6 +11,7 @@ from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
 from conform.plans.oracle import VIEWS
+from conform.session import stage
 
 PATHS = tuple(f"finding.{k}" for k in ("id", "severity", "user_tags", "issues", "comments", "page")) + tuple(
     f"header.{k}" for k in ("inspection_name", "report_date", "inspection_type", "company"))
@@ -32,7 +33,7 @@ FROM v_known k CROSS JOIN LATERAL (SELECT k.v AS value, 'EXPRESS' AS tv UNION AL
 
 
 def gated(t: Tables):
-    items = assist.parse_answers(t.proposals_raw())
+    items = stage(assist.parse_answers(t.proposals_raw()), "answers")  # known ones, their entries and drops all come from it
     targets = config_frame(t.spark, [(c,) for c in b.COLUMNS], "target_field string")
     paths = config_frame(t.spark, [(p,) for p in PATHS], "from_path string")
     seen = onboard.observed(t.findings(), {"severity": False, "issues": True}).filter(F.col("form") == "single").select(
@@ -45,8 +46,7 @@ def gated(t: Tables):
 SELECT event_id AS answer_id, CASE WHEN event_id % 14 = 7 THEN 2 WHEN event_id % 49 IN (3, 10) THEN 0 WHEN event_id % 49 IN (6, 13, 20, 27) THEN 1
   WHEN event_id % 7 IN (3, 6) THEN -1 ELSE 1 END AS items FROM events""")
 def fn_json(t: Tables) -> DataFrame:
-    n = F.coalesce(F.size(assist.answer_items(F.col("raw"))), F.lit(-1))
-    return t.proposals_raw().select("answer_id", n.alias("items"))
+    return assist.with_items(t.proposals_raw()).select("answer_id", F.coalesce(F.size("items"), F.lit(-1)).alias("items"))
 
 
 @query("jn_referent", """
