@@ -389,3 +389,43 @@ class Tables:
             F.when((F.col("toxic") == 1) & (n % 2 == 0), F.struct(F.lit(3).alias("step"), F.lit("removed").alias("state"), F.lit(None).cast("string").alias("corrected"))),
             F.when(n % 14 == 10, F.struct(F.lit(4).alias("step"), F.lit("proposed").alias("state"), F.lit(None).cast("string").alias("corrected")))))
         return e.select("proposal_id", "element_id", F.explode(acts).alias("a")).select("proposal_id", "element_id", "a.*")
+
+    # -- approval --------------------------------------------------------------------------------------
+    def exemplars(self) -> DataFrame:
+        """Reports 20 of each 50 are exemplars of a proposal per nation, in order."""
+        n = self.t("nation").select(F.col("n_name").alias("company"), F.col("n_nationkey").alias("k"))
+        h = self.headers().filter(F.col("doc_id") % 50 == 20).join(n, "company")
+        first = h.groupBy("k").agg(F.min("doc_id").alias("first"))
+        rank = F.row_number().over(W.partitionBy("k").orderBy("doc_id")) - 1
+        return h.join(first, "k").select("k", "doc_id", "company", "report_date", "first", F.concat(F.lit("p"), F.col("k").cast("string")).alias("profile"), rank.alias("exemplar"))
+
+    def approval_elements(self) -> DataFrame:
+        """Reviewed elements of every proposal; each nation has its own way of being sound or not."""
+        from conform.operators.approve import PAYLOAD
+
+        k = F.col("k")
+        first = self.exemplars().filter("exemplar = 0").join(self.finding_counts(), "doc_id", "left")
+        kind = {f.split(" ")[0]: f.split(" ")[1] for f in PAYLOAD.split(", ")}
+
+        def element(seq: int, what: str, state=None, /, **payload) -> F.Column:
+            given = {c: v if isinstance(v, F.Column) else F.lit(v) for c, v in payload.items()}
+            return F.struct(F.lit(seq).alias("seq"), F.lit(what).alias("kind"), (F.lit("confirmed") if state is None else state).alias("state"),
+                            F.struct(*[given.get(c, F.lit(None)).cast(t).alias(c) for c, t in kind.items()]).alias("payload"))
+
+        bare = k % 7 == 4
+        gone = lambda cond: F.when(cond, "removed").otherwise("confirmed")
+        columns = [element(2 + i, "record_column", name=n, lo=F.when(~((k % 5 == 2) & F.lit(n == "comments")), lo), hi=hi, separator="|" if n in ("user_tags", "issues") else None)
+                   for i, (n, (lo, hi)) in enumerate(zip((*COLUMN_NAMES[:5], "page_text"), X_RANGES, strict=True))]
+        every = F.array(
+            element(1, "record_table", gone(k % 7 == 3), row_pattern=ROW_PATTERN, table_header=r"Id\s+Severity", header_regex=F.when(~bare, r"^Id\s+Severity.*Page$"),
+                    recurrence=F.coalesce("extracted", F.lit(0)) + F.when(k % 4 == 2, 1).otherwise(0)), *columns,
+            element(8, "fingerprint_anchor", gone(bare), text="Inspection report"),
+            element(9, "fingerprint_anchor", F.when(bare, "removed").when(k % 8 == 6, "corrected").otherwise("confirmed"), text=F.when(k % 8 == 6, "Carrier:").otherwise("Company:")),
+            element(10, "header_field", name="company", strategy="label_right", labels=F.array(F.lit("Company:")), example_value=F.when(k % 6 == 1, "SOMEWHERE").otherwise(F.col("company"))),
+            element(11, "header_field", F.when(k % 2 == 1, "corrected").otherwise("confirmed"), name="report_date", strategy="label_right", labels=F.array(F.lit("Date:")), example_value=F.col("report_date")),
+            element(12, "furniture_line", text="Inspection report p."),
+            element(13, "header_field", F.lit("proposed"), name="inspection_name", strategy="label_right", labels=F.array(F.lit("Name:")), example_value="nobody"),
+            element(14, "form_field", gone(k % 3 == 1), name="line_ref", field_kind="text", max_len=40), element(15, "form_field", gone(k % 3 == 1), name="handling", field_kind="choice", options=F.array(F.lit("EXPRESS"), F.lit("REGULAR"))),
+            element(16, "overlay_region", gone(k % 3 == 0), name="comments", field_kind="text", bbox=F.array(F.lit(0.0), F.lit(0.0), F.lit(44.0), F.lit(20.0)), font_size=9.0),
+            element(17, "cardinality", gone(k % 2 == 0), cardinality="per_batch"))
+        return first.select(F.col("profile").alias("proposal_id"), F.explode(every).alias("e")).select("proposal_id", "e.*")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conform.functions.width import OTHER, WIDTHS
-from conform.operators import checks, detect, layout, onboard, registry
+from conform.operators import approve, checks, detect, layout, onboard, registry
 from conform.plans import audit
 from conform.plans import bindings as b
 from conform.plans.bindings import Tables
@@ -21,7 +21,7 @@ from conform.plans.scoring import make_run, sheet_bundle
 from conform.plans.sinks import manifest_of
 from conform.session import discard, shared_dir, stage
 from conform.sinks import read_rows, write_rows
-from conform.sources.config import Template, load_mapping
+from conform.sources.config import Profile, Template, load_mapping
 
 FORM = (
     {"target_field": "line_ref", "kind": "text", "max_len": 40},
@@ -331,3 +331,53 @@ def dq_replay(t: Tables) -> DataFrame:
     pinned = run({key: first, (*key[:2], 2): newer})
     unpinned = run({key: newer}).select("document", F.col("verified").alias("verified_without_pins"))
     return pinned.join(unpinned, "document").select("document", "n_rows", "verified", "verified_without_pins")
+
+
+VIEWS["v_exemplar"] = """
+SELECT h.*, n_nationkey AS k, coalesce(c.extracted, 0) AS extracted, row_number() OVER (PARTITION BY n_nationkey ORDER BY h.doc_id) - 1 AS i
+FROM v_headers h JOIN nation ON n_name = company LEFT JOIN v_counts c USING (doc_id) WHERE h.doc_id % 50 = 20
+"""
+
+
+@query("dq_assemble", """
+SELECT 'p' || k AS profile, CASE WHEN k % 7 = 4 THEN '' WHEN k % 8 = 6 THEN 'Inspection report,Carrier:' ELSE 'Inspection report,Company:' END AS required_text,
+ CASE WHEN k % 7 NOT IN (3, 4) THEN '^Id\\s+Severity.*Page$' ELSE '' END AS header_regex, 'company:label_right,report_date:label_right' AS fields,
+ CASE WHEN k % 5 = 2 THEN 'id:0.0-80.0,severity:80.0-140.0,user_tags:140.0-250.0|,issues:250.0-370.0|,page_text:520.0-600.0'
+  ELSE 'id:0.0-80.0,severity:80.0-140.0,user_tags:140.0-250.0|,issues:250.0-370.0|,comments:370.0-520.0,page_text:520.0-600.0' END AS columns,
+ 'Inspection report p.' AS furniture, CASE WHEN k % 7 = 3 THEN 'no confirmed record table' WHEN k % 7 = 4 THEN 'no confirmed anchors' ELSE '' END AS error
+FROM (SELECT DISTINCT k FROM v_exemplar)""".replace("\\\\", "\\"))
+def dq_assemble(t: Tables) -> DataFrame:
+    """Recipes assembled from reviewed elements: the rows that extraction reads, and what is wrong where one cannot be made."""
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    return approve.assemble_recipes(t.approval_elements()).select(
+        "profile", F.array_join("required_text", ",").alias("required_text"), F.coalesce("header_regex", F.lit("")).alias("header_regex"),
+        joined("fields", lambda f: F.concat_ws(":", f["name"], f["strategy"])),
+        joined("columns", lambda c: F.concat(c["name"], F.lit(":"), c["lo"].cast("string"), F.lit("-"), c["hi"].cast("string"), F.coalesce(c["separator"], F.lit("")))),
+        F.array_join("furniture", ",").alias("furniture"), "error")
+
+
+@query("dq_template", """
+SELECT 'p' || k AS proposal_id, coalesce(CASE k % 3 WHEN 0 THEN 'pdf_form' WHEN 1 THEN 'pdf_overlay' END, '') AS kind, CASE WHEN k % 2 = 0 THEN 'per_record' ELSE 'per_batch' END AS cardinality,
+ CASE WHEN k % 3 = 1 THEN '' ELSE 'line_ref:text,handling:choice' END AS fields, CASE WHEN k % 3 = 0 THEN '' ELSE 'comments:text' END AS regions,
+ CASE WHEN k % 3 = 2 THEN 'needs form fields or overlay regions, not both' ELSE '' END AS error FROM (SELECT DISTINCT k FROM v_exemplar)""")
+def dq_template(t: Tables) -> DataFrame:
+    """Template configuration from reviewed elements: form or overlay, never both; how often it is rendered."""
+    joined = lambda c: F.array_join(F.transform(c, lambda f: F.concat_ws(":", f["target_field"], f["kind"])), ",").alias(c)
+    return approve.assemble_templates(t.approval_elements()).select("proposal_id", F.coalesce("kind", F.lit("")).alias("kind"), "cardinality", joined("fields"), joined("regions"), "error")
+
+
+@query("dq_approve", """
+WITH g AS (SELECT *, 'p' || k AS profile FROM v_exemplar WHERE k % 7 NOT IN (3, 4)),
+c AS (SELECT profile, i, 'fingerprint_self_match' AS check_name, k % 8 <> 6 AS ok FROM g UNION ALL SELECT profile, i, 'anchors', k % 8 <> 6 FROM g
+ UNION ALL SELECT profile, i, 'records_extracted', extracted > 0 FROM g UNION ALL SELECT profile, i, 'columns_reproduced', k % 5 <> 2 FROM g WHERE extracted > 0
+ UNION ALL SELECT profile, i, 'row_count_exact', k % 4 <> 2 FROM g WHERE i = 0 UNION ALL SELECT profile, i, 'header_company_exact', k % 6 <> 1 FROM g WHERE i = 0
+ UNION ALL SELECT profile, i, 'header_report_date_exact', true FROM g WHERE i = 0 AND k % 2 = 0 UNION ALL SELECT profile, i, 'no_collision', inspection_type <> '1-URGENT' FROM g WHERE i = 0
+ UNION ALL SELECT DISTINCT 'p' || k, -1, 'recipe_assembly', false FROM v_exemplar WHERE k % 7 IN (3, 4))
+SELECT profile, i::INTEGER AS exemplar, check_name, ok FROM c""")
+def dq_approve(t: Tables) -> DataFrame:
+    """Every assembled recipe is run on its exemplars and compared with what the reviewers saw."""
+    chosen = stage(t.exemplars().select("doc_id", "profile", "exemplar"), "exemplars")
+    assembled = stage(approve.assemble_recipes(t.approval_elements()), "assembled")
+    lines = stage(layout.visual_lines(t.report_words().filter(F.col("doc_id") % 50 == 20)), "lines")
+    lead = stage(detect.leading_text(lines.select("doc_id", "page", F.col("line_top").alias("top"), "text")), "lead")
+    return approve.verify(assembled, chosen, lines, lead, (Profile("urgent.report", "v1", "active", ("Inspection report", "1-URGENT")),))
