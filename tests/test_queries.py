@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 DATA = "/root/testdata/sf0.001"
 SAMPLE = ("agg_verdict", "set_exc", "prj_strict", "prj_preview", "jn_valuemap", "jn_decide", "win_dedup", "win_lines", "dq_extract", "dq_matrix", "jn_box",
           "agg_gate", "agg_rowpat", "win_review", "win_edits", "agg_drops", "top_cosine", "fn_date", "fn_number", "fn_arith", "snk_csv", "snk_pack", "dq_form",
-          "str_apply", "dq_audit", "dq_recipe", "dq_replay", "dq_annot", "agg_table", "agg_furn")
+          "str_apply", "dq_audit", "dq_recipe", "dq_replay", "dq_annot", "agg_table", "agg_furn", "dq_header", "dq_words_run", "dq_roundtrip", "dq_targets",
+          "dq_assemble", "dq_template", "dq_approve")
 
 
 @pytest.fixture(scope="module")
