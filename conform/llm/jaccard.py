@@ -1,10 +1,12 @@
 """Near copies by the exact Jaccard similarity of word shingles, searched with SimHash first and MinHash keys for the rest.
 
 Method: every text becomes a set of shingle hashes, known by one hash. Distinct sets get a SimHash of these hashes, MinHash keys (48 bands of
-five least values) and 240 single bits of the least values. Classes form in turns: first along the pairs that the SimHash operator links,
-then every set that shares a key with sets of another class is compared with one of them, a leader, until leaders find little more;
-last, all pairs of different classes under a key are compared. Each pair counts only if its whole texts have the similarity. Leaders
-join a large group of copies with about as many comparisons as it has members; the bits keep apart what only shares a passage.
+five least values) and 240 single bits of the least values. Classes form in turns: first along the pairs that the SimHash operator links
+and between every set and one leader of its keys, then again between sets and leaders of other classes until leaders find little
+more; last, the sets that open keys still connect are compared group by group, each with all others at once through an index of the
+group's shingles. Each pair counts only if its whole texts have the similarity. Leaders
+join a large group of copies with about as many comparisons as it has members; the bits keep apart what only shares a passage; and
+groups that never link, however large, never become rows of pairs.
 
 What can be missed: a pair at similarity 0.8 shares no key with a chance of 5e-9, and differs in more than a quarter of the bits (a
 tenth is expected) with a chance below 1e-10; both are far smaller for more similar pairs.
@@ -35,8 +37,8 @@ BITS = BANDS * ROWS
 APART = BITS // 4
 #: Bits of a SimHash within which a pair is compared first.
 RADIUS = 4
-#: Sets under one key that meet all others of the key in one task; a larger key is dealt out in tiles.
-HOT = 4096
+#: Sets, and shingles, of a tile's side: a larger group is dealt out in tiles.
+SIDE, SIDE_SHINGLES = 1024, 500_000
 
 
 def shingles(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -130,7 +132,7 @@ class _Search:
         wanted = self.keyed.select("set").unionByName(self.first.select(F.explode(F.array("a", "b")).alias("set"))).distinct()
         own = texts.select(set_of(F.col("text"), words).alias("set"), "text").join(wanted, "set", "left_semi")
         self.texts = stage(own.groupBy("set").agg(F.min("text").alias("text")), "texts", folder)
-        self.found = None
+        self.found, self.known_classes = None, None
 
     def verify(self, pairs: DataFrame) -> tuple[int, int]:
         """Add those of ``pairs`` (``a``, ``b``) to the links found that are similar enough; how many were compared and linked."""
@@ -142,17 +144,24 @@ class _Search:
         # both / (n_a + n_b - both) >= percent / 100
         similar = F.col("both") * (100 + self.percent) >= (F.col("n_a") + F.col("n_b")) * self.percent
         judged = stage(judged.select("a", "b", similar.alias("similar")), "judged", self.folder)
-        links = judged.filter("similar").select("a", "b")
-        self.found = links if self.found is None else self.found.unionByName(links)
-        n, good = judged.agg(F.count("*"), F.count_if("similar")).first()
-        return n, good
+        self._add(judged.filter("similar").select("a", "b"))
+        return tuple(judged.agg(F.count("*"), F.count_if("similar")).first())
+
+    def _add(self, links: DataFrame) -> None:
+        if self.found is None or not links.isEmpty():
+            self.found, self.known_classes = links if self.found is None else self.found.unionByName(links), None
 
     def classes(self) -> DataFrame:
-        return stage(components(self.found, folder=self.folder).select(F.col("node").alias("set"), F.col("root").alias("class")), "classes", self.folder)
+        """Classes by the links found so far; made anew only after links were found."""
+        if self.known_classes is None:
+            linked = components(self.found, folder=self.folder).select(F.col("node").alias("set"), F.col("root").alias("class"))
+            self.known_classes = stage(linked, "classes", self.folder)
+        return self.known_classes
 
     def open_keys(self) -> DataFrame | None:
         """Rows (``key``, ``own``) under the keys that several classes share; None if there are none."""
-        labels = self.info.join(self.classes(), "set", "left").select("set", F.struct("set", F.coalesce("class", "set").alias("class"), "n", "bits").alias("own"))
+        known = self.info.withColumn("class", F.col("set")) if self.found is None else self.info.join(self.classes(), "set", "left").withColumn("class", F.coalesce("class", "set"))
+        labels = known.select("set", F.struct("set", "class", "n", "bits").alias("own"))
         now = self.keyed.join(labels, "set").select("key", "own")
         mixed = now.groupBy("key").agg(F.min("own.class").alias("low"), F.max("own.class").alias("high")).filter("low < high").select("key")
         now = stage(now.join(mixed, "key"), "open", self.folder)
@@ -165,17 +174,56 @@ class _Search:
         votes = met.groupBy(F.col("own.set").alias("a"), F.col("lead.set").alias("b")).agg(F.count("*").alias("votes"))
         return stage(votes.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")), "pairs", self.folder)
 
-    def all_pairs(self, now: DataFrame) -> DataFrame:
-        """Every pair of different classes under a key."""
-        sizes = now.groupBy("key").agg(F.ceil(F.count("*") / HOT).alias("blocks"))
-        block = F.pmod(F.xxhash64("own.set"), F.col("blocks"))
-        dealt = now.join(sizes, "key").withColumn("block", block)
-        tile = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("low"), F.greatest("block", other).alias("high")))
-        dealt = dealt.select("key", "own", "block", F.explode(tile).alias("tile"))
-        left, right = (dealt.select("key", F.col("own").alias(side), F.col("block").alias(f"block_{side}"), "tile") for side in ("l", "r"))
-        here = (F.least("block_l", "block_r") == F.col("tile.low")) & (F.greatest("block_l", "block_r") == F.col("tile.high"))
-        met = left.join(right, ["key", "tile"]).filter((F.col("l.set") < F.col("r.set")) & here & _may_link("l", "r", self.percent))
-        return stage(met.select(F.col("l.set").alias("a"), F.col("r.set").alias("b")).distinct(), "pairs", self.folder)
+    def whole_groups(self, now: DataFrame) -> None:
+        """Add the links among all sets that keys connect, group by group: each text goes to its group's tiles, pairs are no rows."""
+        edges = now.select(F.col("own.set").alias("a"), F.col("key").alias("b"))
+        group = components(edges, folder=self.folder).withColumnRenamed("node", "set").withColumnRenamed("root", "group")
+        sets = now.select("own.set", "own.n").distinct().join(group, "set")
+        sets = stage(sets, "groups", self.folder)
+        blocks = F.ceil(F.greatest(F.count("*") / SIDE, F.sum("n") / SIDE_SHINGLES))
+        sizes = sets.groupBy("group").agg(blocks.alias("blocks"))
+        dealt = sets.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks"))).join(self.texts, "set")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+        dealt = dealt.select("group", "set", "block", "text", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+        links = dealt.groupBy("group", "low", "high").applyInArrow(_tile(self.words, self.percent), "a long, b long")
+        self._add(stage(links, "links", self.folder))
+
+
+def spanning(sets: list[np.ndarray], block: np.ndarray, across: bool, percent: int) -> list[tuple[int, int]]:
+    """Links (places) that span what is similar enough among the sets; ``across``: only pairs of different blocks count.
+
+    Every set gathers, through an index from shingles to sets, how many shingles it shares with each later one.
+    """
+    size = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, code = np.unique(flat, return_inverse=True)
+    index = np.argsort(code, kind="stable")
+    holder, at = owner[index], np.concatenate(([0], np.cumsum(np.bincount(code))))
+    begin = np.concatenate(([0], np.cumsum(size)))
+    label, out = np.arange(len(sets)), []
+    for i in range(len(sets)):
+        term = code[begin[i]:begin[i + 1]]
+        length = at[term + 1] - at[term]
+        place = np.arange(length.sum()) + np.repeat(at[term] - (np.cumsum(length) - length), length)
+        both = np.bincount(holder[place], minlength=len(sets))
+        near = np.flatnonzero(both * (100 + percent) >= (size + size[i]) * percent)
+        near = near[near > i]
+        for j in near[block[near] != block[i]] if across else near:
+            if label[i] != label[j]:
+                out.append((i, int(j)))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _tile(words: int, percent: int):
+    def link(table: pa.Table) -> pa.Table:
+        number, block = table.column("set").to_numpy(), table.column("block").to_numpy()
+        across = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        pairs = spanning(list(shingles(table.column("text").combine_chunks(), words)), block, across, percent)
+        a, b = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+        return pa.Table.from_arrays([pa.array(number[a]), pa.array(number[b])], ["a", "b"])
+
+    return link
 
 
 def classes(texts: DataFrame, known: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
@@ -185,15 +233,15 @@ def classes(texts: DataFrame, known: DataFrame, words: int, percent: int, folder
     tables go to ``folder``.
     """
     search = _Search(texts, known, words, percent, folder)
-    search.verify(search.first)
-    turn = 0
+    now, turn = search.open_keys(), 0
+    search.verify(search.first if now is None else search.first.unionByName(search.to_leaders(now, turn)).distinct())
     while (now := search.open_keys()) is not None:
-        compared, linked = search.verify(search.to_leaders(now, turn))
         turn += 1
+        compared, linked = search.verify(search.to_leaders(now, turn))
         if linked * 4 < compared or not compared:  # leaders are of little more use: any later turn gives the same classes
-            now = search.open_keys()
+            now = search.open_keys() if linked else now
             if now is not None:
-                search.verify(search.all_pairs(now))
+                search.whole_groups(now)
             break
     return search.classes()
 
