@@ -107,11 +107,11 @@ def document_exceptions(gated: DataFrame) -> DataFrame:
     return gated.filter(kind != "").select(
         "doc_id", "document", F.lit("").alias("record_ref"), kind.alias("kind"), F.lit("").alias("field"),
         F.when(kind == msg.DUPLICATE, F.substring("sha", 1, 12)).otherwise("").alias("value"),
-        F.when(kind == msg.DUPLICATE, "duplicate of an earlier document in this batch")
-        .when(kind == msg.UNKNOWN_PROFILE, "document does not match any known source profile")
+        F.when(kind == msg.DUPLICATE, "has the content of a document that comes before it")
+        .when(kind == msg.UNKNOWN_PROFILE, "no registered profile claims this document")
         .otherwise(F.col("reason")).alias("reason"),
-        F.when(kind == msg.DUPLICATE, F.lit("remove the duplicate file; it was converted once"))
-        .when(kind == msg.UNKNOWN_PROFILE, F.concat(F.lit("draft a source profile for "), "document"))
-        .otherwise(F.concat(F.lit("draft a new profile version from "), "document")).alias("suggestion"),
+        F.when(kind == msg.DUPLICATE, F.lit("leave this copy out, its content is in the output already"))
+        .when(kind == msg.UNKNOWN_PROFILE, F.concat(F.lit("set up a profile, beginning with "), "document"))
+        .otherwise(F.concat(F.lit("set up a newer version of the profile, beginning with "), "document")).alias("suggestion"),
         F.lit("").alias("template"),
     )

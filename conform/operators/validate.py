@@ -31,8 +31,8 @@ def vocabulary_violations(columns: Sequence[str], vocabularies: Mapping[str, Seq
             F.struct(
                 F.lit(f).alias("field"), F.lit(msg.INVALID_VALUE).alias("kind"), F.coalesce(F.col(f), F.lit("")).alias("value"),
                 F.concat(F.lit("value "), F.coalesce(quoted(F.col(f)), F.lit("None")),
-                         F.lit(f" for '{f}' is outside the template's registered vocabulary")).alias("reason"),
-                F.lit("fix the value-map entry (new version) or extend the template's vocabulary as data").alias("suggestion"),
+                         F.lit(f" for '{f}' is none of the values the template allows")).alias("reason"),
+                F.lit("give the value map or the vocabulary of the template a newer version").alias("suggestion"),
             ),
         )
         for f, allowed in vocabularies.items() if f in columns

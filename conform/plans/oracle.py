@@ -90,27 +90,27 @@ VIEWS["v_rows"] = "SELECT * FROM v_open WHERE parse_error IS NULL AND part_famil
 VIEWS["v_legal"] = "SELECT * FROM v_rows WHERE part_family IN ('A1','A2','C2','C3','D3','E4')"
 VIEWS["v_recexc"] = """
 SELECT doc_id, document, line_ref AS record_ref, 'record_parse' AS kind, '' AS field, '' AS value, parse_error AS reason,
-  'inspect the source row; extraction could not read it' AS suggestion, 'line_sheet@1' AS template
+  'look at this line of the source' AS suggestion, 'line_sheet@1' AS template
   FROM v_open WHERE parse_error IS NOT NULL
 UNION ALL
 SELECT doc_id, document, line_ref, 'oov_value', 'part_family', issues_text,
-  'value ''' || issues_text || ''' not covered by the approved value map',
-  'review and add a mapping for ''' || issues_text || ''' as a new value-map version', 'line_sheet@1'
+  'value ''' || issues_text || ''' has no entry in the pinned value map',
+  'decide what becomes of ''' || issues_text || ''' in a newer version of the value map', 'line_sheet@1'
   FROM v_open WHERE parse_error IS NULL AND part_family IS NULL
 UNION ALL
 SELECT doc_id, document, line_ref, 'invalid_value', 'part_family', part_family,
-  'value ''' || part_family || ''' for ''part_family'' is outside the template''s registered vocabulary',
-  'fix the value-map entry (new version) or extend the template''s vocabulary as data', 'line_sheet@1'
+  'value ''' || part_family || ''' for ''part_family'' is none of the values the template allows',
+  'give the value map or the vocabulary of the template a newer version', 'line_sheet@1'
   FROM v_rows WHERE part_family NOT IN ('A1','A2','C2','C3','D3','E4')
 """
 VIEWS["v_docexc"] = """
 SELECT doc_id, document, '' AS record_ref, blocked_kind AS kind, '' AS field,
   CASE WHEN blocked_kind = 'duplicate' THEN substr(sha, 1, 12) ELSE '' END AS value,
-  CASE blocked_kind WHEN 'duplicate' THEN 'duplicate of an earlier document in this batch'
-    WHEN 'unknown_profile' THEN 'document does not match any known source profile' ELSE reason END AS reason,
-  CASE blocked_kind WHEN 'duplicate' THEN 'remove the duplicate file; it was converted once'
-    WHEN 'unknown_profile' THEN 'draft a source profile for ' || document
-    ELSE 'draft a new profile version from ' || document END AS suggestion, '' AS template
+  CASE blocked_kind WHEN 'duplicate' THEN 'has the content of a document that comes before it'
+    WHEN 'unknown_profile' THEN 'no registered profile claims this document' ELSE reason END AS reason,
+  CASE blocked_kind WHEN 'duplicate' THEN 'leave this copy out, its content is in the output already'
+    WHEN 'unknown_profile' THEN 'set up a profile, beginning with ' || document
+    ELSE 'set up a newer version of the profile, beginning with ' || document END AS suggestion, '' AS template
 FROM v_gate WHERE blocked_kind <> ''
 """
 VIEWS["v_exc"] = "SELECT * FROM v_docexc UNION ALL SELECT * FROM v_recexc"

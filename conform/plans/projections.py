@@ -30,8 +30,8 @@ def resolve_one(t: Tables, doc: dict, targets: tuple[str, ...], df: DataFrame |
 
 @query("prj_path", """
 SELECT document, id, company AS header_company, severity AS finding_severity, 'FA-77' AS prompt_contract,
- 'unknown source scope ''asset'' in path ''asset.name''' AS bad_scope,
- 'source field ''finding.colour'' not present in extracted record' AS bad_key FROM v_findings JOIN v_headers USING (doc_id)""")
+ '''asset'' in ''asset.name'' is no part of a report' AS bad_scope,
+ 'the record has no field ''finding.colour''' AS bad_key FROM v_findings JOIN v_headers USING (doc_id)""")
 def prj_path(t: Tables) -> DataFrame:
     found = [SCOPE.path(p)[0].alias(a) for p, a in (
         ("header.company", "header_company"), ("finding.severity", "finding_severity"),
@@ -82,7 +82,7 @@ PRECEDENCE = {
 
 @query("prj_dispatch", """
 SELECT document, id, severity AS a, 'const' AS b, 'f:' || comments AS c, 'FA-77' AS d,
- 'target field ''e'' has no route/constant/formula/prompt' AS e FROM v_findings JOIN v_headers USING (doc_id)""")
+ 'no rule fills ''e''' AS e FROM v_findings JOIN v_headers USING (doc_id)""")
 def prj_dispatch(t: Tables) -> DataFrame:
     out = resolve_one(t, PRECEDENCE, tuple("abcde"))
     return out.select("document", "id", *[F.col(f"t_{k}.value").alias(k) for k in "abcd"], F.col("t_e.reason").alias("e"))
@@ -106,8 +106,8 @@ def prj_strict(t: Tables) -> DataFrame:
 
 @query("prj_preview", """
 SELECT document, line_ref, ordered_on, coalesce(handling, '<<unresolved: value ''' || urgency_mark
-  || ''' not covered by the approved value map>>') AS handling,
- coalesce(part_family, '<<unresolved: value ''' || issues_text || ''' not covered by the approved value map>>') AS part_family,
+  || ''' has no entry in the pinned value map>>') AS handling,
+ coalesce(part_family, '<<unresolved: value ''' || issues_text || ''' has no entry in the pinned value map>>') AS part_family,
  '<<frame_agreement>>' AS frame_agreement FROM v_res""")
 def prj_preview(t: Tables) -> DataFrame:
     doc = load_mapping(b.MAPPING)

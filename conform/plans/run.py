@@ -98,7 +98,7 @@ class Run:
         unread = F.array(F.struct(
             F.lit("").alias("field"), F.lit(msg.RECORD_PARSE).alias("kind"), F.lit("").alias("value"),
             F.col("parse_error").alias("reason"),
-            F.lit("inspect the source row; extraction could not read it").alias("suggestion")))
+            F.lit("look at this line of the source").alias("suggestion")))
         errors = F.when(F.col("parse_error").isNotNull(), unread).when(F.size("problems") > 0, F.col("problems")).otherwise(
             validate.vocabulary_violations(cols, bundle.template.vocabularies))
         df = df.withColumn("errors", F.coalesce(errors, empty)).withColumn("unresolved", bad).drop("problems")
