@@ -28,6 +28,8 @@ FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 4 << 20
 #: Fixed values of the public formats: skippable frame, seek table footer, record prefix.
 SKIPPABLE, SEEKABLE, PREFIX = 0x184D2A5E, 0x8F92EAB1, "urn:page:"
 BUNDLE = "bundle string, data binary, records array<struct<record_id: string, frame: int, offset: long, length: long>>"
+#: Pages carry no capture time: their records get this one, so archives of equal pages are equal. Fixed value: what a page's payload is.
+DATE, CONTENT = "1970-01-01T00:00:00Z", "text/html; charset=utf-8"
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -55,9 +57,9 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(record_id: str, url: str | None, payload: bytes, kept_by: str | None) -> bytes:
-    """One WARC record; ``kept_by`` names the record whose equal payload this one refers to."""
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if kept_by is not None else 'response'}", f"WARC-Record-ID: <{PREFIX}{record_id}>"]
+def record(record_id: str, url: str | None, payload: bytes, kept_by: str | None, date: str = DATE) -> bytes:
+    """One WARC record; ``kept_by`` names the record whose equal payload this one refers to, ``date`` says when it was captured."""
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if kept_by is not None else 'response'}", f"WARC-Record-ID: <{PREFIX}{record_id}>", f"WARC-Date: {date}", f"Content-Type: {CONTENT}"]
     if url is not None:
         head.append("WARC-Target-URI: " + " ".join(url.split()))
     head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}"]

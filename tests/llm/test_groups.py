@@ -206,6 +206,8 @@ def test_short_payloads_are_all_responses(spark):
 
 def test_damage_is_noticed():
     raw = warc.record("1", None, b"payload", None)
+    fields = warc.parse(raw)[0]
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Type", "Content-Length"} <= set(fields) and fields["WARC-Date"] == warc.DATE
     assert warc.parse(raw)[1] == b"payload" and warc.digest(b"payload") == __import__("base64").b32encode(hashlib.sha1(b"payload").digest()).decode()
     with pytest.raises(ValueError):
         warc.parse(raw.replace(b"payload\r", b"paYload\r"))
