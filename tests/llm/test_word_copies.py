@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -53,7 +54,7 @@ def texts(seed, n):
 
 @pytest.mark.parametrize(("hot", "radius"), [(4096, 4), (5, 4), (4096, 0)])
 def test_classes_match_brute_force(spark, monkeypatch, hot, radius):
-    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "SIDE", hot)
     monkeypatch.setattr(jaccard, "RADIUS", radius)
     rows = texts(3, 200)
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, set string, n int, class int")
@@ -65,7 +66,7 @@ def test_classes_match_brute_force(spark, monkeypatch, hot, radius):
 
 def test_groups_that_share_a_passage(spark, monkeypatch):
     """Many texts share a passage and stay below 0.8; a large group of copies drifts around its first text."""
-    monkeypatch.setattr(jaccard, "HOT", 40)
+    monkeypatch.setattr(jaccard, "SIDE", 40)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=5))
     passage, base = [word() for _ in range(120)], [word() for _ in range(150)]
@@ -79,6 +80,36 @@ def test_groups_that_share_a_passage(spark, monkeypatch):
     assert sorted((r.doc_id for r in jaccard.one_of_each(docs).collect()), key=repr) == brute(rows)
 
 
+def test_copies_of_an_absent_text(spark, monkeypatch):
+    """Copies of a text that is not there are like each other below 0.8, save a few."""
+    monkeypatch.setattr(jaccard, "SIDE", 30)
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(120)]
+    rows = []
+    for i in range(130):
+        w = list(base)
+        for _ in range(rng.choice([2, 3, 4])):
+            w[rng.randrange(120)] = f"new{i}x{rng.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id for r in jaccard.one_of_each(docs).collect()), key=repr)
+    assert got == brute(rows) and 1 < len(got) < 130
+
+
+def test_spanning_equals_pairwise_comparison():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        sets = [np.unique(rng.choice(30, rng.integers(1, 30))).astype(np.uint64) for _ in range(25)]
+        block, across = rng.integers(0, 2, 25), bool(rng.integers(0, 2))
+        want, got = np.arange(25), np.arange(25)
+        for i, j in combinations(range(25), 2):
+            if (not across or block[i] != block[j]) and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j])):
+                want[want == want[j]] = want[i]
+        for i, j in jaccard.spanning(sets, block, across, 60):
+            got[got == got[j]] = got[i]
+        assert all((want[i] == want[j]) == (got[i] == got[j]) for i, j in combinations(range(25), 2))
+
+
 def test_nothing_is_left_behind(spark):
     rows = texts(6, 40)
     assert jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count()
