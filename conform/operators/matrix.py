@@ -2,6 +2,9 @@
 
 Cells are ``(doc_id, page, table_no, i, j, text, x0, top, x1, bottom, rotation, width, height)``.
 A printed grid is bounded by its sheet, so windows over one grid row, column or table are small.
+
+Cells often come out of exploded rows, whose size the optimizer takes for that of the rows before. Joins of two tables that grow
+with the cells are therefore merge joins by hint; without it millions of cells would be broadcast.
 """
 
 from __future__ import annotations
@@ -20,6 +23,11 @@ NUMBERISH = r"^\s*\d+(\.\d+)*\s*$"
 GRID = ("doc_id", "page", "table_no")
 
 
+def grows(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the cells: never broadcast, whatever its estimated size."""
+    return side.hint("merge")
+
+
 def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
@@ -71,7 +79,7 @@ def numbered(base: Column, scope: list[str], order: list[str]) -> Column:
 def axes(cells: DataFrame, shape: DataFrame) -> DataFrame:
     """Row and column entries of every grid large enough: ``axis, idx, entry_id, number, label``."""
     big = shape.filter(~F.col("too_small"))
-    c = cells.join(big, list(GRID)).withColumn("t", clean(F.col("text")))
+    c = cells.join(grows(big), list(GRID)).withColumn("t", clean(F.col("text")))
     rows = c.filter(F.col("i") >= 1).groupBy(*GRID, "i").agg(
         F.max(F.when(F.col("j") == F.col("number_col"), F.col("t"))).alias("number"),
         F.max(F.when(F.col("j") == F.col("text_col"), F.col("t"))).alias("named"))
@@ -98,7 +106,7 @@ def matrix_cells(cells: DataFrame, entries: DataFrame) -> DataFrame:
                                                          F.col("label").alias("row_label"))
     cols = entries.filter(F.col("axis") == "col").select(*GRID, F.col("idx").alias("j"), F.col("entry_id").alias("col_id"),
                                                          F.col("label").alias("col_label"))
-    return cells.filter(fillable()).join(rows, [*GRID, "i"]).join(cols, [*GRID, "j"]).select(
+    return cells.filter(fillable()).join(grows(rows), [*GRID, "i"]).join(grows(cols), [*GRID, "j"]).select(
         *GRID, "i", "j", "row_id", "col_id", F.concat("row_label", F.lit(" × "), "col_label").alias("label"),
         derived_field(F.col("row_id"), F.col("col_id")).alias("target_field"), F.lit("matrix").alias("association"), *cell_bbox())
 
@@ -135,21 +143,22 @@ def reconstruct(cells: DataFrame) -> DataFrame:
     small = shape.filter("too_small").select(*GRID)
     cols = [*GRID, "i", "j", "label", "target_field", "association", "bx0", "by0", "bx1", "by1"]
     return matrix_cells(cells, axes(cells, shape)).select(*cols).unionByName(
-        flat_cells(cells.join(small, list(GRID), "left_semi")).select(*cols))
+        flat_cells(cells.join(grows(small), list(GRID), "left_semi")).select(*cols))
 
 
 def bind_suggestions(suggested: DataFrame, shape: DataFrame, entries: DataFrame) -> DataFrame:
     """Index-only suggestions against the grid: out of bounds, in bounds but unbound, or annotated."""
-    s = suggested.join(shape.select(*GRID, "n_rows", "n_cols"), list(GRID))
-    s = s.join(entries.select(*GRID, "axis", "idx", "entry_id"), [*GRID, "axis", "idx"], "left")
+    s = suggested.join(grows(shape.select(*GRID, "n_rows", "n_cols")), list(GRID))
+    s = s.join(grows(entries.select(*GRID, "axis", "idx", "entry_id")), [*GRID, "axis", "idx"], "left")
     limit = F.when(F.col("axis") == "row", F.col("n_rows")).otherwise(F.col("n_cols"))
     return s.withColumn("status", F.when((F.col("idx") < 0) | (F.col("idx") >= limit), "unknown_index")
                         .when(F.col("entry_id").isNull(), "unmatched_axis_entry").otherwise("annotated"))
 
 
-def extents(cells: DataFrame, axis_id: str) -> DataFrame:
-    """Union box of the cells of every axis entry."""
-    return cells.groupBy("doc_id", F.col(axis_id).alias("entry_id")).agg(
+def extents(cells: DataFrame) -> DataFrame:
+    """Union box of the cells of every axis entry, rows and columns in one pass over the cells."""
+    entry = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"{a}_id").alias("entry_id")) for a in ("row", "col")]))
+    return cells.withColumn("entry", entry).groupBy("doc_id", "entry.axis", "entry.entry_id").agg(
         F.min("bx0").alias("bx0"), F.min("by0").alias("by0"), F.max("bx1").alias("bx1"), F.max("by1").alias("by1"),
         F.count("*").alias("cells"))
 
@@ -162,7 +171,7 @@ def apply_axis_actions(actions: DataFrame, entries: DataFrame, keys: list[str])
     """
     known = F.col("action").isin("rename", "accept_suggestion", "reject_suggestion")
     first = actions.filter(known).groupBy(*keys).agg(F.min("seq").alias("first_seq"))
-    a = actions.join(entries, keys, "left").join(first, keys, "left")
+    a = actions.join(grows(entries), keys, "left").join(grows(first), keys, "left")
     has = F.col("suggested").isNotNull() & (F.col("seq") == F.col("first_seq"))
     status = (F.when(F.col("label").isNull(), "unknown entry").when(~known, "unknown action")
               .when((F.col("action") == "accept_suggestion") & ~has, "no suggestion").otherwise("ok"))

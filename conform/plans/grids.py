@@ -91,9 +91,7 @@ SELECT doc_id, 'row' AS axis, row_id AS entry_id, min(bx0) AS bx0, min(by0) AS b
 UNION ALL SELECT doc_id, 'col', col_id, min(bx0), min(by0), max(bx1), max(by1), count(*) FROM v_matrix GROUP BY ALL""")
 def agg_bbox(t: Tables) -> DataFrame:
     c = t.cells()
-    m = matrix.matrix_cells(c, matrix.axes(c, matrix.shapes(c)))
-    return matrix.extents(m, "row_id").withColumn("axis", F.lit("row")).unionByName(
-        matrix.extents(m, "col_id").withColumn("axis", F.lit("col")))
+    return matrix.extents(matrix.matrix_cells(c, matrix.axes(c, matrix.shapes(c)))).select("doc_id", "axis", "entry_id", *BOX, "cells")
 
 
 @query("win_nearlabel", "SELECT doc_id, i, j, label, association FROM v_near")
