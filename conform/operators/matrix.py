@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from conform.functions.text import slug
+from conform.operators.joins import grows
 
 # The smallest cell a value can be written into, in points, and label lengths.
 MIN_WIDTH, MIN_HEIGHT = 12.0, 8.0
@@ -23,11 +24,6 @@ NUMBERISH = r"^\s*\d+(\.\d+)*\s*$"
 GRID = ("doc_id", "page", "table_no")
 
 
-def grows(side: DataFrame) -> DataFrame:
-    """A side of a join that grows with the cells: never broadcast, whatever its estimated size."""
-    return side.hint("merge")
-
-
 def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 

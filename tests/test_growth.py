@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from conform.operators import onboard
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -15,3 +16,14 @@ def plan(spark, name):
 def test_cells_of_grids_are_never_broadcast(spark, name):
     """Even on tables so small that the optimizer would: its sizes do not count exploded rows."""
     assert "BroadcastExchange" not in plan(spark, name)
+
+
+def test_tables_of_the_line_analysis_are_never_broadcast(spark):
+    """Running lines and record tables have a row per document, in few bytes on disk and many in memory."""
+    word = "struct<x0:double,top:double,x1:double,text:string>"
+    lines = spark.createDataFrame([(1, 1, 10.0, "Running line", [])], f"doc_id long, page int, line_top double, text string, words array<{word}>")
+    tables = spark.createDataFrame([(1, 1, 10.0, "Id Name", [], "c")], "doc_id long, h_page int, h_top double, h_text string, ranges array<struct<lo:double,hi:double>>, class string")
+    running = onboard.furniture(lines)
+    body = onboard.without_running(lines, onboard.without_table_header(running, tables))
+    for df in (running, body, onboard.recount(body, tables), onboard.label_values(body.withColumnRenamed("line_top", "top"), tables)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
