@@ -1,9 +1,18 @@
 """What grows with the tables stays off the driver, and is written once."""
 
+from dataclasses import replace
+
 import pytest
 
 import __spark_entry__ as entry
 from conform.operators import checks, onboard
+from conform.plans import bindings as b
+from conform.plans import publish as publishing
+from conform.plans.bindings import Tables
+from conform.plans.checks import FORM_TEMPLATE
+from conform.plans.run import Bundle
+from conform.plans.scoring import make_run
+from conform.sources.config import load_mapping
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,3 +47,14 @@ def test_values_are_spelled_out_after_rows_met(spark):
         ("e", "9", "p", None, "x", False), ("e", "9", "q", None, "y", False)]
     tree = got._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in tree and tree.index("Generate explode") < tree.index("SortMergeJoin")
+
+
+def test_publishing_stores_no_copy_of_a_stored_outcome(spark, tmp_path, monkeypatch):
+    t, form = Tables(spark, SMALL), Bundle(load_mapping(b.MAPPING), FORM_TEMPLATE)
+    run = replace(make_run(t, form), work=str(tmp_path / "work")).freeze()
+    stored = []
+    real = publishing.stage
+    monkeypatch.setattr(publishing, "stage", lambda df, label, folder=None: stored.append(label) or real(df, label, folder))
+    shipped, withheld = publishing.publish(run, form, str(tmp_path / "out"))
+    assert stored == ["bad"] and shipped.count() == run.rows(run.outcome(form), form).count() > 0 and withheld.isEmpty()
+    assert not list((tmp_path / "out" / "intake_form").glob("*.json")) and list((tmp_path / "out" / "intake_form").glob("*.json.gz"))
