@@ -101,6 +101,43 @@ def test_long_maps_join_and_agree_with_inline_ones(spark):
     assert sorted(map(tuple, mapping.good_rows(a, cols, ()).collect())) == sorted(map(tuple, mapping.good_rows(c, cols, ()).collect()))
 
 
+DATED = {"routes": {"id": {"from": "finding.id", "tier": "T0"}}, "formulas": {
+    "on": {"fn": "date_format", "args": [{"field": "header.day"}, {"lit": "%Y-%m-%d"}]}, "both": {"fn": "concat", "args": [{"field": "header.day"}, {"field": "finding.id"}]}}}
+
+
+def test_formulas_over_the_header_are_worked_out_once_per_document(spark):
+    """A date was parsed for every record, in every place that asked for its outcome; results are the same."""
+    scope = mapping.Scope({"day": "day"}, {"id": "id"}, {})
+    heads = spark.createDataFrame([(1, "Jan 5, 1998"), (2, "some day"), (3, None)], "doc int, day string")
+    records = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "doc int, id string")
+    stored = mapping.with_header_formulas(heads, [DATED, DATED], scope)
+    assert [c for c in stored.columns if c.startswith(mapping.FORMULA)] == [mapping.formula_column(DATED["formulas"]["on"])]
+    plain, early = (mapping.resolve(records.join(h, "doc"), ("id", "on", "both"), DATED, scope, {}, ("doc",)) for h in (heads, stored.localCheckpoint()))
+    assert "make_timestamp" in plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "make_timestamp" not in early._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, plain.collect())) == sorted(map(str, early.collect()))
+
+
+def test_a_run_parses_no_date_per_record(spark):
+    from conform.plans import bindings as b
+    from conform.plans.scoring import make_run, sheet_bundle
+
+    plan = make_run(b.Tables(spark, "/root/testdata/sf0.001")).outcome(sheet_bundle())._jdf.queryExecution().optimizedPlan().toString()
+    assert "make_timestamp" not in plan and "RLIKE" not in plan
+
+
+def test_content_hash_is_the_sum_of_pieces(spark):
+    import hashlib
+
+    from conform.sinks import content_hash
+
+    got = content_hash(spark.range(300).selectExpr("id % 3 AS k", "id AS n", "cast(id AS string) AS v"), ["k"], "n", ["v"]).collect()
+    for r in got:
+        hashes = [hashlib.sha256(f"{n}\x1f{n}".encode()).hexdigest() for n in range(r.k, 300, 3)]
+        sums = [str(sum(int(h[15 * i:15 * i + 15], 16) for h in hashes)) for i in range(4)]
+        assert (r.n_rows, r.content_hash) == (100, hashlib.sha256(",".join(["100", *sums]).encode()).hexdigest())
+
+
 def test_grammar(spark):
     assert check_mapping({"routes": {"a": {"from": "finding.x", "tier": "T0"}}}) == []
     bad = check_mapping({"routes": {"a": {"tier": "T9", "x": 1}}, "formulas": {"b": {"fn": "eval", "args": [{"field": "f", "lit": 1}]}}, "z": 1})
