@@ -3,8 +3,8 @@
 Method: the symbols of a text are its characters. An agenda holds the adjacent pairs whose join is a piece, ordered by score and
 then by place; the best pair is joined and its new neighbours enter the agenda, until it is empty. A character that is no piece
 becomes its bytes. A text is cut first where no piece can reach across (before a space mark that follows another character, and
-between two characters that stand side by side in no piece), which changes no join; equal short stretches are joined once per
-worker. Inside every Arrow batch the sentencepiece library encodes and decodes the same texts, and ``agrees`` says whether both
+between two characters that stand side by side in no piece), which changes no join; a worker remembers short stretches and
+forgets those that did not come again for long. Inside every Arrow batch the sentencepiece library encodes and decodes the same texts, and ``agrees`` says whether both
 its ids and its text are ours.
 """
 
@@ -29,7 +29,7 @@ from conform.llm.hashing import blocks
 
 #: The mark that stands for a space inside pieces.
 MARK = "▁"
-#: Stretches of at most this many characters are remembered, and so many of them at a time.
+#: Stretches of at most this many characters are remembered, and so many of them until the ones before are forgotten.
 SHORT, REMEMBERED = 32, 250_000
 #: Characters whose stretches are joined together, and rows of one such step.
 TOGETHER, ROWS = 2 << 20, 1 << 12
@@ -97,6 +97,7 @@ class Agenda:
     marks_lead: bool = True
     cut: re.Pattern = re.compile(".+", re.DOTALL)
     known: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     def join(self, s: str) -> list[int]:
         """The ids of one stretch, by the agenda."""
@@ -164,11 +165,13 @@ class Agenda:
             out[i] = array("I", self.join(stretches[i])).tobytes()
         return out
 
-    def remember(self, stretches: list[str]) -> None:
-        """Join those short stretches that are not known yet."""
+    def remember(self, stretches: set[str]) -> None:
+        """Join those short stretches that are not known yet; of the older ones, those that come again stay known."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = sorted({s for s in stretches if s not in self.known and len(s) <= SHORT}, key=len)
+            self.known, self.older = {}, self.known
+        new = stretches.difference(self.known)
+        self.known.update((s, self.older[s]) for s in new.intersection(self.older))
+        missing = sorted((s for s in new.difference(self.older) if len(s) <= SHORT), key=len)
         at = 0
         while at < len(missing):
             to = min(len(missing), at + ROWS)
@@ -197,7 +200,7 @@ class Agenda:
 
     def _finish(self, waiting: list[list[str] | None], body: list[bytes]) -> Iterator[np.ndarray]:
         """Join the stretches at hand; None closes a text, whose ids so far are in ``body``."""
-        self.remember([s for row in waiting if row for s in row])
+        self.remember(set().union(*filter(None, waiting)))
         known = self.known
         for row in waiting:
             if row is None:
@@ -205,7 +208,10 @@ class Agenda:
                 body.clear()
                 yield np.concatenate(([self.begin], ids, [self.end])).astype("<u4")
             else:
-                body.append(b"".join([known.get(s) or self.long(s) for s in row]))
+                try:
+                    body.append(b"".join(map(known.__getitem__, row)))
+                except KeyError:  # one of them is long
+                    body.append(b"".join([known.get(s) or self.long(s) for s in row]))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control ids are silent, the mark that leads the first piece is dropped, a bad byte is one U+FFFD."""
@@ -270,6 +276,12 @@ def library_ids(lib: sentencepiece.SentencePieceProcessor, text: str, whole: boo
     return np.concatenate([np.array(lib.encode(p[1:] if i else p), "<u4") for i, p in enumerate(parts_of(text))])
 
 
+def library_agrees(lib: sentencepiece.SentencePieceProcessor, text: str, ids: list[int], decoded: str, whole: bool = False) -> bool:
+    """Whether the library encodes a text to these ids (begin and end included), and decodes them to ``decoded``."""
+    own = lib.encode(text) if whole or len(text) <= PART else library_ids(lib, text).tolist()
+    return ids[1:-1] == own and lib.decode(ids) == decoded
+
+
 def with_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str = "pieces", binary: bool = False) -> DataFrame:
     """Add ``out`` (struct of ``ids``, ``decoded``, ``agrees``) to every row, by the vocabulary in the file ``path``.
 
@@ -293,8 +305,7 @@ def with_pieces(docs: DataFrame, path: str, text_col: str = "text", out: str = "
                 texts = [t or "" for t in column[i:j].to_pylist()]
                 ids = list(agenda.encode(texts))
                 decoded = [agenda.decode(x) for x in ids]
-                agrees = [bool(np.array_equal(x[1:-1], library_ids(lib, t, not agenda.marks_lead))) and lib.decode(x.tolist()) == d
-                          for t, x, d in zip(texts, ids, decoded, strict=True)]
+                agrees = [library_agrees(lib, t, x.tolist(), d, not agenda.marks_lead) for t, x, d in zip(texts, ids, decoded, strict=True)]
                 if binary:
                     lists = pa.array([x.tobytes() for x in ids], pa.binary())
                 else:

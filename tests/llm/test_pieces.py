@@ -92,3 +92,18 @@ def test_query_equals_library(spark, tmp_path):
 def test_query_on_the_given_table(spark):
     got = catalog.QUERIES["op11_sentencepiece"](spark, "/root/testdata/sf0.001")
     assert got.filter(~F.col("agrees")).count() == 0 and got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_stretches_that_come_again_are_joined_once(monkeypatch):
+    """All were forgotten at once when they had become many, also those that every text repeats."""
+    agenda, lib = pieces.load.__wrapped__(Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes())
+    monkeypatch.setattr(pieces, "REMEMBERED", 40)
+    monkeypatch.setattr(pieces, "TOGETHER", 1)
+    joined, join_all = [], agenda.join_all
+    agenda.join_all = lambda stretches: joined.extend(stretches) or join_all(stretches)
+    texts = [f"the usual words again {i}x{i} y{i}z " + "long" * 20 for i in range(200)]
+    for text, ids in zip(texts, agenda.encode(texts), strict=True):
+        assert ids[1:-1].tolist() == lib.encode(text) and pieces.library_agrees(lib, text, ids.tolist(), text)
+        assert not pieces.library_agrees(lib, text, ids.tolist(), text + ".") and not pieces.library_agrees(lib, text + " a", ids.tolist(), text)
+    assert joined.count("▁usual") == 1 and len(joined) == 4 + 400
+    assert len(agenda.known) + len(agenda.older) < 200
