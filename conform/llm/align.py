@@ -12,7 +12,7 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 from pathlib import Path
@@ -30,6 +30,8 @@ from conform.session import discard, shared_dir, stage
 
 #: Bytes of text that one numpy step aligns, and that one block of the link count holds.
 STEP, BLOCK = 512 << 10, 16 << 20
+#: Links of a block that are looked up at a time.
+LINKS = 1 << 18
 #: Characters that every edition of Unicode classes alike, so that both libraries cut words at the same places.
 PLAIN = re.compile(r"[\t\n\r -~\u00a1-\u024f\u0410-\u044f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 #: The longest run without a space that goes the faster way, whose time grows with the square of a run.
@@ -202,13 +204,28 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(link), block[i])), pa.array(link), pa.array(n.astype(np.int64))], ["block", "link", "n"])
 
 
+def sums_by_row(lists: pa.ListArray, numbers: Callable[[np.ndarray], Sequence[np.ndarray]], many: int) -> list[np.ndarray]:
+    """For every list the sums of ``many`` numbers per member, which ``numbers`` gives for ``LINKS`` members at a time."""
+    values, off = lists.values.to_numpy(), lists.offsets.to_numpy()
+    upto = [np.zeros(len(off), np.int64) for _ in range(many)]
+    carry = [0] * many
+    for p in range(int(off[0]), int(off[-1]), LINKS):
+        q = min(p + LINKS, int(off[-1]))
+        lo, hi = np.searchsorted(off, (p, q), "right")
+        for k, each in enumerate(numbers(values[p:q])):
+            so_far = np.cumsum(each, dtype=np.int64)
+            upto[k][lo:hi] = carry[k] + so_far[off[lo:hi] - p - 1]
+            carry[k] += int(so_far[-1])
+    return [np.diff(u) for u in upto]
+
+
 def link_counts(rows: DataFrame, size_b: int, folder: str, links: str = "_links", block: str = "_block") -> DataFrame:
     """Replace ``links`` and ``block`` by ``n_links``, ``n_best`` and ``count_sum``; other columns stay.
 
     A link's count is the number of equal links in all rows; ``n_best`` counts links whose count no other link with the same B id
     exceeds. ``rows`` must be stored (block numbers belong to one reading). Rows without links get zeros; no rows, no rows.
     Within a block the distinct links are few and bounded by its bytes, so only they are joined with the counts, and a task
-    holds one block. Of the counts, the best per B id are broadcast: at most ``size_b`` rows.
+    holds one block, of whose links it looks up some at a time. Of the counts, the best per B id are broadcast: at most ``size_b`` rows.
     """
     asked = stage(rows.select(F.col(block).alias("block"), F.col(links).alias("links")).mapInArrow(_distinct, "block long, link long, n long"), "asked", folder)
     counts = asked.groupBy("link").agg(F.sum("n").alias("count")).withColumn("b", F.col("link") % size_b)
@@ -220,16 +237,20 @@ def link_counts(rows: DataFrame, size_b: int, folder: str, links: str = "_links"
     schema = T.StructType([*rest, *T.StructType.fromDDL("n_links long, n_best long, count_sum long").fields])
 
     def summed(mine: pa.Table, known: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # what earlier blocks and stages left in this worker
         link = known.column("link").to_numpy()
         order = np.argsort(link, kind="stable")
         link = link[order]
         count, top = known.column("count").to_numpy()[order], known.column("best").to_numpy(zero_copy_only=False)[order]
         columns = [[], [], []]
+
+        def numbers(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(link, some)
+            return top[at], count[at]
+
         for lists in mine.column(links).chunks:
-            values, off = lists.values.to_numpy(), lists.offsets.to_numpy()
-            at = np.searchsorted(link, values)
-            for column, each in zip(columns, (np.ones(len(values), np.int64), top[at].astype(np.int64), count[at]), strict=True):
-                column.append(np.diff(np.concatenate(([0], np.cumsum(each)))[off]))
+            for column, each in zip(columns, (np.diff(lists.offsets.to_numpy()), *sums_by_row(lists, numbers, 2)), strict=True):
+                column.append(each)
         made = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in columns]
         return pa.Table.from_arrays([*[mine.column(f.name) for f in rest], *made], names=schema.names)
 

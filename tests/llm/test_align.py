@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -130,3 +131,23 @@ def test_long_word_and_long_text(spark, libs):
         n_a, n_b, n_groups, groups, links = next(own.align([text]))
         assert n_a == len(libs[0].encode(" " + text, add_special_tokens=False).ids) and n_b == len(libs[1].encode(text))
         assert groups.count(";") + 1 == n_groups == len(links)
+
+
+def test_links_of_a_block_are_summed_in_steps(monkeypatch):
+    """A block's links were looked up at once, with arrays as long as the block for every step of it."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    sizes = [0, 3, 0, 700_000, 1, 0, 2_300_000, 5, 0]
+    off = np.concatenate(([0], np.cumsum(sizes)))
+    lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(rng.integers(0, 1000, off[-1])))[1:]
+    want = [(len(x), int((x % 7).sum()), int((x == 5).sum())) for x in (np.asarray(v.values) for v in lists)]
+    tracemalloc.start()
+    got = align.sums_by_row(lists, lambda v: (v % 7, v == 5), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(int(a), int(b)) for a, b in zip(*got, strict=True)] == [w[1:] for w in want]
+    assert peak < 16 << 20 < 8 * off[-1]
+    monkeypatch.setattr(align, "LINKS", 1)
+    few = pa.array([[1, 2], [], [9]], pa.list_(pa.int64()))
+    assert [list(x) for x in align.sums_by_row(few, lambda v: (v,), 1)] == [[3, 0, 9]]
