@@ -25,13 +25,13 @@ def flt_furn(t: Tables) -> DataFrame:
 @query("flt_hdrline", r"""
 SELECT doc_id, page, line_top, text FROM v_plines WHERE NOT regexp_matches(text, '^Id\s+Severity')""")
 def flt_hdrline(t: Tables) -> DataFrame:
-    return layout.without_header_lines(layout.visual_lines(t.printed()), r"Id\s+Severity").select("doc_id", "page", "line_top", "text")
+    return layout.without_header_lines(layout.visual_lines(t.printed_pages()), r"Id\s+Severity").select("doc_id", "page", "line_top", "text")
 
 
 @query("flt_rowpat", r"""
 SELECT doc_id, page, line_top, text FROM v_plines WHERE regexp_matches(text, '^F[0-9]{12}-[0-9]{12}-[0-9]+ ')""")
 def flt_rowpat(t: Tables) -> DataFrame:
-    lines = layout.visual_lines(t.printed())
+    lines = layout.visual_lines(t.printed_pages())
     first = layout.column_cells(F.col("words"), b.X_RANGES[:1])[0]
     return layout.matching_rows(lines, first, b.ROW_PATTERN).select("doc_id", "page", "line_top", "text")
 
