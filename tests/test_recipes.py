@@ -50,3 +50,11 @@ def test_a_missing_value_is_outside_every_vocabulary(spark):
     rows = spark.createDataFrame([("a",), ("z",), (None,)], "kind string")
     got = rows.select("kind", F.transform(vocabulary_violations(["kind"], {"kind": ("a", "b")}), lambda v: v["value"]).alias("v")).collect()
     assert {r["kind"]: r.v for r in got} == {"a": [], "z": ["z"], None: [""]}
+
+
+def test_cells_are_cut_once_and_for_records_only(spark):
+    import __spark_entry__ as entry
+
+    tree = entry.queries()["dq_extract"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    join = next(l for l in tree.splitlines() if "BroadcastHashJoin" in l)
+    assert "struct(name" not in join and tree.count("struct(name") <= 3
