@@ -94,15 +94,20 @@ def append_violations(before: DataFrame, after: DataFrame, keys: Sequence[str],
     ).filter(F.col("violation").isNotNull())
 
 
-def compare_manifests(recorded: DataFrame, rebuilt: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Outputs that a rebuild lost, added or changed."""
-    r = recorded.select(*keys, F.col("content_hash").alias("old"))
-    n = rebuilt.select(*keys, F.col("content_hash").alias("new"))
-    return r.join(n, list(keys), "full").select(
+def compare_entries(entries: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Outputs that a rebuild lost, added or changed; ``side`` of an entry is ``old`` (recorded) or ``new`` (rebuilt)."""
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("content_hash"))).alias(side)
+    return entries.groupBy(*keys).agg(of("old"), of("new")).select(
         *keys, F.when(F.col("new").isNull(), "missing").when(F.col("old").isNull(), "extra")
         .when(F.col("old") != F.col("new"), "changed").alias("difference")).filter(F.col("difference").isNotNull())
 
 
+def compare_manifests(recorded: DataFrame, rebuilt: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for two manifests."""
+    side = lambda m, name: m.select(*keys, F.col("content_hash"), F.lit(name).alias("side"))
+    return compare_entries(side(recorded, "old").unionByName(side(rebuilt, "new")), keys)
+
+
 def links(rules: DataFrame) -> DataFrame:
     """Rules as review links; the state follows from the tier."""
     tier = F.coalesce("tier", F.lit("T3"))

@@ -10,7 +10,8 @@ from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
 from conform.plans.projections import records
-from conform.plans.sinks import manifest_of
+from conform.sinks import content_hash
+from conform.sources.config import Template
 
 
 @query("jn_valuemap", """
@@ -134,17 +135,20 @@ def jn_collide(t: Tables) -> DataFrame:
         "document", F.array_join("c", ",").alias("colliding"))
 
 
-def manifests(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """A recorded manifest, and that of a rebuild in which some outputs were renamed or altered."""
+def rebuilt_rows(t: Tables) -> tuple[DataFrame, Template]:
+    """The rows of a run, and (``side`` new) of a rebuild in which some outputs were renamed or altered: two of every row, which is made once."""
     from conform.plans.scoring import sheet_bundle, make_run
 
     bundle = sheet_bundle()
     run = make_run(t)
     rows = run.rows(run.outcome(bundle), bundle)
     renamed, altered = F.endswith("customer_name", F.lit("3")), F.endswith("customer_name", F.lit("4"))
-    rebuilt = rows.withColumn("document", F.when(renamed, F.concat(F.lit("new_"), "document")).otherwise(F.col("document"))) \
-        .withColumn("comments", F.when(altered, F.concat("comments", F.lit("!"))).otherwise(F.col("comments")))
-    return manifest_of(rows, bundle.template), manifest_of(rebuilt, bundle.template)
+    both = F.array(
+        F.struct(F.lit("old").alias("side"), F.col("document"), F.col("comments")),
+        F.struct(F.lit("new").alias("side"), F.when(renamed, F.concat(F.lit("new_"), "document")).otherwise(F.col("document")).alias("document"),
+                 F.when(altered, F.concat("comments", F.lit("!"))).otherwise(F.col("comments")).alias("comments")))
+    other = [c for c in rows.columns if c not in ("document", "comments")]
+    return rows.select(*other, F.explode(both).alias("b")).select(*other, "b.*"), bundle.template
 
 
 @query("jn_regen", """
@@ -152,14 +156,15 @@ SELECT DISTINCT document, CASE WHEN customer_name LIKE '%3' THEN 'missing' ELSE
 FROM v_legal WHERE customer_name LIKE '%3' OR customer_name LIKE '%4'
 UNION ALL SELECT DISTINCT 'new_' || document, 'extra' FROM v_legal WHERE customer_name LIKE '%3'""")
 def jn_regen(t: Tables) -> DataFrame:
-    return registry.compare_manifests(*manifests(t), ["document"])
+    rows, template = rebuilt_rows(t)
+    return registry.compare_entries(content_hash(rows, ["side", "document"], "record_seq", template.columns), ["document"])
 
 
 @query("set_symdiff", """
 SELECT DISTINCT document FROM v_legal WHERE customer_name LIKE '%3' UNION ALL SELECT DISTINCT 'new_' || document FROM v_legal WHERE customer_name LIKE '%3'""")
 def set_symdiff(t: Tables) -> DataFrame:
-    a, c = (m.select("document") for m in manifests(t))
-    return a.subtract(c).union(c.subtract(a))
+    sides = rebuilt_rows(t)[0].groupBy("document").agg(F.min("side").alias("first"), F.max("side").alias("last"))
+    return sides.filter("first = last").select("document")
 
 
 @query("jn_seed", """
