@@ -30,3 +30,8 @@ def test_manifests_meet_without_a_join(spark):
     got = registry.compare_manifests(m(("a", "1"), ("b", "2"), ("c", "3")), m(("a", "1"), ("b", "x"), ("d", "4")), ["document"])
     assert sorted((r.document, r.difference) for r in got.collect()) == [("b", "changed"), ("c", "missing"), ("d", "extra")]
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stream_output_is_named_from_stored_reports(spark):
+    plan = entry.queries()["str_apply"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "l_orderkey" not in plan
