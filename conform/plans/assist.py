@@ -11,7 +11,7 @@ from conform.plans import bindings as b
 from conform.plans.bindings import Tables
 from conform.plans.catalog import query
 from conform.plans.oracle import VIEWS
-from conform.session import stage
+from conform.session import packed as stage
 
 PATHS = tuple(f"finding.{k}" for k in ("id", "severity", "user_tags", "issues", "comments", "page")) + tuple(
     f"header.{k}" for k in ("inspection_name", "report_date", "inspection_type", "company"))
